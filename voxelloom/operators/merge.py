@@ -33,7 +33,7 @@ def merge_covered(maps: DataFrame, metas: DataFrame, by: list[str], method: str,
     """Merge over the maps that *cover* a voxel, onto the window of the reference map.
 
     A covering map that stores nothing at a voxel reads *background* (a column of *metas*
-    next to ``lo_i/n_i`` and so on); a map that does not reach a voxel has no say.  Only
+    next to `lo_i`, `n_i` and so on); a map that does not reach a voxel has no say.  Only
     voxels of the reference window that some map stores come out: all others are the same
     constant as the backgrounds, or *fill* where no map reaches.
     """
@@ -69,29 +69,27 @@ def reference_map(metas: DataFrame, by: list[str], choice: str, map_id: str = "r
 
 
 def alignment(metas: DataFrame, by: list[str], map_id: str = "replica") -> DataFrame:
-    """How each pair of maps meets: ``aligned``, ``shifted`` by whole voxels, or ``resample``.
+    """How each map meets the first one: ``aligned``, ``shifted`` by whole voxels, or ``resample``.
 
-    *metas* holds origins ``ox oy oz`` and one ``delta``.  Pairs come from an equi-join of
-    the run catalog on the map; it has one row per run.
+    *metas* holds origins ``ox oy oz``, one ``delta`` and the sizes, a row per map.
     """
     cols = ["ox", "oy", "oz", "delta", "n_i", "n_j", "n_k"]
-    a = metas.select(*by, F.col(map_id).alias("a"), *[F.col(c).alias(f"a_{c}") for c in cols])
-    b = metas.select(*by, F.col(map_id).alias("b"), *[F.col(c).alias(f"b_{c}") for c in cols])
-    pairs = a.join(b, by).filter(F.col("a") < F.col("b"))
+    first = metas.groupBy(*by).agg(F.min_by(F.struct(map_id, *cols), map_id).alias("_f"))
+    pairs = metas.join(first, by) if by else metas.join(F.broadcast(first), F.lit(True))
+    ref = {c: F.col(f"_f.{c}") for c in cols}
     same = F.lit(True)
     for n in ("n_i", "n_j", "n_k"):
-        same = same & (F.col(f"a_{n}") == F.col(f"b_{n}"))
-    near = F.lit(0.1) * F.least("a_delta", "b_delta")
+        same = same & (F.col(n) == ref[n])
+    near = F.lit(0.1) * F.least(F.col("delta"), ref["delta"])
+    whole = F.abs(F.col("delta") - ref["delta"]) <= F.lit(1e-3) * F.least(F.col("delta"), ref["delta"])
     for o, n in (("ox", "n_i"), ("oy", "n_j"), ("oz", "n_k")):
-        first = F.abs(F.col(f"a_{o}") - F.col(f"b_{o}"))
-        last = F.abs((F.col(f"a_{o}") + F.col(f"a_{n}") * F.col("a_delta"))
-                     - (F.col(f"b_{o}") + F.col(f"b_{n}") * F.col("b_delta")))
-        same = same & (first <= near) & (last <= near)
-    whole = F.abs(F.col("a_delta") - F.col("b_delta")) <= F.lit(1e-3) * F.least("a_delta", "b_delta")
-    for o in ("ox", "oy", "oz"):
-        off = (F.col(f"a_{o}") - F.col(f"b_{o}")) / F.col("b_delta")
-        whole = whole & (F.abs(off - F.round(off)) <= F.lit(1e-3))
-    return pairs.withColumn("relation", F.when(same, "aligned").when(whole, "shifted").otherwise("resample"))
+        low = F.col(o) - ref[o]
+        high = low + F.col(n) * F.col("delta") - ref[n] * ref["delta"]
+        same = same & (F.abs(low) <= near) & (F.abs(high) <= near)
+        whole = whole & (F.abs(low / ref["delta"] - F.round(low / ref["delta"])) <= F.lit(1e-3))
+    return pairs.select(
+        *by, F.col(f"_f.{map_id}").alias("reference"), map_id,
+        F.when(same, "aligned").when(whole, "shifted").otherwise("resample").alias("relation"))
 
 
 def check_strict(metas: DataFrame, by: list[str], method: str, map_id: str = "replica") -> None:
@@ -99,7 +97,7 @@ def check_strict(metas: DataFrame, by: list[str], method: str, map_id: str = "re
     _method(method)
     bad = alignment(metas, by, map_id).filter(F.col("relation") != "aligned").limit(1).collect()
     if bad:
-        raise ValueError(f"maps {bad[0]['a']!r} and {bad[0]['b']!r} are not aligned")
+        raise ValueError(f"maps {bad[0]['reference']!r} and {bad[0][map_id]!r} are not aligned")
 
 
 def resample_trilinear(source: DataFrame, by: list[str], shift: tuple[float, float, float],
