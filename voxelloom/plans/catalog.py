@@ -1,6 +1,6 @@
 """All registered queries; importing the modules registers them."""
 
-from voxelloom.plans import q_density, q_masks, q_merge, q_hotspots  # noqa: F401
+from voxelloom.plans import q_density, q_masks, q_merge, q_hotspots, q_sites  # noqa: F401
 from voxelloom.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
