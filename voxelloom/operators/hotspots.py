@@ -7,17 +7,19 @@ from pyspark.sql import DataFrame, functions as F
 from voxelloom.functions import thermo
 from voxelloom.lattice import IJK, centre, voxel_key
 from voxelloom.operators import components, stencil
-from voxelloom.spark import ranked
+from voxelloom.spark import cut, ranked
 
 
 def cluster(voxels: DataFrame, by: list[str], strategy, **params) -> DataFrame:
     """Run a clustering strategy and bring the energies back to its labelled voxels.
 
     A strategy takes the voxels, the map columns and its parameters, and returns rows
-    ``(by, i, j, k, label, n_voxels)``; any callable with that shape will do.
+    ``(by, i, j, k, label, n_voxels)``; any callable with that shape will do.  Favourable
+    voxels and clusters are written out: all later stages start from them.
     """
+    voxels = cut(voxels.select(*by, *IJK, "agfe"))
     labels = strategy(voxels, by, **params)
-    return labels.join(voxels.select(*by, *IJK, "agfe"), [*by, *IJK])
+    return cut(labels.join(voxels, [*by, *IJK]))
 
 
 def strategy(name: str, gridsize: float, min_volume: float = 20.0, **kwargs):

@@ -46,7 +46,7 @@ def roll_up(rows: DataFrame, membership: DataFrame, voxels: DataFrame, gridsize:
     the rows (residence, accessible_fraction, agfe_mean_top_pct) are used where present.
     """
     have = set(rows.columns)
-    m = rows.join(membership, list(keys))
+    m = cut(rows.join(membership, list(keys)))
     w = F.abs("agfe_min")
     weighted = (F.count("agfe_min") == F.count(F.lit(1))) & (F.sum(w) > 0)
     aggs = [F.min("agfe_min").alias("agfe_min"), F.count(F.lit(1)).alias("n_hotspots"),

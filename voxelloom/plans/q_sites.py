@@ -204,7 +204,7 @@ def probe_coverage(spark, root):
 @query("chemotype_coverage", ["sclass"], """
 SELECT site_id, CAST(len(classes) AS INT) AS n_probe_chemotypes, round(len(classes) / 6e0, 6) AS probe_chemotype_coverage,
   array_to_string(list_filter(['aromatic', 'aliphatic', 'hydrophobic', 'polar', 'hbond_donor', 'hbond_acceptor',
-    'anionic', 'cationic'], x -> list_contains(classes, x)), ',') AS probe_chemotypes FROM sclass""")
+    'anionic', 'cationic'], lambda x: list_contains(classes, x)), ',') AS probe_chemotypes FROM sclass""")
 def chemotype_coverage(spark, root):
     table, _ = site_table(spark, root)
     return table.select("site_id", "n_probe_chemotypes",
