@@ -32,33 +32,56 @@ def typed_histograms(positions: DataFrame, by: list[str], gridsize: float,
     return typed.unionByName(whole)
 
 
-def extent(positions: DataFrame, frames: DataFrame, by: list[str], gridsize: float) -> DataFrame:
-    """Lattice window per map: the mean box about its centre, widened by what was seen.
+def mean_box(frames: DataFrame, by: list[str] = ()) -> DataFrame:
+    """Corners ``b0x .. b1z`` of the mean box: mean edges about the mean centre.
 
-    The box of half the mean edges is centred on half the mean edges.  Edges snap
-    outward, so windows differ by whole voxels only.
+    Without centres ``cx cy cz`` the box starts at the origin.
+    """
+    cols = []
+    for c in "xyz":
+        half = F.avg(f"l{c}") / F.lit(2.0)
+        mid = F.avg(f"c{c}") if f"c{c}" in frames.columns else half
+        cols += [(mid - half).alias(f"b0{c}"), (mid + half).alias(f"b1{c}")]
+    return frames.groupBy(*by).agg(*cols)
+
+
+def _with_box(df: DataFrame, frames: DataFrame, keys: list[str]) -> DataFrame:
+    box = mean_box(frames, keys)
+    return df.join(box, keys) if keys else df.join(F.broadcast(box), F.lit(True))
+
+
+def extent(positions: DataFrame, frames: DataFrame, by: list[str], gridsize: float,
+           box_by: list[str] = ()) -> DataFrame:
+    """Lattice window per map: the mean box, widened by what was seen and one voxel.
+
+    Edges snap outward, so windows differ by whole voxels only.
     """
     gs = F.lit(float(gridsize))
-    box = frames.agg(*[F.avg(f"l{a}").alias(f"l{a}") for a in "xyz"])
     seen = positions.groupBy(*by).agg(
         *[f(a).alias(f"{n}{a}") for a in "xyz" for n, f in (("lo", F.min), ("hi", F.max))])
-    joined = seen.join(F.broadcast(box), F.lit(True))
+    joined = _with_box(seen, frames, list(box_by))
     out = {}
     for a, i in zip("xyz", IJK):
-        lo = F.floor(F.least(F.lit(0.0), F.col(f"lo{a}") - gs) / gs)
-        hi = F.ceil(F.greatest(F.col(f"l{a}"), F.col(f"hi{a}") + gs) / gs)
+        lo = F.floor(F.least(F.col(f"b0{a}"), F.col(f"lo{a}") - gs) / gs)
+        hi = F.ceil(F.greatest(F.col(f"b1{a}"), F.col(f"hi{a}") + gs) / gs)
         out[f"lo_{i}"] = lo.cast("int")
         out[f"n_{i}"] = F.greatest(F.lit(1), (hi - lo)).cast("int")
     return joined.select(*by, *[c.alias(n) for n, c in out.items()])
 
 
-def outside_box(positions: DataFrame, frames: DataFrame, by: list[str]) -> DataFrame:
+def whole_window(extents: DataFrame) -> dict:
+    """The window that holds all maps (one row reaches the driver)."""
+    r = extents.agg(*[c for a in IJK for c in (F.min(f"lo_{a}").alias(f"lo_{a}"),
+                                               F.max(F.col(f"lo_{a}") + F.col(f"n_{a}")).alias(f"hi_{a}"))]).first()
+    return {a: (r[f"lo_{a}"], r[f"hi_{a}"]) for a in IJK}
+
+
+def outside_box(positions: DataFrame, frames: DataFrame, by: list[str], box_by: list[str] = ()) -> DataFrame:
     """Share of positions beyond the mean box on any axis."""
-    box = frames.agg(*[F.avg(f"l{a}").alias(f"l{a}") for a in "xyz"])
     beyond = F.lit(False)
     for a in "xyz":
-        beyond = beyond | (F.col(a) < 0) | (F.col(a) > F.col(f"l{a}"))
-    return (positions.join(F.broadcast(box), F.lit(True)).groupBy(*by)
+        beyond = beyond | (F.col(a) < F.col(f"b0{a}")) | (F.col(a) > F.col(f"b1{a}"))
+    return (_with_box(positions, frames, list(box_by)).groupBy(*by)
             .agg(F.avg(beyond.cast("double")).alias("frac_outside")))
 
 

@@ -2,41 +2,52 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, functions as F
 
 from voxelloom.functions import thermo
 from voxelloom.lattice import IJK
-from voxelloom.operators import density, smoothing
+from voxelloom.operators import smoothing
+
+
+def totals(hist: DataFrame, by: list[str], n_frames, n_accessible) -> DataFrame:
+    """Atoms per frame, frames and accessible voxels of each map.
 
+    *n_frames* and *n_accessible* are numbers, or tables of them by some of the map columns.
+    """
+    out = hist.groupBy(*by).agg(F.sum("n").alias("n_positions"))
+    for name, given in (("n_frames", n_frames), ("n_accessible", n_accessible)):
+        if isinstance(given, DataFrame):
+            out = out.join(given, [c for c in by if c in given.columns])
+        else:
+            out = out.withColumn(name, F.lit(float(given)))
+    return out.withColumn("n_atoms", F.col("n_positions") / F.col("n_frames"))
 
-def _with_atoms(hist: DataFrame, totals: DataFrame, by: list[str]) -> DataFrame:
-    return hist.join(totals.select(*by, "n_atoms"), by)
 
+def _inverted(counts: DataFrame, per_map: DataFrame, by: list[str], column: str, temperature: float,
+              floor_counts: float | None) -> DataFrame:
+    joined = counts.join(per_map.select(*by, "n_atoms", "n_frames", "n_accessible"), by)
+    return (joined.withColumn("agfe", thermo.agfe(column, "n_atoms", "n_frames", "n_accessible",
+                                                  temperature, floor_counts))
+            .drop("n_frames", "n_accessible"))
 
-def raw_map(hist: DataFrame, by: list[str], n_frames: int, n_accessible,
-            temperature: float = 300.0) -> DataFrame:
+
+def raw_map(hist: DataFrame, by: list[str], n_frames, n_accessible, temperature: float = 300.0) -> DataFrame:
     """Direct inversion; only visited voxels are stored (see :func:`background`)."""
-    totals = density.atoms_per_map(hist, by, n_frames)
-    return (_with_atoms(hist, totals, by)
-            .withColumn("agfe", thermo.agfe("n", "n_atoms", n_frames, n_accessible, temperature)))
+    return _inverted(hist, totals(hist, by, n_frames, n_accessible), by, "n", temperature, None)
 
 
-def smoothed_map(hist: DataFrame, by: list[str], n_frames: int, n_accessible, sigma: float,
+def smoothed_map(hist: DataFrame, by: list[str], n_frames, n_accessible, sigma: float,
                  window: dict, temperature: float = 300.0) -> DataFrame:
     """Smooth the counts, floor them at what the kernel can resolve, then invert."""
-    totals = density.atoms_per_map(hist, by, n_frames)
     smooth = smoothing.gaussian_counts(hist, by, sigma, window)
-    return (_with_atoms(smooth, totals, by)
-            .withColumn("agfe", thermo.agfe("smooth", "n_atoms", n_frames, n_accessible,
-                                            temperature, thermo.detection_floor(sigma))))
+    return _inverted(smooth, totals(hist, by, n_frames, n_accessible), by, "smooth", temperature,
+                     thermo.detection_floor(sigma))
 
 
-def background(totals: DataFrame, n_frames: int, n_accessible, temperature: float = 300.0,
+def background(per_map: DataFrame, n_frames, n_accessible, temperature: float = 300.0,
                floor_counts: float | None = None) -> DataFrame:
     """The value every voxel not stored has, per map."""
-    return totals.withColumn("background", thermo.agfe(
+    return per_map.withColumn("background", thermo.agfe(
         F.lit(0.0), "n_atoms", n_frames, n_accessible, temperature, floor_counts))
 
 
@@ -50,16 +61,15 @@ def combine_types(typed: DataFrame, by: list[str]) -> DataFrame:
     return typed.groupBy(*by, *IJK).agg(F.min("agfe").alias("agfe"))
 
 
-def sampling_report(totals: DataFrame, n_frames: int, n_accessible, sigma: float,
+def sampling_report(per_map: DataFrame, n_frames, n_accessible, sigma: float,
                     n_kt: float = 1.0, temperature: float = 300.0) -> DataFrame:
     """Per map: what one visit is worth, the deepest well noise alone makes, and the verdict."""
     kt = thermo.kt(temperature)
     pooled = thermo.pooled_voxels(sigma)
-    acc = n_accessible if not isinstance(n_accessible, (int, float)) else F.lit(float(n_accessible))
+    acc = F.lit(float(n_accessible)) if isinstance(n_accessible, (int, float)) else F.col(n_accessible)
     patches = F.greatest(F.lit(1.0), acc / F.lit(pooled))
     max_z = F.when(patches > 1, F.sqrt(F.lit(2.0) * F.ln(patches))).otherwise(F.lit(0.0))
-    out = totals.withColumn("bulk_counts_per_voxel",
-                            thermo.bulk_counts("n_atoms", float(n_frames), acc))
+    out = per_map.withColumn("bulk_counts_per_voxel", thermo.bulk_counts("n_atoms", n_frames, acc))
     out = out.withColumns({
         "pooled_voxels": F.lit(pooled),
         "pooled_bulk_counts": F.col("bulk_counts_per_voxel") * F.lit(pooled)})
@@ -84,7 +94,3 @@ def summary_line(report: DataFrame) -> DataFrame:
                         "agfe_of_one_visit", "noise_floor_agfe", "cutoff_agfe"),
         F.when(F.col("cutoff_below_noise_floor"), F.lit("  [CUTOFF BELOW NOISE FLOOR]"))
         .otherwise(F.lit("  [ok]"))))
-
-
-def kernel_reach(sigma: float, truncate: float = 4.0) -> int:
-    return int(math.floor(truncate * sigma + 0.5))

@@ -88,14 +88,23 @@ def accessible(solvent: DataFrame, protein: DataFrame, by: list[str], gridsize:
 
 
 def accessible_count(mask: DataFrame, protein: DataFrame, by: list[str], gridsize: float,
-                     window: dict, box: tuple[float, float, float]) -> DataFrame:
-    """Accessible voxels whose centre is in the box, at most the box volume less the protein's."""
-    inside = F.lit(True)
-    for axis, edge in zip(IJK, box):
+                     window: dict, boxes: DataFrame) -> DataFrame:
+    """Accessible voxels whose centre is in the box, at most the box volume less the protein's.
+
+    *boxes* has the corners ``b0x .. b1z``, per run if it has run columns, else one row.
+    """
+    keys = [c for c in by if c in boxes.columns]
+    inside, volume = F.lit(True), F.lit(1.0)
+    for axis, c in zip(IJK, "xyz"):
         mid = (F.col(axis) + F.lit(0.5)) * F.lit(float(gridsize))
-        inside = inside & (mid >= F.lit(-1e-9)) & (mid <= F.lit(edge + 1e-9))
-    box_voxels = int(round(box[0] * box[1] * box[2] / gridsize ** 3))
-    blocked = protein.filter(in_window(window)).agg(F.count_distinct(*IJK)).scalar()
-    return (mask.filter(inside).groupBy(*by).agg(F.count(F.lit(1)).alias("n_seen"))
-            .withColumn("cap", F.greatest(F.lit(1).cast("bigint"), F.lit(box_voxels) - blocked))
+        inside = inside & (mid >= F.col(f"b0{c}") - 1e-9) & (mid <= F.col(f"b1{c}") + 1e-9)
+        volume = volume * ((F.col(f"b1{c}") - F.col(f"b0{c}")) / F.lit(float(gridsize)))
+    pkeys = [c for c in keys if c in protein.columns]
+    blocked = (protein.filter(in_window(window)).groupBy(*pkeys)
+               .agg(F.count_distinct(*IJK).alias("_blocked")))
+    size = boxes.withColumn("_box", F.bround(volume).cast("bigint"))
+    size = size.join(blocked, pkeys, "left") if pkeys else size.join(F.broadcast(blocked), F.lit(True), "left")
+    size = size.withColumn("cap", F.greatest(F.lit(1).cast("bigint"), F.col("_box") - F.coalesce("_blocked", F.lit(0))))
+    joined = mask.join(size, keys) if keys else mask.join(F.broadcast(size), F.lit(True))
+    return (joined.filter(inside).groupBy(*by).agg(F.count(F.lit(1)).alias("n_seen"), F.first("cap").alias("cap"))
             .withColumn("n_accessible", F.least("n_seen", "cap")))

@@ -97,8 +97,8 @@ SELECT count(*) AS n_seen, greatest(1, 8000 - (SELECT count(*) FROM pvox WHERE i
 FROM accmask WHERE (i + 0.5e0) * 2.5e0 BETWEEN -1e-9 AND 50.000000001e0
   AND (j + 0.5e0) * 2.5e0 BETWEEN -1e-9 AND 50.000000001e0 AND (k + 0.5e0) * 2.5e0 BETWEEN -1e-9 AND 50.000000001e0""")
 def accessible_count(spark, root):
-    return stencil.accessible_count(accessible(spark, root), protein_voxels(spark, root), [], t.GRID,
-                                    t.WINDOW, (t.BOX, t.BOX, t.BOX))
+    box = density.mean_box(t.frames(spark, root).withColumns({c: F.lit(t.BOX) for c in ("lx", "ly", "lz")}))
+    return stencil.accessible_count(accessible(spark, root), protein_voxels(spark, root), [], t.GRID, t.WINDOW, box)
 
 
 @query("mask_union", ["fav"], """
