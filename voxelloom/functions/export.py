@@ -44,13 +44,20 @@ def point_label(x="x", y="y", z="z") -> Column:
 
 
 def three_digits(v) -> Column:
-    """Three significant digits, without trailing zeros (plain notation in 1e-4..1e15)."""
+    """Three significant digits without trailing zeros; powers of ten beyond 1e-4..1e3."""
     c = _c(v).cast("double")
-    mag = F.floor(F.log10(F.abs(c)))
-    step = F.pow(F.lit(10.0), F.lit(2.0) - mag)
-    text = F.format_string("%.10f", F.round(c * step) / step)
-    text = F.regexp_replace(F.regexp_replace(text, "0+$", ""), "\\.$", "")
-    return F.when(c == 0, F.lit("0")).otherwise(text)
+    step = F.pow(F.lit(10.0), F.lit(2.0) - F.floor(F.log10(F.abs(c))))
+    near = F.round(c * step) / step
+    mag = F.floor(F.log10(F.abs(near)) + F.lit(1e-12)).cast("int")
+
+    def trimmed(text):
+        return F.regexp_replace(F.regexp_replace(text, "0+$", ""), "\\.$", "")
+
+    plain = trimmed(F.format_string("%.7f", near))
+    power = F.concat(trimmed(F.format_string("%.2f", near / F.pow(F.lit(10.0), mag))),
+                     F.when(mag < 0, F.lit("e-")).otherwise(F.lit("e+")), F.lpad(F.abs(mag).cast("string"), 2, "0"))
+    return (F.when(c == 0, F.lit("0")).when(c.isNotNull() & mag.between(-4, 2), plain)
+            .when(c.isNotNull(), power))
 
 
 def property_label(pairs) -> Column:
