@@ -4,7 +4,7 @@ from collections import deque
 import numpy as np
 import pandas as pd
 import pytest
-from hypothesis import given, settings, strategies as st
+from hypothesis import Phase, given, settings, strategies as st
 
 from tests.conftest import rows
 from voxelloom import lattice
@@ -75,7 +75,7 @@ def test_size_filter_keeps_numbers(voxels):
     assert {(r["label"], r["n_voxels"]) for r in got.collect()} == {(1, 125), (3, 125)}
 
 
-@settings(max_examples=8, deadline=None)
+@settings(max_examples=3, deadline=None, phases=[Phase.explicit, Phase.generate])
 @given(st.lists(st.tuples(*[st.integers(0, 4)] * 3), min_size=1, max_size=30, unique=True), st.integers(-50, 50))
 def test_labels_do_not_depend_on_the_place(spark, cells, shift):
     def labels(s):
@@ -247,20 +247,20 @@ def brute_markers(f, h):
 
 def test_watershed_against_brute_force(voxels):
     rng = np.random.default_rng(5)
-    base = rng.random((7, 6, 6)).round(2)
+    base = rng.random((6, 5, 5)).round(2)
     f = np.where(base > 0.35, 0.6 + base * 2, 0.0)
-    seeds = brute_components(brute_markers(f, 0.3), 6)
+    seeds = brute_components(brute_markers(f, 0.31), 6)
     want = brute_flood(-f, {tuple(v): int(seeds[tuple(v)]) for v in np.argwhere(seeds)})
-    got = watershed.label(voxels(-f), BY, 1, h=0.3)
+    got = watershed.label(voxels(-f), BY, 1, h=0.31)
     have = {(r["i"], r["j"], r["k"]): r["label"] for r in got.collect()}
     assert have == {v: m for v, m in want.items() if m is not None}
     assert len(set(have.values())) == len({m for m in want.values() if m is not None}) > 1
 
 
 def test_watershed_splits_and_large_h_merges(voxels):
-    x, y, z = np.indices((21, 9, 9)).astype(float)
+    x, y, z = np.indices((20, 9, 9)).astype(float)
     well = lambda c: 2 * np.exp(-((x - c) ** 2 + (y - 4) ** 2 + (z - 4) ** 2) / 8)
-    f = well(6) + well(13)
+    f = well(6) + 0.9 * well(13)
     f = np.where(f > 0.6, f, 0.0)
     two = watershed.label(voxels(-f), BY, 1, h=0.2)
     assert {r["label"] for r in two.collect()} == {1, 2} and two.count() == int((f > 0).sum())
@@ -341,11 +341,16 @@ def test_solids_have_known_shapes(voxels):
 
 
 def test_hull_counts_points_inside(voxels):
-    """A ball: every lattice point within the hull of its voxels is in the ball or its flat rims."""
-    x, y, z = np.indices((15, 15, 15)) - 7
-    ball = (x ** 2 + y ** 2 + z ** 2 <= 36).astype(float)
-    h = regions.hulls(voxels(ball), BY).first()
-    assert h["area"] <= h["area_convex"] <= 1.08 * h["area"]
+    """A ball against its supporting planes in all small integer directions."""
+    x, y, z = np.indices((11, 11, 11)) - 5
+    ball = x ** 2 + y ** 2 + z ** 2 <= 16
+    at = np.argwhere(ball)
+    rims = np.concatenate([at + s * 0.5 * e for e in np.eye(3) for s in (-1, 1)])
+    ways = np.array(list(itertools.product(range(-5, 6), repeat=3)))
+    grid = np.argwhere(np.ones_like(ball))
+    inside = (grid @ ways.T <= (rims @ ways.T).max(0) + 1e-9).all(axis=1).sum()
+    h = regions.hulls(voxels(ball.astype(float)), BY).first()
+    assert h["area"] == ball.sum() and h["area_convex"] == inside
 
 
 def test_axes_match_numpy(voxels):

@@ -151,11 +151,18 @@ def majority(masks: DataFrame, metas: DataFrame, by: list[str], min_fraction: fl
              map_id: str = "replica") -> DataFrame:
     """Voxels set in at least *min_fraction* of the runs that cover them.
 
-    Coverage is arithmetic on the run windows: each voxel joins the run catalog of its
-    owner, one row per run.
+    Coverage is arithmetic on the run windows, which travel as one short array per owner.
     """
     seen = masks.groupBy(*by, *IJK).agg(F.count_distinct(map_id).alias("votes"))
-    cover = seen.join(metas.select(*by, map_id, *[f"{p}_{a}" for p in ("lo", "n") for a in IJK]), by)
-    return (cover.filter(_inside("lo", "n")).groupBy(*by, *IJK)
-            .agg(F.first("votes").alias("votes"), F.count(F.lit(1)).alias("n_cover"))
-            .filter(F.col("votes") / F.col("n_cover") >= F.lit(float(min_fraction))))
+    spans = [F.col(f"{p}_{a}") for p in ("lo", "n") for a in IJK]
+    runs = metas.groupBy(*by).agg(F.collect_list(F.struct(*spans)).alias("_runs"))
+    joined = seen.join(runs, by) if by else seen.join(F.broadcast(runs), F.lit(True))
+
+    def holds(run):
+        cond = F.lit(True)
+        for a in IJK:
+            cond = cond & (F.col(a) >= run[f"lo_{a}"]) & (F.col(a) < run[f"lo_{a}"] + run[f"n_{a}"])
+        return cond
+
+    return (joined.withColumn("n_cover", F.size(F.filter("_runs", holds))).drop("_runs")
+            .filter((F.col("n_cover") > 0) & (F.col("votes") >= F.lit(float(min_fraction)) * F.col("n_cover"))))

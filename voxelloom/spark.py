@@ -3,33 +3,42 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 
+_local_dirs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints and intermediate tables.
+    """The folder for intermediate tables and stream state.
 
     Taken from ``spark.checkpoint.dir`` of the session.  Only a local session without
     the setting gets a temporary folder; on a cluster that would sit on one machine.
     """
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    current = sc._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return path or current.get()
-    if not path:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        path = tempfile.mkdtemp(prefix="voxelloom-")
-    sc.setCheckpointDir(path)
-    return path
-
-
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Write *df* out once and go on from the files, so a lost executor costs no long replay."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+    if path:
+        return path.rstrip("/")
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    if sc.applicationId not in _local_dirs:
+        _local_dirs[sc.applicationId] = tempfile.mkdtemp(prefix="voxelloom-")
+    return _local_dirs[sc.applicationId]
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write *df* out once as a table in the shared folder and go on from there.
+
+    A lost executor then costs no long replay.  The table also starts a fresh plan: a
+    checkpointed frame keeps the constraints of what made it, and in a loop of self-joins
+    they double every round.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/voxelloom/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def running_total(df: DataFrame, group: list[str], order: list, weight=None,
