@@ -144,9 +144,9 @@ def repulsion(left: DataFrame, right: DataFrame, by: str, epsilon: float, sigma:
     def add(batches):
         for pdf in batches:
             names = pairs.flat(pdf, f"r_{by}")
-            for _, i, j in pairs.spread(pdf):
-                d = pairs.distances(pdf, i, j)
-                ok = (d * d <= r_max * r_max) & (d * d >= r_min * r_min)
+            for _, _, j, sq in pairs.near(pdf):
+                d = np.sqrt(sq)
+                ok = (sq <= r_max * r_max) & (sq >= r_min * r_min)
                 part = pd.DataFrame({by: names[j[ok]], "e": 4 * epsilon * (sigma / d[ok]) ** 12, "n": np.int64(1)})
                 yield part.groupby(by, as_index=False).sum()
 
