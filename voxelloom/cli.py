@@ -1,4 +1,4 @@
-"""Command line: ``spark-submit -m voxelloom.cli -cfg analysis.yaml`` or ``--generate-config FILE``."""
+"""Command line: ``python -m voxelloom.cli -cfg analysis.yaml`` or ``--generate-config FILE``."""
 
 from __future__ import annotations
 
