@@ -1,0 +1,21 @@
+import pytest
+from pyspark.sql import SparkSession
+
+
+@pytest.fixture(scope="session")
+def spark():
+    s = (SparkSession.builder.master("local[4]").appName("tests")
+         .config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false")
+         .config("spark.driver.memory", "6g").config("spark.sql.session.timeZone", "UTC").getOrCreate())
+    s.sparkContext.setLogLevel("ERROR")
+    yield s
+
+
+@pytest.fixture(scope="session")
+def documents(spark):
+    """Documents from ``(doc_id, text)`` or ``(doc_id, text, lang, source)``, with a clashing extra column."""
+    def make(rows):
+        full = [(*r, *("en", "s")[len(r) - 2:]) if len(r) < 4 else r for r in rows]
+        return spark.createDataFrame([(i, t, lang, s, None if t is None else len(t), "x") for i, t, lang, s in full],
+                                     "doc_id bigint, text string, lang string, source string, n_chars bigint, line string")
+    return make

@@ -22,8 +22,9 @@ SLOTS_LOG2 = 20
 #: At most so many labelled rows are learnt from, those with the smallest hash of the id.
 SAMPLE_ROWS = 20_000
 SHARD_ROWS = 20_000
-EPOCHS = 3
-ALPHA, BETA, L1, L2 = 0.1, 1.0, 2.0, 0.1
+EPOCHS = 4
+#: Chance evidence of a coordinate grows with the root of the rows, so the L1 strength does too.
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 0.06, 0.0
 FOLDS, HELD_OUT = 5, 0
 
 _PUNCTUATION = bytes(32 if c < 48 or 58 <= c < 65 or 91 <= c < 97 or 123 <= c < 128 else c for c in range(256))
@@ -59,13 +60,14 @@ def coordinates(h: np.ndarray, bits: int = SLOTS_LOG2) -> np.ndarray:
 def ftrl(rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, bits: int = SLOTS_LOG2):
     """Weights and bias after *epochs* passes in the given order."""
     size = 1 << bits
+    l1 = max(1.0, L1 * math.sqrt(len(rows)))
     z, n = np.zeros(size), np.zeros(size)
     share = (labels.sum() + 0.5) / (len(labels) + 1.0)
     bias, bias_n = math.log(share / (1 - share)), 0.0
 
     def weights(at):
         zz, nn = z[at], n[at]
-        return np.where(np.abs(zz) <= L1, 0.0, (np.sign(zz) * L1 - zz) / ((BETA + np.sqrt(nn)) / ALPHA + L2))
+        return np.where(np.abs(zz) <= l1, 0.0, (np.sign(zz) * l1 - zz) / ((BETA + np.sqrt(nn)) / ALPHA + L2))
 
     for _ in range(epochs):
         for at, y in zip(rows, labels):
@@ -78,7 +80,7 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, bits:
             n[at] = nn + g * g
             bias_n += g * g
             bias -= ALPHA * g / (BETA + math.sqrt(bias_n))
-    there = np.flatnonzero(np.abs(z) > L1)
+    there = np.flatnonzero(np.abs(z) > l1)
     return there, weights(there), bias
 
 
