@@ -32,6 +32,8 @@ class Work:
     def put(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.mode("overwrite").parquet(path)
+        # the plan of the write is garbage now; once it is collected, Spark's cleaner removes its shuffle files
+        self.spark._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

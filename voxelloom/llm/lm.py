@@ -32,7 +32,7 @@ from voxelloom.llm.eliasfano import Trie, quantise, restore
 
 FOLDS, HELD_OUT = 7, 2
 DISCOUNT = 0.75
-CHUNK_TOKENS = 4_000_000
+CHUNK_TOKENS = 1_000_000
 #: The successors of a context are dealt over so many shards, so a very common word is no hot one.
 SPREAD = 16
 END = xxhash.xxh64_intdigest(b"")  # no word is empty
@@ -40,9 +40,13 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays with their types and lengths, compressed."""
+    """Arrays with their types and lengths, compressed byte plane by byte plane (high bytes are mostly 0)."""
     head = np.array([len(arrays)] + [x for a in arrays for x in (ord(a.dtype.char), len(a))], dtype=np.int64)
-    return zstandard.ZstdCompressor(level=1).compress(b"".join([head.tobytes(), *(a.tobytes() for a in arrays)]))
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([head.tobytes(), *(_planes(a).tobytes() for a in arrays)]))
+
+
+def _planes(a: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T) if len(a) else a
 
 
 def unpack(raw: bytes) -> list[np.ndarray]:
@@ -51,24 +55,23 @@ def unpack(raw: bytes) -> list[np.ndarray]:
     head = np.frombuffer(data, np.int64, 2 * n, 8)
     at, out = 8 * (1 + 2 * n), []
     for code, size in head.reshape(-1, 2).tolist():
-        out.append(np.frombuffer(data, np.dtype(chr(code)), size, at))
-        at += out[-1].nbytes
+        kind = np.dtype(chr(code))
+        raw = np.frombuffer(data, np.uint8, size * kind.itemsize, at)
+        out.append(np.ascontiguousarray(raw.reshape(kind.itemsize, size).T).reshape(-1).view(kind) if size else np.zeros(0, kind))
+        at += len(raw)
     return out
 
 
 def chunks(docs: DataFrame, size: int = CHUNK_TOKENS) -> DataFrame:
-    """``chunk, n, packed``: ids, fold marks, document ends, word numbers and the sorted word hashes of a chunk."""
+    """``chunk, n, packed``: ids, fold marks, document ends, word numbers and the word hashes of a chunk, by number."""
     def run(batches):
         ids, rows, total, known = [], [], 0, {}
 
         def flush():
             hashes = np.fromiter(map(xxhash.xxh64_intdigest, known), dtype=np.uint64, count=len(known))
-            order = np.argsort(hashes)
-            place = np.empty(len(order), dtype=np.uint32)
-            place[order] = np.arange(len(order), dtype=np.uint32)
             held = np.array([zlib.crc32(str(i).encode()) % FOLDS == HELD_OUT for i in ids], dtype=np.uint8)
             ends = np.cumsum([len(r) for r in rows]).astype(np.int64)
-            packed = pack(np.array(ids, dtype=np.int64), held, ends, place[np.concatenate(rows)], hashes[order])
+            packed = pack(np.array(ids, dtype=np.int64), held, ends, np.concatenate(rows), hashes)
             return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([total], pa.int64()),
                                                pa.array([packed], pa.binary())], ["chunk", "n", "packed"])
 
@@ -103,6 +106,8 @@ def vocabulary(parts: DataFrame, shards: int) -> DataFrame:
             for chunk, raw in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
                 _, held, ends, tokens, hashes = unpack(raw)
                 n = np.bincount(tokens[_train_tokens(ends, held)], minlength=len(hashes)).astype(np.int64)
+                order = np.argsort(hashes)
+                hashes, n = hashes[order], n[order]
                 cut = np.searchsorted(hashes, _bounds(shards))
                 cut = np.concatenate([[0], cut, [len(hashes)]])
                 out += [(chunk, 0, s, pack(hashes[a:b], n[a:b])) for s, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if a < b]
@@ -140,9 +145,11 @@ class _Chunk:
         self.ids, self.held, self.ends, self.tokens, self.hashes = unpack(raw)
         told = told[told["kind"] == 0].sort_values("shard")
         got = [(int(s), *unpack(x)) for s, x in zip(told["shard"], told["packed"])]
-        self.number = np.concatenate([g[1].astype(np.uint64) + np.uint64(starts[g[0]]) for g in got])
-        self.count = np.concatenate([g[2] for g in got])
-        end = np.uint32(np.searchsorted(self.hashes, np.uint64(END)))
+        order = np.argsort(self.hashes)
+        self.number, self.count = np.empty(len(order), dtype=np.uint64), np.empty(len(order), dtype=np.int64)
+        self.number[order] = np.concatenate([g[1].astype(np.uint64) + np.uint64(starts[g[0]]) for g in got])
+        self.count[order] = np.concatenate([g[2] for g in got])
+        end = np.uint32(np.flatnonzero(self.hashes == np.uint64(END))[0])
         before = np.concatenate([[end], self.tokens[:-1]])  # a document ends with the end token, which starts the next
         pair = before.astype(np.uint64) * np.uint64(len(self.hashes)) + self.tokens
         self.pairs, self.place = np.unique(pair, return_inverse=True)
@@ -162,7 +169,7 @@ class _Chunk:
 
 
 def _contexts(keys: np.ndarray) -> np.ndarray:
-    """Index of the first pair of each context in sorted pairs."""
+    """Index of the first pair of each context; pairs of a context stand together."""
     return np.flatnonzero(np.concatenate([[True], (keys[1:] >> np.uint64(32)) != (keys[:-1] >> np.uint64(32))]))
 
 

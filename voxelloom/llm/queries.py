@@ -98,7 +98,25 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(vectors, vectors.where("vec_id % 100 = 0"))
 
 
-@query("op3_line_dedup")
+_OP3 = r"""
+WITH line AS (SELECT doc_id, CAST(i - 1 AS INT) AS line, list_distinct(list_filter(regexp_split_to_array(
+    translate(string_split(text, chr(10))[i], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t-\r]+'), lambda w: w <> '')) AS words
+  FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents WHERE doc_id IS NOT NULL)),
+big AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY doc_id, line) AS k, len(words) AS n FROM line WHERE len(words) >= 5),
+word AS (SELECT k, n, unnest(words) AS w FROM big),
+freq AS (SELECT w, count(*) AS f FROM word GROUP BY w),
+placed AS (SELECT k, n, w, row_number() OVER (PARTITION BY k ORDER BY f, w) AS place FROM word JOIN freq USING (w)),
+head AS MATERIALIZED (SELECT k, n, w FROM placed WHERE place <= n - CAST(ceil(n * 0.8) AS INT) + 1),
+pair AS (SELECT DISTINCT a.k AS k, b.k AS j FROM head a JOIN head b ON a.w = b.w AND b.k < a.k AND a.n * 5 >= b.n * 4 AND b.n * 5 >= a.n * 4),
+gone AS (SELECT DISTINCT k FROM pair JOIN big a USING (k) JOIN big b ON b.k = pair.j
+  WHERE 5 * len(list_intersect(a.words, b.words)) >= 4 * (a.n + b.n - len(list_intersect(a.words, b.words)))),
+cut AS (SELECT doc_id, list(line) AS lines FROM gone JOIN big USING (k) GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(len(string_split(text, chr(10))), 0) AS INT) AS n_lines, CAST(coalesce(len(lines), 0) AS INT) AS n_removed,
+  md5(CASE WHEN lines IS NULL THEN text ELSE coalesce(array_to_string([x FOR x, i IN string_split(text, chr(10)) IF NOT list_contains(lines, i - 1)], chr(10)), '') END) AS text_md5
+FROM documents LEFT JOIN cut USING (doc_id) WHERE doc_id IS NOT NULL"""
+
+
+@query("op3_line_dedup", _OP3)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = linededup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_removed", F.md5("text").alias("text_md5"))
@@ -134,7 +152,30 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-@query("op10_mixing")
+def _op10_sql() -> str:
+    """The same sweeps as a chain of views, one per dimension and sweep."""
+    views = [r"""doc AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang,
+    CAST(coalesce(len(regexp_extract_all(text, '[^ \t-\r]+')), 0) AS BIGINT) AS n_tokens FROM documents WHERE doc_id IS NOT NULL)""",
+             """topical AS MATERIALIZED (SELECT *, CASE WHEN n_tokens < 150 THEN 'short' WHEN n_tokens < 600 THEN 'medium' ELSE 'long' END AS topic FROM doc)""",
+             "c0 AS MATERIALIZED (SELECT source, lang, topic, sum(n_tokens) AS tokens, CAST(sum(n_tokens) AS DOUBLE) AS w FROM topical GROUP BY ALL)"]
+    for dim in mixing.DIMS:
+        power = 0.0 if dim == "topic" else mixing.TEMPER
+        views.append(f"t_{dim} AS MATERIALIZED (SELECT {dim}, pow(sum(tokens), {power}) / sum(pow(sum(tokens), {power})) OVER () AS share "
+                     f"FROM c0 GROUP BY {dim} HAVING sum(tokens) > 0)")
+    k = 0
+    for _ in range(mixing.SWEEPS):
+        for dim in mixing.DIMS:
+            views.append(f"c{k + 1} AS MATERIALIZED (SELECT c.* REPLACE (c.w * coalesce(share * (SELECT sum(tokens) FROM c0) / nullif(have, 0), 0) AS w) "
+                         f"FROM c{k} c LEFT JOIN (SELECT {dim}, sum(w) AS have FROM c{k} GROUP BY {dim}) USING ({dim}) LEFT JOIN t_{dim} USING ({dim}))")
+            k += 1
+    views.append(f"p AS (SELECT source, lang, topic, ratio / max(ratio) OVER () AS p FROM (SELECT *, CASE WHEN tokens > 0 THEN w / tokens ELSE 0 END AS ratio FROM c{k}))")
+    return "WITH " + ",\n".join(views) + """
+SELECT doc_id, topic, n_tokens, round(p, 6) AS probability,
+  n_tokens > 0 AND CAST('0x' || substr(md5('mix:' || doc_id), 1, 8) AS BIGINT) / 4294967296.0 < p AS selected
+FROM topical JOIN p USING (source, lang, topic)"""
+
+
+@query("op10_mixing", _op10_sql())
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "topic", "n_tokens", F.round("probability", 6).alias("probability"), "selected")
