@@ -172,18 +172,23 @@ def test_text_sources(spark, tmp_path):
     r = pdb.atoms(lines).first()
     assert (r["name"], r["resname"], r["chain"], r["resid"], r["x"], r["z"], r["bfactor"], r["element"]) == (
         "CA", "ALA", "B", 7, 11.104, -6.504, 2.5, "C")
-    assert "mol addrep top" in scripts.vmd_text("a.parm7", "b.nc", ["m.dx"], "out")
 
 
 def test_config_rules(tmp_path):
     run = {"trajectory": "t.parquet", "topology": "/abs/a.parquet", "cosolvents": ["BEN"]}
     c = config.AnalysisConfig.from_dict({"out_path": "out", "simulations": [run]}, "/base")
     assert c.out_path == "/base/out" and c.simulations[0].trajectory == "/base/t.parquet"
-    assert c.simulations[0].topology == "/abs/a.parquet" and c.hotspots.clustering.min_voxels(0.8) == 39
+    assert c.simulations[0].topology == "/abs/a.parquet" and c.min_voxels() == 160
     assert c.cutoff() == pytest.approx(-0.59616123)
     for bad in ({"simulations": [run]}, {"out_path": "o"}, {"out_path": "o", "simulations": [run], "extra": 1},
                 {"out_path": "o", "simulations": [{"trajectory": "t"}]}, {"out_path": "o", "simulations": [{**run, "x": 1}]},
-                {"out_path": "o", "simulations": [run], "hotspots": {"clustering": {"depth": 3}}}):
+                {"out_path": "o", "simulations": [run], "hotspots": {"clustering": {"depth": 3}}},
+                {"out_path": "o", "simulations": [run], "report": {"rdf": True}},
+                {"out_path": "o", "simulations": [run], "density_maps": {"gridsize": "0.5"}},
+                {"out_path": "o", "simulations": [run], "density_maps": {"gridsize": 0}},
+                {"out_path": "o", "simulations": [run], "binding_sites": {"connectivity": 18}},
+                {"out_path": "o", "simulations": [run], "binding_sites": {"probe_chemotypes": {"XYZ": ["odd"]}}},
+                {"out_path": "o", "simulations": [run], "hotspots": {"survival_kwargs": {"tau": 3}}}):
         with pytest.raises(ValueError):
             config.AnalysisConfig.from_dict(bad)
     path = f"{tmp_path}/a.yaml"
@@ -191,7 +196,6 @@ def test_config_rules(tmp_path):
     assert config.AnalysisConfig.from_yaml(path).binding_sites.connectivity == 6
     with pytest.raises(FileNotFoundError):
         config.AnalysisConfig.from_yaml(f"{tmp_path}/b.yaml")
-    assert builder.reduced_copies(100, 2) == 81
 
 
 def test_streams_take_late_frames_and_many_batches(spark, tmp_path):
@@ -244,3 +248,87 @@ def test_whole_analysis(spark, tmp_path):
         assert os.path.isdir(f"{tmp_path}/out/{name}"), name
     text = "\n".join(r["value"] for r in spark.read.text(f"{tmp_path}/out/merged/session_pml").collect())
     assert "load" in text and "bs_1_pocket" in text
+
+
+def _analysis(spark, tmp_path, frames, cosolvents=("BEN", "ACT"), **survival):
+    """Runs of different length with one always bound molecule of each probe."""
+    atoms = [(n, res, name, name[0], res_id, "A", None) for n, (res, name, res_id) in enumerate(
+        [("BEN", "C1", 1), ("BEN", "C2", 1), ("ACT", "O1", 2), ("ACT", "C3", 2), ("HOH", "O", 3)])]
+    topo = f"{tmp_path}/atoms"
+    spark.createDataFrame(atoms, "atom_id long, resname string, name string, element string, resid long, chain string, atype string").write.parquet(topo)
+    place = {0: (5, 5, 5), 1: (5.5, 5, 5), 2: (5, 5, 6), 3: (5.5, 5, 6), 4: (12, 12, 12)}
+    sims = []
+    for run, n in enumerate(frames):
+        here = ("ACT",) if run == 0 and len(cosolvents) == 1 else ("BEN", "ACT")
+        rows = [(f, a, *map(float, xyz), 16.0, 16.0, 16.0) for f in range(n) for a, xyz in place.items()
+                if atoms[a][1] in here or atoms[a][1] == "HOH"]
+        spark.createDataFrame(rows, "frame int, atom_id long, x double, y double, z double, lx double, ly double, lz double").write.parquet(f"{tmp_path}/r{run}")
+        sims.append({"trajectory": f"{tmp_path}/r{run}", "topology": topo, "cosolvents": list(here)})
+    cfg = config.AnalysisConfig.from_dict({"out_path": f"{tmp_path}/o", "simulations": sims, "density_maps": {"gridsize": 1.0},
+                                           "hotspots": {"survival_kwargs": {"max_tau": 8, "dt_ps": 1.0, **survival}}})
+    a = analysis.Analysis(spark, cfg)
+    hot = [("BEN", 1, 1, 5.0, 5.0, 5.0), ("ACT", 1, 1, 5.0, 5.0, 5.5)]
+    a._made["all_hotspots"] = spark.createDataFrame(hot, "probe string, label int, rank int, centroid_x double, centroid_y double, centroid_z double")
+    return a
+
+
+def test_runs_of_unequal_length_keep_their_own_end(spark, tmp_path):
+    a = _analysis(spark, tmp_path, (10, 30), radius=3.0)
+    got = a.survival().collect()
+    assert len(got) == 18 and all(r["sp_mean"] == 1.0 and r["n_replicas"] == 2 for r in got)
+
+
+def test_adaptive_radius_of_a_probe_missing_from_the_first_run(spark, tmp_path):
+    a = _analysis(spark, tmp_path, (5, 5), cosolvents=("ACT",), radius="adaptive")
+    a.survival().collect()
+    assert {r["probe"] for r in a._made["zones"].collect()} == {"BEN", "ACT"}
+
+
+def test_given_zones_stay_with_their_probe(spark, tmp_path):
+    zones = f"{tmp_path}/zones.csv"
+    spark.createDataFrame([(5.0, 5.0, 5.0), (5.2, 5.0, 5.0), (40.0, 40.0, 40.0)], "X double, Y double, Z double").repartition(3).write.csv(zones, header=True)
+    a = _analysis(spark, tmp_path, (6, 6), radius=3.0, zones_csv=zones, sp_top_n=0)
+    out = a.hotspots if False else a.with_kinetics(a._made["all_hotspots"])
+    got = sorted((r["probe"], r["rank"], r["sp_mrt"]) for r in out.collect())
+    assert got == [("ACT", 1, 5.0), ("BEN", 1, 5.0)]
+    ids = sorted(int(r["zone_id"].split("|")[1]) for r in a._made["zones"].filter("probe = 'BEN'").collect())
+    assert ids == [0, 1, 2]
+
+
+def test_stream_reads_a_folder_and_a_file(spark, tmp_path):
+    df = spark.createDataFrame([("z", 0, 1, f) for f in range(40)], "zone string, replica int, mol int, frame int")
+    df.repartition(5).write.parquet(f"{tmp_path}/in/folder.parquet")
+    df.toPandas().to_parquet(f"{tmp_path}/in/file.parquet")
+    for name in ("folder", "file"):
+        s = stream.read_table(spark, f"{tmp_path}/in", name, df.schema)
+        stream.run_to_table(stream.stays(s), f"{tmp_path}/{name}", f"{tmp_path}/{name}-state")
+        assert rows(stream.settled_stays(spark.read.parquet(f"{tmp_path}/{name}")), "start", "end") == [(0, 39)]
+
+
+def test_stays_with_a_watermark_free_their_state(spark, tmp_path):
+    src, schema = f"{tmp_path}/in", "zone string, replica int, mol int, frame int"
+    for n, frames in enumerate([(0, 1, 2), (500, 501), (502, 3), (900,)]):        # 3 comes too late
+        spark.createDataFrame([("z", 0, 1, f) for f in frames], schema).coalesce(1).write.mode("append").parquet(src)
+    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    stream.run_to_table(stream.stays(s, late=100), f"{tmp_path}/out", f"{tmp_path}/state")
+    got = rows(stream.settled_stays(spark.read.parquet(f"{tmp_path}/out")), "start", "end")
+    assert got[0] in ((0, 2), (0, 3)) and (500, 502) in got and (900, 900) in got
+
+
+def test_dx_lines_of_any_width(spark, tmp_path):
+    from voxelloom.sources import dx
+    head = ["object 1 class gridpositions counts 2 2 3", "origin 0.5 0.5 0.5", "delta 1 0 0", "delta 0 1 0", "delta 0 0 1",
+            "object 3 class array type double rank 0 items 12 data follows"]
+    with open(f"{tmp_path}/a.dx", "w") as f:
+        f.write("\n".join([*head, "1 2 3 4 5", "6", "7 8 9 10 11 12", 'attribute "dep" string "positions"']) + "\n")
+    got = {(r["i"], r["j"], r["k"]): r["value"] for r in dx.read(spark, [f"{tmp_path}/a.dx"]).collect()}
+    assert len(got) == 12 and got[0, 0, 2] == 3 and got[0, 1, 0] == 4 and got[1, 1, 2] == 12
+    with open(f"{tmp_path}/b.dx", "w") as f:
+        f.write("\n".join([*head, "1 2 3 4 5"]) + "\n")
+    with pytest.raises(Exception, match="header says"):
+        dx.read(spark, [f"{tmp_path}/b.dx"]).collect()
+
+
+def test_halton_uses_all_digits(spark):
+    got = builder.halton(spark.range(2).selectExpr("5 + id * (1L << 40) AS id"), "id").collect()
+    assert got[0]["u"] != got[1]["u"]

@@ -98,20 +98,20 @@ def membrane_side(points: DataFrame, lipids: DataFrame, side: str) -> DataFrame:
     return points.filter(F.col("z") <= edge if side == "inside" else F.col("z") >= edge)
 
 
-def _radical_inverse(n: Column, base: int, digits: int) -> Column:
-    """Digits of *n* in *base*, mirrored behind the point."""
-    total = F.lit(0.0)
-    for d in range(digits):
-        digit = F.floor(n / F.lit(float(base ** d))).cast("bigint") % F.lit(base)
-        total = total + digit / F.lit(float(base) ** (d + 1))
+def _radical_inverse(n: Column, base: int) -> Column:
+    """Digits of *n* in *base*, mirrored behind the point; all digits a BIGINT can have."""
+    total, d = F.lit(0.0), 0
+    while base ** d < 1 << 63:
+        digit = F.call_function("div", n.cast("bigint"), F.lit(base ** d).cast("bigint")) % F.lit(base)
+        total, d = total + digit / F.lit(float(base) ** (d + 1)), d + 1
     return total
 
 
 def halton(ids: DataFrame, n: str, lower=(0.0, 0.0, 0.0), upper=(1.0, 1.0, 1.0)) -> DataFrame:
     """Halton points in bases 2, 3 and 5 for the given numbers, scaled to a box."""
     out = ids
-    for name, base, digits, lo, hi in zip("uvw", (2, 3, 5), (30, 20, 14), lower, upper):
-        out = out.withColumn(name, F.lit(float(lo)) + F.lit(float(hi - lo)) * _radical_inverse(F.col(n), base, digits))
+    for name, base, lo, hi in zip("uvw", (2, 3, 5), lower, upper):
+        out = out.withColumn(name, F.lit(float(lo)) + F.lit(float(hi - lo)) * _radical_inverse(F.col(n), base))
     return out
 
 
@@ -127,13 +127,6 @@ def atom_names(atoms: DataFrame, by: list[str], symbol: str, order: str) -> Data
     return atoms.withColumn("atom_name", F.concat(F.col(symbol), F.row_number().over(w).cast("string")))
 
 
-def reduced_copies(copies: int, attempt: int, factor: float = 0.9) -> int:
-    """Copies left after a number of failed attempts."""
-    for _ in range(attempt):
-        copies = int(copies * factor)
-    return copies
-
-
 def repulsion(left: DataFrame, right: DataFrame, by: str, epsilon: float, sigma: float,
               r_min: float, r_max: float) -> DataFrame:
     """Sum of ``4 eps (sigma / r)^12`` over near pairs, per group of the right side."""

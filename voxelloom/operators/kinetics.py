@@ -34,16 +34,18 @@ def _reach(df: DataFrame, edge: float, radius: Column) -> DataFrame:
     return out
 
 
-def occupancy(positions: DataFrame, zones: DataFrame, edge: float = 6.0) -> DataFrame:
+def occupancy(positions: DataFrame, zones: DataFrame, edge: float = 6.0, keys=()) -> DataFrame:
     """Atoms inside zones ``(zone_id, x, y, z, radius)``, for all zones and frames at once.
 
+    An atom meets the zones that agree with it in *keys*.
+
     Zones are put into the lattice cells they touch and met by cell equality.  An atom only
     meets the zones of its own cell, and Spark broadcasts the zones when they are small.
     """
     z = _reach(zones, edge, F.col("radius")).select(
-        "zone_id", "radius", "gx", "gy", "gz", *[F.col(c).alias(f"z{c}") for c in "xyz"])
+        *keys, "zone_id", "radius", "gx", "gy", "gz", *[F.col(c).alias(f"z{c}") for c in "xyz"])
     gap = sum((F.col(c) - F.col(f"z{c}")) * (F.col(c) - F.col(f"z{c}")) for c in "xyz")
-    return (_cells(positions, edge).join(z, ["gx", "gy", "gz"])
+    return (_cells(positions, edge).join(z, [*keys, "gx", "gy", "gz"])
             .filter(gap <= F.col("radius") * F.col("radius"))
             .drop("gx", "gy", "gz", "zx", "zy", "zz", "radius"))
 
@@ -168,7 +170,7 @@ def metrics(curves: DataFrame, by: list[str], sp: str = "sp", min_points: int =
 
 
 def _fit(model, t, y, p0, low, high, steps=400):
-    """Damped Gauss-Newton within bounds; NaN-safe, returns the parameters it ends at."""
+    """Damped Gauss-Newton within bounds; NaN-safe, None unless it converged."""
     p = np.clip(np.asarray(p0, float), low, high)
     damp, cost = 1e-3, float(((y - model(t, *p)) ** 2).sum())
     for _ in range(steps):
@@ -186,12 +188,12 @@ def _fit(model, t, y, p0, low, high, steps=400):
             done = small or cost - now <= 1e-16 * (1 + cost) and small
             cost = now
             if done:
-                break
+                return p
         else:
             damp *= 4
-            if damp > 1e12:
-                break
-    return p
+            if damp > 1e12:        # no step is downhill any more
+                return p
+    return None
 
 
 def _share_explained(y, fit) -> float:
@@ -205,7 +207,8 @@ FIT_COLUMNS = ("sp_tau_single", "sp_r2_single", "sp_amplitude_fast", "sp_tau_fas
 def fits(curves: DataFrame, by: list[str], sp: str = "sp") -> DataFrame:
     """Single and double exponential decay per curve, fitted in one Arrow group per curve.
 
-    A group holds at most one row per lag.  The double decay needs six points.
+    A group holds at most one row per lag.  The double decay needs six points.  A fit that did not
+    converge is NULL.
     """
     def one(t, tau):
         return np.exp(-t / max(tau, 1e-12))
@@ -220,11 +223,15 @@ def fits(curves: DataFrame, by: list[str], sp: str = "sp") -> DataFrame:
         if row is None or len(t) < 3:
             return pd.DataFrame({c: [] for c in [*by, *FIT_COLUMNS]})
         mrt = float(((y[1:] + y[:-1]) / 2 * np.diff(t)).sum())
-        tau = float(_fit(one, t, y, [max(mrt, 1.0)], [1e-9], [np.inf])[0])
+        single = _fit(one, t, y, [max(mrt, 1.0)], [1e-9], [np.inf])
         got = dict.fromkeys(FIT_COLUMNS, None)
-        got["sp_tau_single"], got["sp_r2_single"] = round(tau, 4), round(_share_explained(y, one(t, tau)), 4)
-        if len(t) >= 6:
-            a, f, s = _fit(two, t, y, [0.5, max(mrt * 0.1, 1.0), max(mrt, 1.0)], [0, 1e-9, 1e-9], [1, np.inf, np.inf])
+        if single is not None:
+            tau = float(single[0])
+            got["sp_tau_single"], got["sp_r2_single"] = round(tau, 4), round(_share_explained(y, one(t, tau)), 4)
+        double = None if len(t) < 6 else _fit(
+            two, t, y, [0.5, max(mrt * 0.1, 1.0), max(mrt, 1.0)], [0, 1e-9, 1e-9], [1, np.inf, np.inf])
+        if double is not None:
+            a, f, s = double
             if f > s:
                 a, f, s = 1 - a, s, f
             got.update(sp_amplitude_fast=round(float(a), 4), sp_tau_fast=round(float(f), 4),
@@ -245,16 +252,17 @@ def fitted_curve(fit_rows: DataFrame, by: list[str], t_max: float, points: int =
                     F.exp(-F.col("n") * F.lit(step) / F.col("sp_tau_single")).alias("sp_fit")))
 
 
-def zone_to_site(zones: DataFrame, rows: DataFrame, max_distance: float, site_keys=("rank",)) -> DataFrame:
+def zone_to_site(zones: DataFrame, rows: DataFrame, max_distance: float, site_keys=("rank",), within=()) -> DataFrame:
     """Nearest hotspot within *max_distance* of each zone; the lower rank wins a tie.
 
-    Both sides meet by cells of that size, so no zone is paired with far hotspots.
+    A zone only meets hotspots that agree with it in *within*.  Both sides meet by cells of that size, so no zone is paired with far hotspots.
     """
-    z = _reach(zones.select("zone_id", "x", "y", "z"), max_distance, F.lit(float(max_distance)))
-    h = _cells(rows.select(*site_keys, *[F.col(f"centroid_{c}").alias(c) for c in "xyz"]), max_distance)
-    h = h.select(*site_keys, "gx", "gy", "gz", *[F.col(c).alias(f"h{c}") for c in "xyz"])
+    z = _reach(zones.select(*within, "zone_id", "x", "y", "z"), max_distance, F.lit(float(max_distance)))
+    keys = list(dict.fromkeys([*within, *site_keys]))
+    h = _cells(rows.select(*keys, *[F.col(f"centroid_{c}").alias(c) for c in "xyz"]), max_distance)
+    h = h.select(*keys, "gx", "gy", "gz", *[F.col(c).alias(f"h{c}") for c in "xyz"])
     d = F.sqrt(sum((F.col(c) - F.col(f"h{c}")) * (F.col(c) - F.col(f"h{c}")) for c in "xyz"))
-    near = z.join(h, ["gx", "gy", "gz"]).withColumn("distance", d).filter(F.col("distance") <= F.lit(float(max_distance)))
+    near = z.join(h, [*within, "gx", "gy", "gz"]).withColumn("distance", d).filter(F.col("distance") <= F.lit(float(max_distance)))
     best = near.groupBy("zone_id").agg(F.min(F.struct("distance", *site_keys)).alias("b"))
     return best.select("zone_id", *[F.col(f"b.{k}").alias(k) for k in site_keys], F.col("b.distance").alias("distance"))
 

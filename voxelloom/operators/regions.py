@@ -18,13 +18,6 @@ from voxelloom.operators import components
 
 POWERS = list(itertools.product(range(4), repeat=3))
 
-# The descriptor names a region table can hold.
-REGION_PROPERTIES = """area area_bbox area_convex area_filled axis_major_length axis_minor_length bbox
-centroid centroid_local centroid_weighted centroid_weighted_local equivalent_diameter_area euler_number
-extent feret_diameter_max inertia_tensor inertia_tensor_eigvals intensity_max intensity_mean intensity_min
-intensity_std moments moments_central moments_normalized moments_weighted moments_weighted_central
-moments_weighted_normalized solidity""".split()
-
 
 def _power(c: Column, p: int) -> Column:
     out = F.lit(1.0)

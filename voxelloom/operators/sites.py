@@ -39,8 +39,8 @@ def site_voxels(members: DataFrame, membership: DataFrame, keys=("probe", "label
 
 
 def roll_up(rows: DataFrame, membership: DataFrame, voxels: DataFrame, gridsize: float,
-            panel: DataFrame, keys=("probe", "label")) -> DataFrame:
-    """One row per site from its hotspot rows.
+            panel: DataFrame, keys=("probe", "label"), overrides: dict | None = None) -> DataFrame:
+    """One row per site from its hotspot rows; *overrides* are own classes of probes.
 
     The centroid weighs members by their depth, unless one has none.  Optional columns of
     the rows (residence, accessible_fraction, agfe_mean_top_pct) are used where present.
@@ -61,14 +61,14 @@ def roll_up(rows: DataFrame, membership: DataFrame, voxels: DataFrame, gridsize:
             aggs.append(fn(name).alias("residence" if name == KINETICS_METRIC else name))
     out = m.groupBy("site_id").agg(*aggs)
     size = voxels.groupBy("site_id").agg((F.count(F.lit(1)) * F.lit(gridsize ** 3)).alias("volume"))
-    classes = chemotypes.of_groups(m, ["site_id"])
+    classes = chemotypes.of_groups(m, ["site_id"], overrides=overrides)
     n_panel = panel.agg(F.count_distinct("probe")).scalar()
     out = out.join(size, "site_id").join(classes, "site_id")
     return out.withColumns({
         "n_cosolvents": F.size("cosolvents"),
         "probe_coverage": F.try_divide(F.size("cosolvents").cast("double"), n_panel),
         "n_probe_chemotypes": F.size("probe_chemotypes"),
-        "probe_chemotype_coverage": F.size("probe_chemotypes") / chemotypes.available(panel)})
+        "probe_chemotype_coverage": F.size("probe_chemotypes") / chemotypes.available(panel, overrides=overrides)})
 
 
 def shape(voxels: DataFrame) -> DataFrame:

@@ -36,10 +36,10 @@ def _edges(points: DataFrame, by: list[str], connectivity: int, value: str) -> D
     return sent.join(points.select(*by, F.col("vid").alias("v"), F.col(value).alias("fv")), [*by, "v"])
 
 
-def jump(links: DataFrame, by: list[str], max_rounds: int = 40) -> DataFrame:
+def jump(links: DataFrame, by: list[str]) -> DataFrame:
     """Follow ``node -> parent`` to the end of every chain by doubling the step each round."""
     current = cut(links.select(*by, "node", "parent"))
-    for _ in range(max_rounds):
+    while True:
         step = current.select(*by, F.col("node").alias("parent"), F.col("parent").alias("_next"))
         moved = cut(current.join(step, [*by, "parent"])
                     .select(*by, "node", F.col("_next").alias("parent"),
@@ -47,7 +47,6 @@ def jump(links: DataFrame, by: list[str], max_rounds: int = 40) -> DataFrame:
         current = moved.select(*by, "node", "parent")
         if not moved.filter("_moved").limit(1).count():
             return current
-    raise RuntimeError("pointer chains did not end")
 
 
 def climb(points: DataFrame, by: list[str], value: str = "f") -> DataFrame:

@@ -17,7 +17,7 @@ from voxelloom.operators import (density, energy, field, hotspots, kinetics, mer
                                  stencil)
 from voxelloom.plans.config import AnalysisConfig
 from voxelloom.sources import files, pdb, scripts
-from voxelloom.spark import cut
+from voxelloom.spark import cut, running_total
 
 log = logging.getLogger(__name__)
 RUN = ["sim", "probe"]
@@ -31,9 +31,6 @@ class Analysis:
         self.spark, self.config = spark, config
         self.gridsize = config.density_maps.gridsize
         self.temperature = config.density_maps.temperature
-        merge._method(config.misc.merge_method)
-        if config.misc.merge_resampling_to not in merge.REFERENCES:
-            raise ValueError(f"unknown reference {config.misc.merge_resampling_to!r}")
         self._made: dict[str, object] = {}
 
     def _once(self, name, make):
@@ -47,6 +44,10 @@ class Analysis:
             out = None
             for n, run in enumerate(self.config.simulations):
                 atoms = self.spark.read.parquet(run.topology)
+                if self.config.density_maps.atomtypes_file:        # atom_id, priority, atype: matches of typing rules
+                    matches = self.spark.read.parquet(self.config.density_maps.atomtypes_file)
+                    typed = files.assign_types(atoms.select("atom_id"), matches)
+                    atoms = atoms.drop("atype").join(typed, "atom_id", "left")
                 part = (self.spark.read.parquet(run.trajectory).join(atoms, "atom_id")
                         .withColumns({"sim": F.lit(run.label or f"sim_{n}"), "sim_no": F.lit(n)}))
                 wanted = F.col("resname").isin(run.cosolvents)
@@ -198,7 +199,8 @@ class Analysis:
 
         def build():
             rows = hotspots.shape_filter(self.all_hotspots(), cfg.max_solidity, cfg.min_field_sharpness)
-            return self.with_kinetics(rows) if self.config.hotspots.survival_kwargs.get("sp_top_n", 0) else rows
+            kw = self.config.hotspots.survival_kwargs
+            return self.with_kinetics(rows) if kw.get("sp_top_n", 5) > 0 or kw.get("zones_csv") else rows
         return self._once("hotspots", build)
 
     # Kinetics.
@@ -210,26 +212,29 @@ class Analysis:
             atoms = self.probe_atoms()
             probes = sorted({c for s in self.config.simulations for c in s.cosolvents})
             heavy = atoms.filter(~F.col("name").startswith("H"))
-            first = heavy.agg(F.min("frame")).scalar()
-            radius = kinetics.resolve_radius(kw.get("radius", 6.0), heavy.filter((F.col("frame") == first) & (F.col("sim_no") == 0)),
+            # a probe is measured in the first frame of the first run that has it; one row per probe
+            first = heavy.groupBy("probe").agg(F.min(F.struct("sim_no", "frame")).alias("first")).select("probe", "first.*")
+            radius = kinetics.resolve_radius(kw.get("radius", 6.0), heavy.join(F.broadcast(first), ["probe", "sim_no", "frame"]),
                                              probes, kw.get("radius_tolerance", 1.7))
             zones = kinetics.candidate_zones(rows, kw.get("sp_top_n", 5), 6.0)
             if kw.get("zones_csv"):
-                given = files.read_zones(self.spark, kw["zones_csv"]).withColumn("zone_id", F.monotonically_increasing_id().cast("int"))
+                given = files.read_zones(self.spark, kw["zones_csv"]).withColumn("_line", F.monotonically_increasing_id())
+                given = running_total(given, [], ["_line"], name="zone_id").drop("_line")
                 names = self.spark.createDataFrame([(p,) for p in probes], "probe string")
                 zones = given.join(F.broadcast(names), F.lit(True)).withColumn("radius", F.lit(6.0))
             sizes = self.spark.createDataFrame(list(radius.items()), "probe string, radius double")
             zones = cut(zones.drop("radius").join(F.broadcast(sizes), "probe").withColumn(
-                "zone_id", F.concat_ws("|", "probe", "zone_id")).drop("probe"))
-            inside = kinetics.occupancy(atoms.select("sim", "probe", "frame", "atom_id", "x", "y", "z"), zones)
-            inside = inside.filter(F.substring_index("zone_id", "|", 1) == F.col("probe"))
+                "zone_id", F.concat_ws("|", "probe", "zone_id")))
+            inside = kinetics.occupancy(atoms.select("sim", "probe", "frame", "atom_id", "x", "y", "z"), zones, keys=("probe",))
             by = ["probe", "zone_id", "sim"]
+            last = self.positions().groupBy("sim").agg(F.max("frame").alias("last_frame"))        # a row per run
             stays = kinetics.runs(inside, by, "atom_id", intermittency=kw.get("intermittency", 0))
-            last = atoms.agg(F.max("frame")).scalar()
+            stays = stays.join(F.broadcast(last), "sim")
             dt, notes = kinetics.frame_step([kw.get("trajectory_dt_ps", 0.0)], kw.get("dt_ps"))
             for n in notes:
                 log.warning(n)
-            self._made["curves"] = cut(kinetics.survival(stays, by, kw.get("max_tau", 100), last, dt))
+            curves = kinetics.survival(stays, [*by, "last_frame"], kw.get("max_tau", 100), F.col("last_frame"), dt)
+            self._made["curves"] = cut(curves.drop("last_frame"))
             self._made["zones"] = zones
             return cut(kinetics.replica_mean(self._made["curves"], ["probe", "zone_id"]))
         return self._once("survival", build)
@@ -241,9 +246,12 @@ class Analysis:
         curves = self.survival()
         found = kinetics.metrics(curves, by, "sp_mean").join(kinetics.fits(curves, by, "sp_mean"), by, "left")
         if kw.get("zones_csv"):
-            at = kinetics.zone_to_site(self._made["zones"].join(curves.select(*by).distinct(), "zone_id"),
-                                       rows, kw.get("zone_match_ang", 4.0), ("probe", "rank"))
-            found = found.drop("probe").join(at.select("zone_id", "probe", "rank"), "zone_id")
+            at = kinetics.zone_to_site(self._made["zones"].join(curves.select(*by).distinct(), by), rows,
+                                       kw.get("zone_match_ang", 4.0), ("probe", "rank"), within=("probe",))
+            # of several zones at one hotspot the last of the file speaks for it
+            number = F.substring_index("zone_id", "|", -1).cast("bigint")
+            at = at.groupBy("probe", "rank").agg(F.max_by("zone_id", number).alias("zone_id"))
+            found = found.join(at, by)
         else:
             found = found.withColumn("rank", (F.substring_index("zone_id", "|", -1).cast("int") + 1))
         return cut(rows.join(found.drop("zone_id", "n_points"), ["probe", "rank"], "left"))
@@ -258,7 +266,8 @@ class Analysis:
             member = sites.group(lab, self.gridsize, cfg.connectivity, cfg.merge_tolerance_ang)
             voxels = cut(sites.site_voxels(lab, member))
             panel = self.merged().select("probe").distinct()
-            out = sites.roll_up(rows, member, voxels, self.gridsize, panel).join(sites.shape(voxels), "site_id")
+            out = sites.roll_up(rows, member, voxels, self.gridsize, panel, overrides=cfg.probe_chemotypes)
+            out = out.join(sites.shape(voxels), "site_id")
             if self.types():
                 typed = cut(self.typed_minima())
                 out = out.join(sites.atom_types(typed, member), "site_id", "left")

@@ -76,11 +76,11 @@ def survival_export(spark, root):
 
 view("pdbsrc", [], """SELECT p_partkey AS atom_id, p_partkey // 5 AS resid, ['N', 'CA', 'C', 'O', 'CB'][1 + p_partkey % 5] AS name,
   CASE WHEN p_partkey % 3 = 0 THEN 'GLY' ELSE 'ALA' END AS resname, CASE WHEN p_partkey // 5 < 200 THEN 'A' ELSE 'B' END AS chain,
-  (p_partkey % 97) * 0.25e0 AS x, (p_partkey % 89) * 0.5e0 AS y, -(p_partkey % 83) * 0.125e0 AS z FROM part WHERE p_size % 9 > 0""")
+  (p_partkey % 97) * 0.25e0 AS x, (p_partkey % 89) * 0.5e0 AS y, -(p_partkey % 83) * 0.125e0 AS z FROM part""")
 
 
 def _pdb_lines(spark, root):
-    rows = t.table(spark, root, "part").filter("p_size % 9 > 0").selectExpr(
+    rows = t.table(spark, root, "part").selectExpr(
         "p_partkey AS atom_id", "p_partkey div 5 AS resid", "element_at(array('N', 'CA', 'C', 'O', 'CB'), cast(1 + p_partkey % 5 as int)) AS name",
         "CASE WHEN p_partkey % 3 = 0 THEN 'GLY' ELSE 'ALA' END AS resname",
         "CASE WHEN p_partkey div 5 < 200 THEN 'A' ELSE 'B' END AS chain",

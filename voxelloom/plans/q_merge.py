@@ -104,16 +104,16 @@ def reference_choice(spark, root):
 
 
 @query("merge_strict", ["ragfe"], """
-SELECT i, j, k, round(max(agfe), 6) + 0e0 AS agfe, count(*) AS n_maps FROM ragfe WHERE probe = 'BEN' GROUP BY ALL""")
+SELECT probe, i, j, k, round(max(agfe), 6) + 0e0 AS agfe, count(*) AS n_maps FROM ragfe GROUP BY ALL""")
 def merge_strict(spark, root):
     """The strict merge checks shape and place first."""
-    one = _replica_maps(spark, root).filter("probe = 'BEN'")
-    metas = one.select("replica").distinct().select(
-        "replica", *[F.lit(0.0).alias(f"o{c}") for c in "xyz"], F.lit(t.GRID).alias("delta"),
+    one = _replica_maps(spark, root)
+    metas = one.select("probe", "replica").distinct().select(
+        "probe", "replica", *[F.lit(0.0).alias(f"o{c}") for c in "xyz"], F.lit(t.GRID).alias("delta"),
         *[F.lit(t.CELLS).alias(f"n_{a}") for a in "ijk"])
-    merge.check_strict(metas, [], "max")
-    out = merge.merge_stored(one, [], "max")
-    return out.select("i", "j", "k", rounded("agfe", 6).alias("agfe"), "n_maps")
+    merge.check_strict(metas, ["probe"], "max")
+    out = merge.merge_stored(one, ["probe"], "max")
+    return out.select("probe", "i", "j", "k", rounded("agfe", 6).alias("agfe"), "n_maps")
 
 
 # Target voxel t sits at source index t + shift.

@@ -31,13 +31,13 @@ def pocket_residues(spark, root):
 
 view("touch", ["positions", "protein_motion"], """
 SELECT DISTINCT p.probe, p.replica, p.frame, p.resid AS mol, m.resid FROM positions p JOIN protein_motion m ON p.frame = m.frame
-  AND (p.x - m.x) * (p.x - m.x) + (p.y - m.y) * (p.y - m.y) + (p.z - m.z) * (p.z - m.z) <= 4e0 WHERE p.frame % 5 = 0""")
+  AND (p.x - m.x) * (p.x - m.x) + (p.y - m.y) * (p.y - m.y) + (p.z - m.z) * (p.z - m.z) <= 4e0""")
 
 
 def _contacts(spark, root):
     mols = t.positions(spark, root).select(
         F.concat_ws("|", "probe", F.col("replica"), F.col("resid")).alias("mol"), "frame", "x", "y", "z")
-    found = contacts.contacts(mols, t.protein_motion(spark, root), ["frame"], cutoff=2.0, step=5)
+    found = contacts.contacts(mols, t.protein_motion(spark, root), ["frame"], cutoff=2.0)
     part = F.split("mol", "\\|")
     return found.select("frame", "resid", part[0].alias("probe"), part[1].cast("int").alias("replica"),
                         part[2].cast("bigint").alias("mol"))
@@ -101,12 +101,12 @@ def rmsf_residue(spark, root):
 
 @query("residue_rmsf_lookup", ["armsf", "pocket"], """
 SELECT probe, label, resid, round(any_value(r.rmsf), 4) AS rmsf FROM pocket
-LEFT JOIN (SELECT resid, avg(rmsf) AS rmsf FROM armsf WHERE resid % 2 = 0 GROUP BY resid) r USING (resid) GROUP BY probe, label, resid""")
+LEFT JOIN (SELECT resid, avg(rmsf) AS rmsf FROM armsf GROUP BY resid) r USING (resid) GROUP BY probe, label, resid""")
 def residue_rmsf_lookup(spark, root):
     """Fluctuations put on pocket residues; residues without one keep NULL."""
     lining = contacts.pocket_residues(fx.labelled(spark, root), t.protein(spark, root), ["probe", "label"], t.GRID,
                                       residue=("resid",)).select("probe", "label", "resid")
-    values = qc.rmsf_by_residue(qc.rmsf(t.protein_motion(spark, root).filter("resid % 2 = 0"), ["atom_id", "resid"]))
+    values = qc.rmsf_by_residue(qc.rmsf(t.protein_motion(spark, root), ["atom_id", "resid"]))
     return contacts.attach(lining, values.drop("n_atoms")).withColumn("rmsf", rounded("rmsf", 4))
 
 
@@ -159,14 +159,14 @@ SELECT CAST(bin AS INT) AS bin, round((bin + 0.5e0) * 0.5e0, 6) AS r, n,
 
 
 view("rdfa", ["positions"], """SELECT replica, frame, atom_id * 1000 + row_number() OVER (PARTITION BY atom_id ORDER BY x, y, z) AS uid,
-  x, y, z FROM positions WHERE probe = 'BEN' AND atype = 'Car' AND frame % 5 = 0""")
-view("rdfw", ["water"], "SELECT replica, frame, atom_id AS uid, x, y, z FROM water WHERE frame % 5 = 0")
+  x, y, z FROM positions WHERE probe = 'BEN' AND atype = 'Car'""")
+view("rdfw", ["water"], "SELECT replica, frame, atom_id AS uid, x, y, z FROM water")
 
 
 def _rdf_atoms(spark, root):
     from pyspark.sql import Window
     w = Window.partitionBy("atom_id").orderBy("x", "y", "z")
-    return (t.positions(spark, root).filter("probe = 'BEN' AND atype = 'Car' AND frame % 5 = 0")
+    return (t.positions(spark, root).filter("probe = 'BEN' AND atype = 'Car'")
             .withColumn("uid", F.col("atom_id") * 1000 + F.row_number().over(w)))
 
 
@@ -182,7 +182,7 @@ def rdf(spark, root):
 
 @query("rdf_water", ["rdfa", "rdfw"], _rdf_sql("rdfa", "rdfw", False))
 def rdf_water(spark, root):
-    waters = t.water(spark, root).filter("frame % 5 = 0").withColumnRenamed("atom_id", "uid")
+    waters = t.water(spark, root).withColumnRenamed("atom_id", "uid")
     atoms = _rdf_atoms(spark, root).withColumn("uid", -F.col("uid"))
     return _g(qc.rdf(atoms, waters, ["replica", "frame"], "uid", 15.0, 30, box=t.BOX, same=False))
 
@@ -223,11 +223,11 @@ def copies_from_concentration(spark, root):
 
 view("meshpts", ["protein"], """
 SELECT DISTINCT a.resid, i, j, k FROM (SELECT *, min(x) OVER w - 3.5e0 AS x0, min(y) OVER w - 3.5e0 AS y0, min(z) OVER w - 3.5e0 AS z0
-  FROM protein WHERE atom_id < 400 WINDOW w AS (PARTITION BY resid)) a,
+  FROM protein WINDOW w AS (PARTITION BY resid)) a,
   (SELECT unnest(range(-6, 8)) AS di), (SELECT unnest(range(-6, 8)) AS dj), (SELECT unnest(range(-6, 8)) AS dk),
   LATERAL (SELECT CAST(floor((x - x0) / 0.3e0) AS INT) + di AS i, CAST(floor((y - y0) / 0.3e0) AS INT) + dj AS j,
     CAST(floor((z - z0) / 0.3e0) AS INT) + dk AS k)
-WHERE (x0 + i * 0.3e0 - x) ** 2 + (y0 + j * 0.3e0 - y) ** 2 + (z0 + k * 0.3e0 - z) ** 2 <= 2.25e0""".replace("WHERE atom_id < 400 ", ""))
+WHERE (x0 + i * 0.3e0 - x) ** 2 + (y0 + j * 0.3e0 - y) ** 2 + (z0 + k * 0.3e0 - z) ** 2 <= 2.25e0""")
 
 
 @query("mesh_volume", ["meshpts"], """

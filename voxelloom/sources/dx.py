@@ -10,9 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from voxelloom.lattice import IJK
-
-_PER_LINE = 3
-
+from voxelloom.spark import running_total
 
 def _numbered(spark: SparkSession, paths) -> DataFrame:
     """Lines as ``(map, line, value)``; a folder of part files is one map."""
@@ -47,9 +45,16 @@ def read(spark: SparkSession, paths, keep_zero: bool = False) -> DataFrame:
     lines = _numbered(spark, paths)
     head = read_header(lines)
     data = lines.join(head, "map").filter((F.col("line") > F.col("start")) & F.col("value").rlike(r"^\s*[-+0-9.nN]"))
-    cells = data.select("map", *[f"n_{a}" for a in IJK], *[f"o{c}" for c in "xyz"], "delta",
-                        ((F.col("line") - F.col("start") - 1) * _PER_LINE).alias("base"),
-                        F.posexplode(F.split(F.trim("value"), "\\s+")).alias("at", "text"))
+    data = data.withColumn("words", F.split(F.trim("value"), "\\s+"))
+    # A line may hold any number of values: its first place is the sum of the lines before it.
+    placed = running_total(data.withColumn("_n", F.size("words").cast("bigint")), ["map"], ["line"], weight="_n", name="base")
+    whole = data.groupBy("map").agg(F.sum(F.size("words")).alias("_have"))
+    want = F.col("n_i").cast("bigint") * F.col("n_j") * F.col("n_k")
+    checked = head.join(whole, "map", "left").select("map", F.when(F.coalesce("_have", F.lit(0)) != want, F.raise_error(
+        F.format_string("%s: %d values where the header says %d", "map", F.coalesce("_have", F.lit(0)), want))).alias("_bad"))
+    placed = placed.join(checked, "map").filter(F.col("_bad").isNull())
+    cells = placed.select("map", *[f"n_{a}" for a in IJK], *[f"o{c}" for c in "xyz"], "delta", "base",
+                          F.posexplode("words").alias("at", "text"))
     at = F.col("base") + F.col("at")
     plane = F.col("n_j").cast("bigint") * F.col("n_k")
     local = {"i": F.floor(at / plane), "j": F.floor(F.pmod(at, plane) / F.col("n_k")),
@@ -73,7 +78,8 @@ def text_lines(voxels: DataFrame, window: dict, gridsize: float, value: str, bac
             f"object 3 class array type double rank 0 items {total} data follows"]
     foot = ['attribute "dep" string "positions"', 'object "map" class field', 'component "positions" value 1',
             'component "connections" value 2', 'component "data" value 3']
-    last = (total + _PER_LINE - 1) // _PER_LINE
+    per_line = 3
+    last = (total + per_line - 1) // per_line
     frame = ([(n - len(head), t) for n, t in enumerate(head)] + [(last + n, t) for n, t in enumerate(foot)])
     at = sum((F.col(a) - F.lit(window[a][0])).cast("bigint") * F.lit(m)
              for a, m in zip(IJK, (size[1] * size[2], size[2], 1)))
@@ -82,7 +88,7 @@ def text_lines(voxels: DataFrame, window: dict, gridsize: float, value: str, bac
         inside = inside & (F.col(a) >= F.lit(window[a][0])) & (F.col(a) < F.lit(window[a][1]))
     held = voxels.filter(inside).select(at.alias("id"), F.col(value).cast("double").alias("v"))
     body = (spark.range(total).join(held, "id", "left").select(
-        F.floor(F.col("id") / F.lit(_PER_LINE)).alias("line"), "id", F.coalesce("v", F.lit(float(background))).alias("v"))
+        F.floor(F.col("id") / F.lit(per_line)).alias("line"), "id", F.coalesce("v", F.lit(float(background))).alias("v"))
         .groupBy("line").agg(F.array_sort(F.collect_list(F.struct("id", "v"))).alias("c"))
         .select("line", F.array_join(F.transform("c", lambda e: e["v"].cast("string")), " ").alias("text")))
     return body.unionByName(spark.createDataFrame(frame, "line bigint, text string"))

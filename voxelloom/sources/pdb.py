@@ -8,8 +8,8 @@ from voxelloom.spark import ranked
 
 # Residue names of water and the amino acids.
 WATER = ["HOH", "WAT"]
-AMINO_ACIDS = ("ALA ARG ASN ASP ASH CYS CYX CYM GLN GLU GLH GLY HIS HID HIE HIP ILE LEU LYS LYN MET PHE PRO "
-               "SER THR TRP TYR VAL").split()
+AMINO_ACIDS = ["ALA", "ARG", "ASN", "ASP", "ASH", "CYS", "CYX", "CYM", "GLN", "GLU", "GLH", "GLY", "HIS", "HID", "HIE", "HIP",
+               "ILE", "LEU", "LYS", "LYN", "MET", "PHE", "PRO", "SER", "THR", "TRP", "TYR", "VAL"]
 
 
 def _field(first: int, last: int) -> Column:

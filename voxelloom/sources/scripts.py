@@ -66,20 +66,6 @@ def session_lines(hotspots: DataFrame, sites: DataFrame, members: DataFrame, den
     return out
 
 
-def vmd_text(topology: str, trajectory: str, maps: list[str], out_path: str, isovalue: float = 1.0) -> str:
-    """A VMD script: the trajectory and one surface per map."""
-    lines = [f"mol new {os.path.abspath(topology)} type parm7",
-             f"mol addfile {os.path.abspath(trajectory)} type netcdf waitfor all",
-             "mol delrep 0 top", "mol representation NewCartoon", "mol color Structure",
-             'mol selection "protein"', "mol material Opaque", "mol addrep top"]
-    for n, m in enumerate(maps):
-        lines += [f"mol new {os.path.abspath(m)} type dx waitfor all",
-                  f"mol representation Isosurface {isovalue} 0 0 0 1", f"mol color ColorID {n}",
-                  "mol material Transparent", "mol addrep top"]
-    lines += ["color Display Background white", f"save_state {os.path.join(out_path, 'vmd_session.vmd')}"]
-    return "\n".join(lines) + "\n"
-
-
 def contour_levels(maps: DataFrame, by: list[str], n_voxels: int, value: str = "agfe") -> DataFrame:
     """Level to draw each map at: the 0.1 % quantile of the dense map when nothing is above 0,
     else the 99.9 % one.  Voxels not stored enter as zeros by their number."""
@@ -93,10 +79,12 @@ def contour_levels(maps: DataFrame, by: list[str], n_voxels: int, value: str = "
             .select(*by, F.when(F.col("_max") <= 0, F.col("low")).otherwise(F.col("high")).alias("level")))
 
 
-def cluster_points(labelled: DataFrame, rows: DataFrame, gridsize: float, top_n: int = 10, most: int = 3000) -> DataFrame:
-    """Points of a 3-D figure: the best clusters, thinned, in A."""
+def cluster_points(labelled: DataFrame, rows: DataFrame, gridsize: float, top_n: int = 10,
+                   most: int | None = None) -> DataFrame:
+    """Points of a 3-D figure: the best clusters in A, thinned to *most* per cluster if that is given."""
     from voxelloom.lattice import IJK, centre
     from voxelloom.operators.hotspots import sample_voxels
     best = rows.filter(F.col("rank") <= F.lit(int(top_n))).select("probe", "label", "rank")
-    return sample_voxels(labelled.join(best, ["probe", "label"]), ["probe"], most).select(
+    points = labelled.join(best, ["probe", "label"])
+    return (points if most is None else sample_voxels(points, ["probe"], most)).select(
         "probe", "rank", "label", *[centre(a, gridsize).alias(c) for a, c in zip(IJK, "xyz")], "agfe")

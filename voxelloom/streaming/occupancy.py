@@ -12,10 +12,15 @@ from voxelloom.lattice import IJK
 from voxelloom.operators import density
 
 
-def read_table(spark: SparkSession, root: str, name: str, schema, files_per_trigger: int = 1) -> DataFrame:
-    """One table of the folder as a stream of files."""
-    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-            .option("maxFilesPerTrigger", files_per_trigger).parquet(root))
+def read_table(spark: SparkSession, root: str, name: str, schema, files_per_trigger: int | None = None) -> DataFrame:
+    """One table of the folder, a file or a folder of part files, as a stream.
+
+    A batch takes all files there are unless *files_per_trigger* says otherwise.
+    """
+    reader = spark.readStream.schema(schema)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    return reader.parquet(f"{root}/{name}[.]parquet")        # a pattern: a source path may not be a file itself
 
 
 def histogram(positions: DataFrame, by: list[str], gridsize: float) -> DataFrame:
@@ -59,16 +64,21 @@ def sessions(events: DataFrame, time: str, by: list[str], gap: str, late: str) -
             .select(*by, "first", "last", "n"))
 
 
-def stays(presence: DataFrame, intermittency: int = 0, keep_frames: int = 128) -> DataFrame:
+def stays(presence: DataFrame, intermittency: int = 0, late: int | None = None) -> DataFrame:
     """Unbroken stays per zone, run and molecule from frames in any order.
 
-    The state of a molecule is its stays that new frames can still touch: those that ended
-    within *keep_frames* of its newest frame.  Every change is emitted; see
-    :func:`settled_stays` for the outcome.
+    Without *late* the stays of a molecule stay in its state, a pair of frames each, so frames may come in
+    any order.  With *late*, a watermark runs that many frames behind the newest frame of the whole stream:
+    a stay that no frame ahead of it can touch leaves the state, and what arrives later is dropped and
+    counted by Spark (``numRowsDroppedByWatermark`` of the query's progress).  Every change is
+    emitted; see :func:`settled_stays` for the outcome.
     """
     reach = int(intermittency) + 1
 
     def update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         starts, ends = (list(x) for x in state.get) if state.exists else ([], [])
         frames = sorted({int(f) for pdf in batches for f in pdf["frame"]})
         spans = sorted(list(zip(starts, ends)) + [(f, f) for f in frames])
@@ -78,9 +88,16 @@ def stays(presence: DataFrame, intermittency: int = 0, keep_frames: int = 128) -
                 merged[-1][1] = max(merged[-1][1], b)
             else:
                 merged.append([a, b])
-        new = merged[-1][1]
-        live = [m for m in merged if m[1] >= new - keep_frames]
-        state.update(([m[0] for m in live], [m[1] for m in live]))
+        live = merged
+        if late is not None:
+            closed = state.getCurrentWatermarkMs() // 1000 - 1 - reach
+            live = [m for m in merged if m[1] >= closed]
+        if live:
+            state.update(([m[0] for m in live], [m[1] for m in live]))
+            if late is not None:
+                state.setTimeoutTimestamp(max((live[-1][1] + reach + 2) * 1000, state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
+            state.remove()
         known = set(zip(starts, ends))
         changed = [m for m in merged if tuple(m) not in known]
         yield pd.DataFrame({"zone": key[0], "replica": key[1], "mol": key[2],
@@ -89,9 +106,13 @@ def stays(presence: DataFrame, intermittency: int = 0, keep_frames: int = 128) -
 
     kinds = dict(presence.dtypes)
     head = f"zone {kinds['zone']}, replica {kinds['replica']}, mol {kinds['mol']}"
-    return (presence.select("zone", "replica", "mol", "frame").groupBy("zone", "replica", "mol")
+    rows, timeout = presence.select("zone", "replica", "mol", "frame"), GroupStateTimeout.NoTimeout
+    if late is not None:
+        rows = rows.withColumn("at", F.timestamp_seconds(F.col("frame") + 1)).withWatermark("at", f"{int(late)} seconds")
+        timeout = GroupStateTimeout.EventTimeTimeout
+    return (rows.groupBy("zone", "replica", "mol")
             .applyInPandasWithState(update, f"{head}, start int, end int", "starts array<int>, ends array<int>",
-                                    "update", GroupStateTimeout.NoTimeout))
+                                    "update", timeout))
 
 
 def settled_stays(log: DataFrame) -> DataFrame:
