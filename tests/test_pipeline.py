@@ -68,7 +68,9 @@ def test_crowded_cell_splits_into_packs_and_keeps_all_pairs(spark):
     pdf = pd.DataFrame(pts, columns=list("xyz"))
     pdf["id"], pdf["f"] = np.arange(len(pdf)), 0
     df = spark.createDataFrame(pdf).repartition(2)
-    assert pairs.packs(df, ["f"], ["id"], 5.0).select(F.max(F.size("id"))).first()[0] <= pairs.PACK
+    packed = pairs.packs(df, ["f"], ["id"], 5.0)
+    assert packed.select(F.max(F.size("id"))).first()[0] <= 1.5 * pairs.PACK
+    assert packed.count() == pairs.packs(df.repartition(64), ["f"], ["id"], 5.0).count() == 10
     got = {r["bin"]: r["n"] for r in pairs.distance_counts(df, df, ["f"], "id", 1.0, 4).collect()}
     d = np.sqrt(((pts[:, None] - pts[None]) ** 2).sum(-1))
     np.fill_diagonal(d, 9)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from voxelloom.lattice import IJK, with_voxel, voxel_index
+from voxelloom.spark import per_map
 
 
 def stride(df: DataFrame, step: int, frame: str = "frame") -> DataFrame:
@@ -46,8 +47,7 @@ def mean_box(frames: DataFrame, by: list[str] = ()) -> DataFrame:
 
 
 def _with_box(df: DataFrame, frames: DataFrame, keys: list[str]) -> DataFrame:
-    box = mean_box(frames, keys)
-    return df.join(box, keys) if keys else df.join(F.broadcast(box), F.lit(True))
+    return per_map(df, mean_box(frames, keys), keys)
 
 
 def extent(positions: DataFrame, frames: DataFrame, by: list[str], gridsize: float,
@@ -94,7 +94,7 @@ def density_zscore(hist: DataFrame, by: list[str], n_voxels: int, count: str = "
                                     F.sum(F.col(count) * F.col(count)).cast("double").alias("_q"))
     mean = F.col("_s") / F.lit(float(n_voxels))
     sd = F.sqrt(F.col("_q") / F.lit(float(n_voxels)) - mean * mean)
-    return (hist.join(moments, by).withColumn("density", F.try_divide(F.col(count) - mean, sd))
+    return (per_map(hist, moments, by).withColumn("density", F.try_divide(F.col(count) - mean, sd))
             .drop("_s", "_q"))
 
 

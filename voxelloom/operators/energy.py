@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from voxelloom.functions import thermo
 from voxelloom.lattice import IJK
 from voxelloom.operators import smoothing
+from voxelloom.spark import per_map
 
 
 def totals(hist: DataFrame, by: list[str], n_frames, n_accessible) -> DataFrame:
@@ -23,9 +24,9 @@ def totals(hist: DataFrame, by: list[str], n_frames, n_accessible) -> DataFrame:
     return out.withColumn("n_atoms", F.col("n_positions") / F.col("n_frames"))
 
 
-def _inverted(counts: DataFrame, per_map: DataFrame, by: list[str], column: str, temperature: float,
+def _inverted(counts: DataFrame, sizes: DataFrame, by: list[str], column: str, temperature: float,
               floor_counts: float | None) -> DataFrame:
-    joined = counts.join(per_map.select(*by, "n_atoms", "n_frames", "n_accessible"), by)
+    joined = per_map(counts, sizes.select(*by, "n_atoms", "n_frames", "n_accessible"), by)
     return (joined.withColumn("agfe", thermo.agfe(column, "n_atoms", "n_frames", "n_accessible",
                                                   temperature, floor_counts))
             .drop("n_frames", "n_accessible"))
@@ -44,10 +45,10 @@ def smoothed_map(hist: DataFrame, by: list[str], n_frames, n_accessible, sigma:
                      thermo.detection_floor(sigma))
 
 
-def background(per_map: DataFrame, n_frames, n_accessible, temperature: float = 300.0,
+def background(maps: DataFrame, n_frames, n_accessible, temperature: float = 300.0,
                floor_counts: float | None = None) -> DataFrame:
     """The value every voxel not stored has, per map."""
-    return per_map.withColumn("background", thermo.agfe(
+    return maps.withColumn("background", thermo.agfe(
         F.lit(0.0), "n_atoms", n_frames, n_accessible, temperature, floor_counts))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from voxelloom.lattice import IJK
+from voxelloom.spark import per_map
 
 METHODS = {
     "mean": lambda c: F.avg(c), "max": lambda c: F.max(c), "min": lambda c: F.min(c),
@@ -40,10 +41,10 @@ def merge_covered(maps: DataFrame, metas: DataFrame, by: list[str], method: str,
     fn = _method(method)
     ref = reference_map(metas, by, reference, map_id)
     stored = maps.select(*by, *IJK).distinct()
-    stored = stored.join(ref.select(*by, *[c for a in IJK for c in (
+    stored = per_map(stored, ref.select(*by, *[c for a in IJK for c in (
         F.col(f"lo_{a}").alias(f"r_{a}"), F.col(f"n_{a}").alias(f"m_{a}"))]), by)
     stored = stored.filter(_inside("r", "m")).select(*by, *IJK)
-    covering = stored.join(metas, by).filter(_inside("lo", "n")).select(*by, map_id, *IJK, "background")
+    covering = per_map(stored, metas, by).filter(_inside("lo", "n")).select(*by, map_id, *IJK, "background")
     valued = covering.join(maps.select(*by, map_id, *IJK, value), [*by, map_id, *IJK], "left")
     return (valued.withColumn(value, F.coalesce(F.col(value), F.col("background")))
             .groupBy(*by, *IJK).agg(F.coalesce(fn(value), F.lit(float(fill))).alias(value),
@@ -156,7 +157,7 @@ def majority(masks: DataFrame, metas: DataFrame, by: list[str], min_fraction: fl
     seen = masks.groupBy(*by, *IJK).agg(F.count_distinct(map_id).alias("votes"))
     spans = [F.col(f"{p}_{a}") for p in ("lo", "n") for a in IJK]
     runs = metas.groupBy(*by).agg(F.collect_list(F.struct(*spans)).alias("_runs"))
-    joined = seen.join(runs, by) if by else seen.join(F.broadcast(runs), F.lit(True))
+    joined = per_map(seen, runs, by)
 
     def holds(run):
         cond = F.lit(True)

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from voxelloom.lattice import IJK, ball_offsets, in_window, neighbour_offsets, shift_each
 
 CROSS = [(0, 0, 0)] + neighbour_offsets(6)
+from voxelloom.spark import per_map
 
 
 def _voxels(df: DataFrame, by: list[str]) -> DataFrame:
@@ -105,6 +106,6 @@ def accessible_count(mask: DataFrame, protein: DataFrame, by: list[str], gridsiz
     size = boxes.withColumn("_box", F.bround(volume).cast("bigint"))
     size = size.join(blocked, pkeys, "left") if pkeys else size.join(F.broadcast(blocked), F.lit(True), "left")
     size = size.withColumn("cap", F.greatest(F.lit(1).cast("bigint"), F.col("_box") - F.coalesce("_blocked", F.lit(0))))
-    joined = mask.join(size, keys) if keys else mask.join(F.broadcast(size), F.lit(True))
+    joined = per_map(mask, size, keys)
     return (joined.filter(inside).groupBy(*by).agg(F.count(F.lit(1)).alias("n_seen"), F.first("cap").alias("cap"))
             .withColumn("n_accessible", F.least("n_seen", "cap")))

@@ -289,6 +289,10 @@ def watershed_distance(spark, root):
     return watershed.label(lab, ["probe"], fx.MIN_VOXELS, watershed_mode="distance")
 
 
-@query("distance_map")
+@query("distance_map", ["fav"], """
+SELECT probe, i, j, k, sqrt(min(di * di + dj * dj + dk * dk)) AS dist FROM (
+  SELECT f.probe, f.i, f.j, f.k, di, dj, dk, n.probe IS NULL AS outside FROM fav f, (SELECT unnest(range(-8, 9)) AS di),
+    (SELECT unnest(range(-8, 9)) AS dj), (SELECT unnest(range(-8, 9)) AS dk)
+  LEFT JOIN fav n ON n.probe = f.probe AND n.i = f.i + di AND n.j = f.j + dj AND n.k = f.k + dk) WHERE outside GROUP BY ALL""")
 def distance_map(spark, root):
     return watershed.distance_map(fx.favourable(spark, root).select("probe", "i", "j", "k"), ["probe"])

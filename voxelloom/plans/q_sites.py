@@ -167,7 +167,18 @@ def site_groups(spark, root):
     return sites.site_voxels(lab, sites.group(lab, t.GRID))
 
 
-@query("site_groups_tolerant")
+view("wide", ["hot"], """SELECT DISTINCT (h.i + di) AS i, (h.j + dj) AS j, (h.k + dk) AS k,
+  ((h.i + di) * 1000 + h.j + dj) * 1000 + h.k + dk AS vid FROM hot h, (SELECT unnest(range(-2, 3)) AS di),
+  (SELECT unnest(range(-2, 3)) AS dj), (SELECT unnest(range(-2, 3)) AS dk) WHERE di * di + dj * dj + dk * dk <= 4""")
+view("wroot", ["wide"], """SELECT vid, root FROM (WITH RECURSIVE g(vid, root) AS (SELECT vid, vid FROM wide UNION
+  SELECT b.vid, g.root FROM g JOIN wide a ON a.vid = g.vid JOIN wide b ON abs(a.i - b.i) <= 1 AND abs(a.j - b.j) <= 1
+    AND abs(a.k - b.k) <= 1) SELECT vid, min(root) AS root FROM g GROUP BY vid)""")
+
+
+@query("site_groups_tolerant", ["hot", "wroot"], """
+SELECT probe, label, CAST(dense_rank() OVER (ORDER BY root) AS INT) AS site_id FROM (
+  SELECT probe, label, root FROM (SELECT probe, label, root, count(*) AS n FROM hot JOIN wroot USING (vid) GROUP BY ALL)
+  QUALIFY row_number() OVER (PARTITION BY probe, label ORDER BY n DESC, root) = 1)""")
 def site_groups_tolerant(spark, root):
     """Grouping with a bridged gap of ten A."""
     return sites.group(fx.labelled(spark, root), t.GRID, 26, 10.0)

@@ -41,6 +41,17 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def per_map(df: DataFrame, few: DataFrame, keys: list[str]) -> DataFrame:
+    """Join *df* with a table of a row per map, run or probe, on keys that have few values.
+
+    The short side is written first, so the planner knows its size: below its broadcast threshold
+    the long side stays where it is instead of moving to a handful of keys, and beyond it
+    the join is an ordinary one.
+    """
+    few = cut(few)
+    return df.join(few, keys) if keys else df.join(F.broadcast(few), F.lit(True))        # without keys: one row
+
+
 def running_total(df: DataFrame, group: list[str], order: list, weight=None,
                   name: str = "before") -> DataFrame:
     """Exclusive prefix sum of *weight* (1 per row by default) in each group, along *order*.
