@@ -18,6 +18,9 @@ def words(raw: bytes) -> list[bytes]:
     return raw.translate(FOLD).split()
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Work:
     """Stage tables of one run, in the folder all executors share.
 
@@ -31,9 +34,13 @@ class Work:
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
-        # the plan of the write is garbage now; once it is collected, Spark's cleaner removes its shuffle files
-        self.spark._jvm.System.gc()
+        # nothing reads the shuffle files of a finished write again: let Spark remove them at its end
+        was = self.spark.conf.get(_CLEANUP, None)
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").parquet(path)
+        finally:
+            self.spark.conf.unset(_CLEANUP) if was is None else self.spark.conf.set(_CLEANUP, was)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
