@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from text_tables import documents  # noqa: F401
 from voxelloom.llm import ann, decontam, linededup, lm, mixing, quality, toxicity, urls
 from voxelloom.llm.common import Work, words
 from voxelloom.llm.eliasfano import EliasFano, Trie, quantise, restore

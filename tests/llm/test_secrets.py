@@ -4,6 +4,7 @@ import hashlib
 import re
 import urllib.parse
 
+from text_tables import documents  # noqa: F401
 from voxelloom.llm import secrets
 
 KEY = "AKIA" + "Z" * 16

@@ -5,6 +5,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from text_tables import documents  # noqa: F401
 from voxelloom.llm import simhash
 from voxelloom.llm.common import Work, bitmap, components
 

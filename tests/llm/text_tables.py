@@ -1,14 +1,4 @@
 import pytest
-from pyspark.sql import SparkSession
-
-
-@pytest.fixture(scope="session")
-def spark():
-    s = (SparkSession.builder.master("local[4]").appName("tests")
-         .config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false")
-         .config("spark.driver.memory", "6g").config("spark.sql.session.timeZone", "UTC").getOrCreate())
-    s.sparkContext.setLogLevel("ERROR")
-    yield s
 
 
 @pytest.fixture(scope="session")
