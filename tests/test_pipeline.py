@@ -249,7 +249,7 @@ def test_whole_analysis(spark, tmp_path):
                  "merged/survival", "hotspot_checkpoints/hotspots"):
         assert os.path.isdir(f"{tmp_path}/out/{name}"), name
     text = "\n".join(r["value"] for r in spark.read.text(f"{tmp_path}/out/merged/session_pml").collect())
-    assert "load" in text and "bs_1_pocket" in text
+    assert "pseudoatom hot_BEN, name=P1" in text and "select site_1, (hot_" in text and "load" not in text
 
 
 def _analysis(spark, tmp_path, frames, cosolvents=("BEN", "ACT"), **survival):

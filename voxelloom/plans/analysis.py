@@ -334,7 +334,7 @@ class Analysis:
         hs = self.hotspots().join(hotspots.carve_radius(self.labelled(), ["probe"], self.gridsize), ["probe", "label"])
         carve = hotspots.carve_radius(self._made["site_voxels"].withColumn("label", F.col("site_id")), [], self.gridsize)
         bs = ranked.join(carve.withColumnRenamed("label", "site_id"), "site_id")
-        lines = scripts.session_lines(hs, bs, self._made["member"], folder, self.config.report.reference_pdb,
+        lines = scripts.session_lines(hs, bs, self._made["member"], self.config.report.reference_pdb,
                                       self.config.pymol.top_n_sites)
         (lines.repartitionByRange("part", "probe", "rank").sortWithinPartitions("part", "probe", "rank").select("line")
          .write.mode("overwrite").text(os.path.join(folder, "session_pml")))

@@ -139,7 +139,7 @@ def session_script(spark, root):
     hs = rows.join(hotspots.carve_radius(lab, ["probe"], t.GRID), KEY)
     bs = table.join(hotspots.carve_radius(voxels.withColumn("label", F.col("site_id")), [], t.GRID)
                     .withColumnRenamed("label", "site_id"), "site_id")
-    return scripts.session_lines(hs, bs, member, "maps")
+    return scripts.session_lines(hs, bs, member)
 
 
 @query("stream_histogram", ["hist"], "SELECT probe, i, j, k, n FROM hist")

@@ -22,26 +22,32 @@ def _offsets(r: int, cond: str) -> str:
 CROSS = _offsets(1, "abs(di) + abs(dj) + abs(dk) <= 1")
 BALL1 = _offsets(1, "di * di + dj * dj + dk * dk <= 1")
 
-# Solvent: water and probe heavy atoms of every fifth frame.  Protein: voxels at rest.
+# Solvent of each probe: water and its own atoms of every fifth frame.  Protein: voxels at rest.
 view("solvent", ["positions", "water"], """
-SELECT DISTINCT CAST(floor(x / 2.5e0) AS INT) AS i, CAST(floor(y / 2.5e0) AS INT) AS j,
+SELECT DISTINCT probe, CAST(floor(x / 2.5e0) AS INT) AS i, CAST(floor(y / 2.5e0) AS INT) AS j,
   CAST(floor(z / 2.5e0) AS INT) AS k FROM (
-  SELECT x, y, z FROM water WHERE frame % 5 = 0
-  UNION ALL SELECT x, y, z FROM positions WHERE frame % 5 = 0 AND probe = 'BEN')""")
+  SELECT probe, x, y, z FROM water, (SELECT DISTINCT probe FROM positions) WHERE frame % 5 = 0
+  UNION ALL SELECT probe, x, y, z FROM positions WHERE frame % 5 = 0)""")
 view("pvox", ["protein"], """
 SELECT DISTINCT CAST(floor(x / 2.5e0) AS INT) AS i, CAST(floor(y / 2.5e0) AS INT) AS j,
   CAST(floor(z / 2.5e0) AS INT) AS k FROM protein""")
 view("accmask", ["solvent", "pvox"], f"""
-SELECT DISTINCT s.i + di AS i, s.j + dj AS j, s.k + dk AS k FROM solvent s, {CROSS} o
+SELECT DISTINCT s.probe, s.i + di AS i, s.j + dj AS j, s.k + dk AS k FROM solvent s, {CROSS} o
 WHERE s.i + di {IN} AND s.j + dj {IN} AND s.k + dk {IN}
   AND NOT EXISTS (SELECT 1 FROM pvox p WHERE p.i = s.i + di AND p.j = s.j + dj AND p.k = s.k + dk)""")
+view("accmerged", ["accmask"], """
+SELECT i, j, k FROM accmask GROUP BY ALL HAVING count(*) >= 0.5 * (SELECT count(DISTINCT probe) FROM accmask)""")
 view("dense", ["fav"], "SELECT DISTINCT probe, i, j, k FROM agfe WHERE agfe < 0 AND i < 20 AND j < 20 AND k < 20")
 
 
 def solvent(spark, root):
-    w = density.stride(t.water(spark, root), 5).select("x", "y", "z")
-    p = density.stride(t.positions(spark, root), 5).filter("probe = 'BEN'").select("x", "y", "z")
-    return density.position_voxels(w.unionByName(p), t.GRID)
+    """Voxels of water and of a probe's own atoms, for each probe."""
+    atoms = t.positions(spark, root)
+    panel = sorted(r["probe"] for r in atoms.select("probe").distinct().collect())        # a row per probe
+    w = density.position_voxels(density.stride(t.water(spark, root), 5), t.GRID)
+    w = w.withColumn("probe", F.explode(F.array(*map(F.lit, panel)) if panel else F.array().cast("array<string>")))
+    p = density.with_voxel(density.stride(atoms, 5), t.GRID).select("probe", "i", "j", "k").distinct()
+    return stencil.union(w, p, ["probe"])
 
 
 def protein_voxels(spark, root):
@@ -49,7 +55,15 @@ def protein_voxels(spark, root):
 
 
 def accessible(spark, root):
-    return stencil.accessible(solvent(spark, root), protein_voxels(spark, root), [], t.GRID, t.WINDOW)
+    return stencil.accessible(solvent(spark, root), protein_voxels(spark, root), ["probe"], t.GRID, t.WINDOW)
+
+
+def accessible_to_most(spark, root):
+    """Voxels in the masks of at least half of the probes."""
+    masks = accessible(spark, root)
+    votes = masks.groupBy("i", "j", "k").agg(F.count_distinct("probe").alias("votes"))
+    size = masks.agg(F.count_distinct("probe").alias("panel"))
+    return votes.join(F.broadcast(size), F.col("votes") >= 0.5 * F.col("panel")).select("i", "j", "k")
 
 
 def favourable_below_zero(spark, root):
@@ -86,19 +100,19 @@ def mask_open_close(spark, root):
     return opened.unionByName(closed)
 
 
-@query("accessible_mask", ["accmask"], "SELECT i, j, k FROM accmask")
+@query("accessible_mask", ["accmask"], "SELECT probe, i, j, k FROM accmask")
 def accessible_mask(spark, root):
     return accessible(spark, root)
 
 
 @query("accessible_count", ["accmask", "pvox"], f"""
-SELECT count(*) AS n_seen, greatest(1, 8000 - (SELECT count(*) FROM pvox WHERE i {IN} AND j {IN} AND k {IN})) AS cap,
+SELECT probe, count(*) AS n_seen, greatest(1, 8000 - (SELECT count(*) FROM pvox WHERE i {IN} AND j {IN} AND k {IN})) AS cap,
   least(count(*), greatest(1, 8000 - (SELECT count(*) FROM pvox WHERE i {IN} AND j {IN} AND k {IN}))) AS n_accessible
 FROM accmask WHERE (i + 0.5e0) * 2.5e0 BETWEEN -1e-9 AND 50.000000001e0
-  AND (j + 0.5e0) * 2.5e0 BETWEEN -1e-9 AND 50.000000001e0 AND (k + 0.5e0) * 2.5e0 BETWEEN -1e-9 AND 50.000000001e0""")
+  AND (j + 0.5e0) * 2.5e0 BETWEEN -1e-9 AND 50.000000001e0 AND (k + 0.5e0) * 2.5e0 BETWEEN -1e-9 AND 50.000000001e0 GROUP BY probe""")
 def accessible_count(spark, root):
     box = density.mean_box(t.frames(spark, root).withColumns({c: F.lit(t.BOX) for c in ("lx", "ly", "lz")}))
-    return stencil.accessible_count(accessible(spark, root), protein_voxels(spark, root), [], t.GRID, t.WINDOW, box)
+    return stencil.accessible_count(accessible(spark, root), protein_voxels(spark, root), ["probe"], t.GRID, t.WINDOW, box)
 
 
 @query("mask_union", ["fav"], """

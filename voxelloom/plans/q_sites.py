@@ -8,7 +8,7 @@ from voxelloom.functions.export import joined, rounded, split_list, type_columns
 from voxelloom.functions import chemotypes
 from voxelloom.operators import energy, field, hotspots, scoring, sites
 from voxelloom.plans import fixture_maps as fx
-from voxelloom.plans.q_masks import accessible
+from voxelloom.plans.q_masks import accessible_to_most
 from voxelloom.plans.registry import query, view
 from voxelloom.sources import tables as t
 
@@ -33,11 +33,11 @@ GROUP BY {keys}"""
 
 view("hdescr", ["hrows", "shown"], _descr(
     "(SELECT probe, label, cx AS x, cy AS y, cz AS z FROM hrows)", "probe, label"))
-view("hacc", ["hrows", "accmask"], f"""
+view("hacc", ["hrows", "accmerged"], f"""
 SELECT probe, label, count(m.i) / count(*) AS accessible_fraction FROM (
   SELECT probe, label, CAST(floor(cx / 2.5e0) AS INT) + di AS i, CAST(floor(cy / 2.5e0) AS INT) + dj AS j,
     CAST(floor(cz / 2.5e0) AS INT) + dk AS k FROM hrows, {_BALL.format(r=7)}
-  WHERE di * di + dj * dj + dk * dk <= 40.96e0) p LEFT JOIN accmask m USING (i, j, k)
+  WHERE di * di + dj * dj + dk * dk <= 40.96e0) p LEFT JOIN accmerged m USING (i, j, k)
 WHERE p.i BETWEEN 0 AND 19 AND p.j BETWEEN 0 AND 19 AND p.k BETWEEN 0 AND 19 GROUP BY ALL""")
 
 # Sites: 6-connected components of the union of the hotspot masks, numbered in raster order.
@@ -102,7 +102,7 @@ def parts(spark, root):
     lab = fx.labelled(spark, root)
     rows = hotspots.summarise(lab, ["probe"], t.GRID, 25.0)
     points = rows.select(*KEY, *[F.col(f"centroid_{c}").alias(c) for c in "xyz"])
-    acc = field.accessible_fraction(points, accessible(spark, root), KEY, t.GRID, t.WINDOW)
+    acc = field.accessible_fraction(points, accessible_to_most(spark, root), KEY, t.GRID, t.WINDOW)
     return lab, rows.join(acc, KEY), sites.group(lab, t.GRID)
 
 

@@ -6,63 +6,43 @@ import os
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from voxelloom.functions.export import property_label
 
+def _point(owner: Column, number: Column, value: Column) -> Column:
+    """A named point with a number and a value to colour it by."""
+    return F.format_string("pseudoatom %s, name=P%d, resi=%d, b=%.3f, pos=[%.3f, %.3f, %.3f]", owner, number, number,
+                           value, *[F.col(f"centroid_{c}") for c in "xyz"])
 
-def _pos() -> Column:
-    return F.format_string("pos=[%.3f, %.3f, %.3f]", *[F.col(f"centroid_{c}") for c in "xyz"])
 
+def session_lines(hotspots: DataFrame, sites: DataFrame, members: DataFrame, reference: str | None = None,
+                  top_n: int = 0) -> DataFrame:
+    """``(part, probe, rank, line)`` of a viewer session; order the lines by the first three columns.
 
-def session_lines(hotspots: DataFrame, sites: DataFrame, members: DataFrame, density_dir: str,
-                  reference: str | None = None, top_n: int = 0, labels_on: bool = True,
-                  keep_maps: bool = True) -> DataFrame:
-    """``(part, probe, rank, line)`` of a session with a hotspot and a site group.
-
-    *hotspots* has probe, rank, centroid, agfe_min and carve_radius, *sites* the same by
-    site, *members* the probes of each site.  Order the lines by the first three columns.
+    One object per probe holds its hotspots as points coloured by energy, one object ``sites`` the sites
+    coloured by score, and a selection per site names the hotspots of its probes within its carve
+    radius.  Everything is in the lines themselves: no map file is needed.
     """
-    folder = os.path.abspath(density_dir)
     spark = hotspots.sparkSession
-    name = F.concat(F.lit("hs_"), F.col("probe"), F.lit("_r"), F.col("rank").cast("string"))
-    label = property_label([("rank", F.col("rank"), "plain"), ("agfe", F.col("agfe_min"), "float")])
-    shape = F.concat_ws("\n",
-                        F.concat(F.lit("pseudoatom "), name, F.lit("_anchor, "), _pos()),
-                        F.concat(F.lit("isomesh "), name, F.lit("_dens, map_"), F.col("probe"), F.lit(", -1.0, "), name,
-                                 F.format_string("_anchor, carve=%.2f", "carve_radius")),
-                        F.concat(F.lit("pseudoatom "), name, F.lit("_lab, "), _pos(), F.lit(', label="'), label, F.lit('"')),
-                        F.concat(F.lit("group hs_"), F.col("probe"), F.lit(", "), name, F.lit("_anchor "), name,
-                                 F.lit("_dens "), name, F.lit("_lab, add")))
-    maps = hotspots.select("probe").distinct().select(
-        F.lit(1).alias("part"), "probe", F.lit(0).alias("rank"),
-        F.concat(F.lit(f"load {folder}/map_agfe_"), F.col("probe"), F.lit(".dx, map_"), F.col("probe")).alias("line"))
-    out = maps.unionByName(hotspots.select(F.lit(2).alias("part"), "probe", "rank", shape.alias("line")))
+    owner = F.concat(F.lit("hot_"), F.col("probe"))
     kept = sites if not top_n else sites.filter(F.col("rank") <= F.lit(int(top_n)))
-    base = F.concat(F.lit("bs_"), F.col("rank").cast("string"))
-    pocket = F.concat_ws("\n",
-                         F.concat(F.lit(f"load {folder}/"), base, F.lit("_pocket.dx, "), base, F.lit("_pocket_map")),
-                         F.concat(F.lit("isomesh "), base, F.lit("_pocket, "), base, F.lit("_pocket_map, 0.5")),
-                         F.concat(F.lit("pseudoatom "), base, F.lit("_anchor, "), _pos()),
-                         F.concat(F.lit("pseudoatom "), base, F.lit("_lab, "), _pos(), F.lit(', label="'),
-                                  property_label([("rank", F.col("rank"), "plain"), ("score", F.col("combined"), "float"),
-                                                  ("vol", F.col("volume"), "float")]), F.lit('"')),
-                         F.concat(F.lit("group "), base, F.lit(", "), base, F.lit("_pocket_map "), base, F.lit("_pocket "),
-                                  base, F.lit("_anchor "), base, F.lit("_lab")))
-    out = out.unionByName(kept.select(F.lit(3).alias("part"), F.lit("").alias("probe"), "rank", pocket.alias("line")))
-    dens = (members.select("site_id", "probe").distinct().join(kept.select("site_id", "rank", "carve_radius"), "site_id")
-            .select(F.lit(4).alias("part"), "probe", "rank",
-                    F.concat(F.lit("isomesh "), base, F.lit("_"), F.col("probe"), F.lit(", map_"), F.col("probe"),
-                             F.lit(", -1.0, "), base, F.format_string("_anchor, carve=%.2f", "carve_radius"),
-                             F.lit("\ngroup "), base, F.lit(", "), base, F.lit("_"), F.col("probe"), F.lit(", add"))
-                    .alias("line")))
-    out = out.unionByName(dens)
-    fixed = [(9, "", 0, "hide everything, *_anchor"), (9, "", 1, "enable *_lab" if labels_on else "disable *_lab")]
+    number = F.col("rank").cast("int")
+    points = hotspots.select(F.lit(1).alias("part"), "probe", number.alias("rank"), _point(owner, number, F.col("agfe_min")).alias("line"))
+    looks = hotspots.select("probe").distinct().select(
+        F.lit(2).alias("part"), "probe", F.lit(0).alias("rank"),
+        F.format_string("as spheres, %s\nspectrum b, blue_white_red, %s", owner, owner).alias("line"))
+    tops = kept.select(F.lit(3).alias("part"), F.lit("").alias("probe"), number.alias("rank"),
+                       _point(F.lit("sites"), number, F.col("combined")).alias("line"))
+    own = members.select("site_id", F.concat(F.lit("hot_"), F.col("probe")).alias("o")).distinct().groupBy("site_id").agg(
+        F.array_join(F.sort_array(F.collect_set("o")), " or ").alias("owners"))
+    chosen = own.join(kept.select("site_id", "rank", "carve_radius"), "site_id").select(
+        F.lit(4).alias("part"), F.lit("").alias("probe"), number.alias("rank"),
+        F.format_string("select site_%d, (%s) within %.2f of (sites and resi %d)", number, F.col("owners"), F.col("carve_radius"),
+                        number).alias("line"))
+    fixed = [(5, "", 0, "label sites, resi\ndeselect")]
     if reference:
-        stem = os.path.splitext(os.path.basename(reference))[0]
-        fixed.append((0, "", 0, f"load {os.path.abspath(reference)}, {stem}\nshow cartoon, {stem}"))
-    out = out.unionByName(spark.createDataFrame(fixed, "part int, probe string, rank int, line string"))
-    if not keep_maps:
-        out = out.unionByName(maps.select(F.lit(8).alias("part"), "probe", "rank",
-                                          F.concat(F.lit("delete map_"), F.col("probe")).alias("line")))
+        fixed.append((0, "", 0, f"load {os.path.abspath(reference)}"))
+    out = spark.createDataFrame(fixed, "part int, probe string, rank int, line string")
+    for more in (points, looks, tops, chosen):
+        out = out.unionByName(more)
     return out
 
 
