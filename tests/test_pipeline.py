@@ -334,3 +334,11 @@ def test_dx_lines_of_any_width(spark, tmp_path):
 def test_halton_uses_all_digits(spark):
     got = builder.halton(spark.range(2).selectExpr("5 + id * (1L << 40) AS id"), "id").collect()
     assert got[0]["u"] != got[1]["u"]
+
+
+def test_voxel_keys_out_of_range_are_an_error(spark):
+    from voxelloom.lattice import voxel_key
+    ok = spark.createDataFrame([(1, -2, 3), (1000000, -1000000, 0)], "i int, j int, k int")
+    assert ok.select(voxel_key().alias("v")).distinct().count() == 2
+    with pytest.raises(Exception, match="out of range"):
+        spark.createDataFrame([(1, 2, 1 << 20)], "i int, j int, k int").select(voxel_key().alias("v")).collect()

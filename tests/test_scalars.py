@@ -64,7 +64,7 @@ def test_elements_fall_back_to_type_and_name(spark):
 
 def test_chemotype_table(spark):
     assert len(chemotypes.PROBE_CLASSES) == 28 and len(chemotypes.CLASSES) == 8
-    assert all(c in chemotypes.CLASSES for v in chemotypes.PROBE_CLASSES.values() for c in v.split())
+    assert all(c in chemotypes.CLASSES for v in chemotypes.PROBE_CLASSES.values() for c in v)
     with pytest.raises(ValueError):
         chemotypes.resolve({"XYZ": ["sticky"]})
     df = spark.createDataFrame([(1, " ben "), (1, "ACT"), (2, "???")], "s int, probe string")

@@ -16,6 +16,7 @@ IJK = ("i", "j", "k")
 
 # Three signed 21-bit indices packed in one BIGINT: sorts in raster order (k fastest).
 _BIAS = 1 << 20
+_MARGIN = 1 << 10
 _J_SHIFT = 1 << 21
 _I_SHIFT = 1 << 42
 
@@ -38,9 +39,15 @@ def centre(index, gridsize: float) -> Column:
 
 
 def voxel_key(i="i", j="j", k="k") -> Column:
-    """One sortable BIGINT for a voxel; raster order equals numeric order."""
+    """One sortable BIGINT for a voxel; raster order equals numeric order.
+
+    An index near the end of its 21 bits would run into the next axis, offsets included, and is an error.
+    """
     def wide(c):
-        return (F.col(c) if isinstance(c, str) else c).cast("bigint") + F.lit(_BIAS)
+        at = (F.col(c) if isinstance(c, str) else c).cast("bigint")
+        far = F.abs(at) >= F.lit(_BIAS - _MARGIN)
+        return F.when(far, F.raise_error(F.format_string("voxel index %d is out of range", at)).cast("bigint")).otherwise(
+            at + F.lit(_BIAS))
     return (wide(i) * F.lit(_I_SHIFT) + wide(j) * F.lit(_J_SHIFT) + wide(k)).cast("bigint")
 
 

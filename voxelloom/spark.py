@@ -28,16 +28,29 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dirs[sc.applicationId]
 
 
+_kept_roots: set[str] = set()
+
+
+def gone_with_the_session(spark: SparkSession, path: str) -> None:
+    """Have the file system delete a folder of stage tables when the driver ends."""
+    if path not in _kept_roots:
+        _kept_roots.add(path)
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write *df* out once as a table in the shared folder and go on from there.
 
     A lost executor then costs no long replay.  The table also starts a fresh plan: a
     checkpointed frame keeps the constraints of what made it, and in a loop of self-joins
-    they double every round.
+    they double every round.  The tables go when the application ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/voxelloom/{uuid.uuid4().hex}"
+    root = f"{shared_dir(spark)}/voxelloom/{spark.sparkContext.applicationId}"
+    path = f"{root}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    gone_with_the_session(spark, root)
     return spark.read.schema(df.schema).parquet(path)
 
 
