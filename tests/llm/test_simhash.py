@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from text_tables import documents  # noqa: F401
 from voxelloom.llm import simhash
-from voxelloom.llm.common import Work, bitmap, components
+from voxelloom.llm.common import Work, bitmap, components, unpacked
 
 
 def brute(fps):
@@ -91,4 +91,4 @@ def test_components_and_bitmap(spark):
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 103: 100}
     values = [0, 1, 5, 32767, 32768, 32769, 65536, 2 ** 24 - 1, 2 ** 24 + 3]
     bits = bitmap(spark.createDataFrame([(v,) for v in values], "h bigint"), "h")
-    assert set(np.flatnonzero(bits)) == {v % 2 ** 24 for v in values}
+    assert set(np.flatnonzero(unpacked(bits))) == {v % 2 ** 24 for v in values}

@@ -61,7 +61,7 @@ BITMAP_BITS = 1 << 24
 
 
 def bitmap(df: DataFrame, column: str) -> np.ndarray:
-    """A bit per hashed value of *column* (long): at most BITMAP_BITS bits, 2 MB, at any input size.
+    """A bit per hashed value of *column* (long), packed: at most BITMAP_BITS bits, 2 MB, at any input size.
 
     A set bit says "maybe", a clear one "surely not", so what it filters is checked afterwards.
     """
@@ -75,7 +75,11 @@ def bitmap(df: DataFrame, column: str) -> np.ndarray:
         start = (row["bucket"] - 1) * 32768 + 1 if row["bucket"] > 0 else 0
         there = np.flatnonzero(bits) + start
         out[there[there < BITMAP_BITS]] = True
-    return out
+    return np.packbits(out)
+
+
+def unpacked(bits: np.ndarray) -> np.ndarray:
+    return np.unpackbits(bits).view(bool)
 
 
 def components(edges: DataFrame, work: Work, name: str) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from voxelloom.llm.common import BITMAP_BITS, Work, bitmap
+from voxelloom.llm.common import BITMAP_BITS, Work, bitmap, unpacked
 
 WINDOW = 10
 #: A window needs so many words that are no placeholders.
@@ -128,7 +128,7 @@ def _windows_of(rows: DataFrame, widths: list[int], literals: int, keep: np.ndar
     shared = rows.sparkSession.sparkContext.broadcast(keep)
 
     def run(batches):
-        reader, bits = Reader(), shared.value
+        reader, bits = Reader(), None if shared.value is None else unpacked(shared.value)
         for batch in batches:
             out = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
