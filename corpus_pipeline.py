@@ -8,8 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from voxelloom.llm import decontam, linededup, mixing, quality, simhash
-from voxelloom.llm.common import Work, table
+from voxelloom.llm import decontam, jaccard, linededup, mixing, quality, simhash
+from voxelloom.llm.common import Work, components, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -40,10 +40,17 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the smallest id; documents without words are no copies."""
-    docs = _named(docs)
-    found = simhash.near_duplicates(docs.where(F.coalesce(mixing.n_tokens(F.col("text")), F.lit(0)) > 0))
-    bad = found.where("doc_id <> component_id").select(F.col("doc_id").alias("bad")).distinct()
+    """One document of each group of near copies, the one with the smallest id; documents without words are no copies.
+
+    Near copies have fingerprints as op6 links them, or sets of five-word shingles with a Jaccard similarity of 0.8
+    or more, which differ in far more bits than op6 allows.
+    """
+    docs, work = _named(docs), Work(spark, "near")
+    worded = docs.where(F.coalesce(mixing.n_tokens(F.col("text")), F.lit(0)) > 0).select("doc_id", "text")
+    found = simhash.near_duplicates(worded).where("doc_id <> component_id").select(
+        F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+    links = work.put(found.unionByName(jaccard.linked(worded, work)), "links")
+    bad = components(links, work, "group").where("node <> root").select(F.col("node").alias("bad")).distinct()
     return docs.join(bad, F.col("doc_id") == F.col("bad"), "left_anti").dropDuplicates(["doc_id"])
 
 

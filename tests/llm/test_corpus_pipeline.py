@@ -115,3 +115,30 @@ def test_stages_take_odd_rows(spark, world, name):
         assert out.columns == list(corpus_pipeline.COLUMNS)
     empty = stage(spark, df.limit(0), root)
     assert empty.count() == 0
+
+
+def test_near_stage_joins_copies_of_jaccard(spark):
+    rng = random.Random(4)
+    docs, sets = [], {}
+
+    def add(w):
+        docs.append((len(docs), " ".join(w), "en", "s", 1))
+        sets[len(docs) - 1] = {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))}
+    for _ in range(40):
+        base = [f"w{rng.randrange(3000)}" for _ in range(rng.choice([3, 60, 300, 1000]))]
+        add(base)
+        for rate in (0, 0.01, 0.02, 0.04):
+            add([f"w{rng.randrange(3000)}" if rng.random() < rate else x for x in base])
+    top = {i: i for i in sets}
+    fps = {i: simhash.fingerprint(d[1].encode()) for i, d in enumerate(docs)}
+    missed = 0
+    for i in sets:
+        for j in range(i):
+            near, close = 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]), bin(fps[i] ^ fps[j]).count("1") <= 3
+            missed += near and not close
+            if near or close:
+                a, b = top[i], top[j]
+                top = {k: min(a, b) if v in (a, b) else v for k, v in top.items()}
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = {r["doc_id"] for r in dict(corpus_pipeline.STAGES)["SimHash near-dedup"](spark, df, "").collect()}
+    assert got == {i for i in top if top[i] == i} and missed > 20
