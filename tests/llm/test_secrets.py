@@ -62,3 +62,12 @@ def test_query(spark, documents):
     assert by[1][4] == hashlib.sha256(b"access:2:22").hexdigest() and by[2][4] == hashlib.sha256(b"").hexdigest()
     assert by[None][1] == 1
     assert secrets.secrets(documents([]).limit(0)).count() == 0
+
+
+def test_same_run_at_two_places():
+    inner = "x password=hunter2secret y token%3Dabcdefgh"
+    for run in (base64.b64encode(inner.encode()).decode(), base64.b64encode(gzip.compress(inner.encode())).decode()):
+        text = f"one {run} and two {run} end"
+        at = [m.start() for m in re.finditer(re.escape(run), text)]
+        assert {(a, k, b) for a, k, b in secrets.find(text)[1] if b - a == len(run)} == {(a, 0, a + len(run)) for a in at}
+        assert len(at) == 2

@@ -2,7 +2,7 @@
 
 A text is the first layer.  Every layer is scanned, then unwrapped in each way that applies:
 percent escapes, Unicode escapes, base64 runs, and compressed bytes inside base64.  New
-layers join the worklist until none appears; a layer that was met before in the document is not
+layers join the worklist until none appears; a layer that was met before at the same place is not
 opened again, which ends cycles.  Each layer carries, for every character, the span of the
 original text that it came from.
 """
@@ -54,6 +54,13 @@ class _Layer:
     def __init__(self, text, start=None, end=None):
         self.text, self.start, self.end = text, start, end
 
+    def mark(self) -> bytes:
+        """Text and place, in one digest; a layer of one span is known by it."""
+        h = hashlib.sha256(self.text.encode("utf-8", "surrogatepass"))
+        if self.start is not None:
+            h.update(self.start.astype(np.int64).tobytes() + self.end.astype(np.int64).tobytes())
+        return h.digest()
+
     def origin(self, a: int, b: int) -> tuple[int, int]:
         if self.start is None:
             return a, b
@@ -164,14 +171,17 @@ def unwrap(layer: _Layer) -> tuple[list[_Layer], int]:
 def find(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int, int]:
     """Base spans, all spans, layers opened and runs too long; spans are ``(start, kind, end)``."""
     base = scan(text)
-    spans, seen, todo, long = set(base), {text}, [_Layer(text)], 0
+    first = _Layer(text)
+    # the same text at another place is a layer of its own: what it holds comes from there
+    spans, seen, todo, long = set(base), {first.mark()}, [first], 0
     while todo:
         layers, more = unwrap(todo.pop())
         long += more
         for layer in layers:
-            if layer.text in seen:
+            mark = layer.mark()
+            if mark in seen:
                 continue
-            seen.add(layer.text)
+            seen.add(mark)
             todo.append(layer)
             for a, kind, b in scan(layer.text):
                 lo, hi = layer.origin(a, b)
