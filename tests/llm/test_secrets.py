@@ -1,8 +1,11 @@
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
 import re
 import urllib.parse
+import zlib
 
 from text_tables import documents  # noqa: F401
 from voxelloom.llm import secrets
@@ -71,3 +74,31 @@ def test_same_run_at_two_places():
         at = [m.start() for m in re.finditer(re.escape(run), text)]
         assert {(a, k, b) for a, k, b in secrets.find(text)[1] if b - a == len(run)} == {(a, 0, a + len(run)) for a in at}
         assert len(at) == 2
+
+
+def test_layers_of_any_bytes():
+    key = "password=hunter2secret"
+    noise = "".join(f"{hashlib.sha256(bytes([i])).hexdigest()[:23]}g, " for i in range(40))
+    raws = {"bom": b"\xef\xbb\xbf" + key.encode(), "nbsp": ("\u00a0\u200b\f" + key).encode(), "nul": b"file.txt" + bytes(90) + key.encode() + bytes(400),
+            "utf16": key.encode("utf-16"), "utf16be": key.encode("utf-16-be"), "utf32": key.encode("utf-32-be"), "bad": b"\xff\xfe\x80 " + key.encode()}
+    texts = {n: base64.b64encode(r).decode() for n, r in raws.items()}
+    texts |= {f"packed {n}": base64.b64encode(gzip.compress(r)).decode() for n, r in raws.items()}
+    texts["members"] = base64.b64encode(gzip.compress(b"first ") + gzip.compress(key.encode())).decode()
+    for pack in (gzip.compress, bz2.compress, lzma.compress, zlib.compress):
+        texts[f"wrapped {pack.__module__}"] = base64.encodebytes(pack((noise + key).encode())).decode()
+        texts[f"joined {pack.__module__}"] = "path/to_some-" + base64.b64encode(pack(key.encode())).decode()
+    texts["wrapped plain"] = base64.encodebytes(("," * 50 + key).encode()).decode()
+    for n in range(4):
+        texts[f"joined {n}"] = "w" * n + "/" + base64.b64encode(("," * 20 + key).encode()).decode()
+    for name, text in texts.items():
+        spans = secrets.find(f"see {text} end")[1]
+        assert any(k == 0 and a >= 4 and b <= 4 + len(text) for a, k, b in spans), (name, spans)
+
+
+def test_long_runs_are_scanned_to_the_end():
+    raw = "é, word; ".encode() * 7_000_000 + b"password=hunter2secret" + b", " * 100
+    assert len(raw) > secrets.UNPACKED
+    for pack in (bz2.compress, lambda r: zlib.compress(r, 1)):
+        text = base64.b64encode(pack(raw)).decode()
+        base, spans, _, long = secrets.find(text)
+        assert not base and (0, 0, len(text)) in spans and long == 1

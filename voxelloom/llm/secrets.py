@@ -10,9 +10,9 @@ original text that it came from.
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import hashlib
+import itertools
 import lzma
 import re
 import zlib
@@ -31,9 +31,18 @@ _WORDS = ("password", "passwd", "secret", "token", "api")
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE = re.compile(r"\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|\\u\{[0-9A-Fa-f]{1,6}\}")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-_MAGIC = (b"\x1f\x8b", b"\x78\x01", b"\x78\x5e", b"\x78\x9c", b"\x78\xda", b"BZh", b"\xfd7zXZ")
-#: Bytes that one compressed run may unpack to; what a larger one holds is scanned up to here and counted.
+#: The same over line breaks with one indent; only the last line may be short.
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+\r?\n(?:(?P<i>[ \t]*)[A-Za-z0-9+/_-]{16,}+"
+                     r"(?:\r?\n(?P=i)[A-Za-z0-9+/_-]{16,}+)*(?:\r?\n(?P=i)[A-Za-z0-9+/_-]++)?|[ \t]*[A-Za-z0-9+/_-]++)={0,2}")
+_MAGIC = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9](?:1AY&SY|\x17rE8P\x90)|\xfd7zXZ\0")
+#: A compressed run that unpacks to more bytes is counted; it is scanned to its end all the same.
 UNPACKED = 64 << 20
+#: Unpacked bytes are scanned in blocks of about this size.
+BLOCK = 4 << 20
+#: Where a block may end: no secret, escape or run goes over such a byte, nor over four zeros in any UTF.
+_BREAK = re.compile(rb"""[^A-Za-z0-9+/_.=:"'%\\{}\x20\t\r\n\0-]|\0{4}""")
+#: Each secret and each encoded one has so many ASCII characters in a row, so other layers need no look.
+_WORTH = re.compile(r"[\x20-\x7e]{8}")
 
 
 def scan(text: str) -> list[tuple[int, int, int]]:
@@ -58,7 +67,8 @@ class _Layer:
         """Text and place, in one digest; a layer of one span is known by it."""
         h = hashlib.sha256(self.text.encode("utf-8", "surrogatepass"))
         if self.start is not None:
-            h.update(self.start.astype(np.int64).tobytes() + self.end.astype(np.int64).tobytes())
+            one = slice(0, 1) if not self.start.strides[0] else slice(None)  # of one span
+            h.update(self.start[one].astype(np.int64).tobytes() + self.end[one].astype(np.int64).tobytes())
         return h.digest()
 
     def origin(self, a: int, b: int) -> tuple[int, int]:
@@ -83,46 +93,94 @@ class _Layer:
         return _Layer("".join(text), np.concatenate([*starts, s]), np.concatenate([*ends, e]))
 
 
-def _unpack(raw: bytes) -> tuple[bytes, bool]:
-    """Bytes of a gzip, zlib, bzip2 or xz stream, and whether they were longer than UNPACKED."""
-    if raw[:2] == b"\x1f\x8b" or raw[:1] == b"\x78":
-        opener = zlib.decompressobj(47)
-        out = opener.decompress(raw, UNPACKED)
-        return out, bool(opener.unconsumed_tail)
-    opener = bz2.BZ2Decompressor() if raw[:3] == b"BZh" else lzma.LZMADecompressor()
-    out = opener.decompress(raw, UNPACKED)
-    return out, not opener.eof and not opener.needs_input
-
-
-def _plain(raw: bytes) -> str | None:
-    """Text of bytes if they are printable UTF-8."""
+def _unpack(chunks, kind: bytes):
+    """Chunks of all members of a gzip, zlib, bzip2 or xz stream, as far as it is sound."""
+    opener = {b"\x1f": lambda: zlib.decompressobj(31), b"\x78": zlib.decompressobj,
+              b"B": bz2.BZ2Decompressor, b"\xfd": lzma.LZMADecompressor}[kind]
+    now = opener()
     try:
-        text = raw.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    if text and (text.isprintable() or all(c.isprintable() or c in "\t\r\n" for c in text)):
-        return text
-    return None
-
-
-def _base64(token: str) -> tuple[str | None, bool]:
-    """Text inside a base64 run, through any compression, and whether something was too long."""
-    body = token.rstrip("=")
-    if len(body) % 4 == 1:
-        return None, False
-    try:
-        raw = base64.b64decode((body + "=" * (-len(body) % 4)).replace("-", "+").replace("_", "/"), validate=True)
-    except (binascii.Error, ValueError):
-        return None, False
-    long, seen = False, set()
-    while raw.startswith(_MAGIC) and raw not in seen:
-        seen.add(raw)
-        try:
-            raw, more = _unpack(raw)
-        except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
-            break
-        long |= more
-    return _plain(raw), long
+        for data in chunks:
+            while data:
+                if now.eof:  # the next member, after any padding
+                    data = data.lstrip(b"\0")
+                    if not data.startswith(kind):
+                        if data:
+                            return
+                        break
+                    now = opener()
+                if kind in b"\x1f\x78":
+                    out = now.decompress(data, BLOCK)
+                    data = now.unused_data if now.eof else now.unconsumed_tail
+                    if out:
+                        yield out
+                else:
+                    out = now.decompress(data, BLOCK)
+                    while out:
+                        yield out
+                        out = b"" if now.eof or now.needs_input else now.decompress(b"", BLOCK)
+                    data = now.unused_data if now.eof else b""
+    except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
+        return
+
+
+def _opened(raw: bytes):
+    """Chunks of what a compressed stream holds, through further streams right inside."""
+    chunks, head, seen = iter([raw]), raw, set()
+    while (m := _MAGIC.match(head)) and head not in seen:
+        seen.add(head)
+        chunks = _unpack(chunks, head[:1])
+        head = next(chunks, b"")
+        while 0 < len(head) < 16 and (more := next(chunks, b"")):
+            head += more
+        chunks = itertools.chain([head], chunks)
+    return chunks
+
+
+def _blocks(chunks):
+    """The stream in blocks that cut nothing apart."""
+    have = b""
+    for data in chunks:
+        have += data
+        if len(have) >= BLOCK:
+            cut = 0
+            for at in (len(have) - 4096, len(have) // 2):
+                cut = cut or max((m.end() for m in _BREAK.finditer(have, at)), default=0)
+            if cut:
+                yield have[:cut]
+                have = have[cut:]
+    if have:
+        yield have
+
+
+def _texts(raw: bytes):
+    """Bytes as text, whatever they hold; with zeros also as UTF-16 and UTF-32 of either byte order."""
+    ways = [("utf-8", 0)]
+    if b"\0" in raw:
+        ways += [("utf-16-le", 0), ("utf-16-le", 1), *(("utf-32-le", k) for k in range(4))]
+    for way, k in ways:
+        text = raw[k:].decode(way, "replace")
+        if _WORTH.search(text):
+            yield text
+
+
+def _base64(token: str):
+    """``(text, long)`` of all layers right inside a base64 run: its four alignments, as a word or path may stand
+    before the encoded part, and compressed streams anywhere in them; *long* once for a stream over UNPACKED bytes."""
+    body = token.rstrip("=").replace("-", "+").replace("_", "/")
+    for k in range(4):
+        part = body[k:len(body) - ((len(body) - k) % 4 == 1)]
+        raw = base64.b64decode(part + "=" * (-len(part) % 4))
+        for text in _texts(raw):
+            yield text, 0
+        at = 0
+        while m := _MAGIC.search(raw, at):
+            size = 0
+            for block in _blocks(_opened(raw[m.start():])):
+                long = size <= UNPACKED < size + len(block)
+                size += len(block)
+                for n, text in enumerate(_texts(block)):
+                    yield text, int(long and not n)
+            at = m.start() + 1
 
 
 def _unicode(m: re.Match) -> str:
@@ -138,9 +196,9 @@ def _surrogates(text: str) -> str:
 _PAIR = re.compile(r"\\u[Dd][89AaBb][0-9A-Fa-f]{2}\\u[Dd][C-Fc-f][0-9A-Fa-f]{2}|" + UNICODE.pattern)
 
 
-def unwrap(layer: _Layer) -> tuple[list[_Layer], int]:
-    """Layers one step further in, and how many runs were too long to unpack whole."""
-    text, out, long = layer.text, [], 0
+def unwrap(layer: _Layer):
+    """Layers one step further in, one at a time, each with 1 where a run passes UNPACKED bytes and 0 else."""
+    text = layer.text
     if "%" in text:
         pieces = []
         for m in PERCENT.finditer(text):
@@ -153,39 +211,38 @@ def unwrap(layer: _Layer) -> tuple[list[_Layer], int]:
             fine = []
             for a, b, new in pieces:
                 fine += [(a + 3 * i, a + 3 * i + 3, c) for i, c in enumerate(new)] if len(new) * 3 == b - a else [(a, b, new)]
-            out.append(layer.replace(fine))
+            yield layer.replace(fine), 0
     if "\\" in text:
         pieces = [(m.start(), m.end(), _surrogates(m[0]) if len(m[0]) == 12 else _unicode(m)) for m in _PAIR.finditer(text)]
         pieces = [p for p in pieces if text[p[0]:p[1]] != p[2]]
         if pieces:
-            out.append(layer.replace(pieces))
-    for m in BASE64.finditer(text):
-        inner, more = _base64(m[0])
-        long += more
-        if inner is not None:
-            lo, hi = layer.origin(m.start(), m.end())
-            out.append(_Layer(inner, np.full(len(inner), lo), np.full(len(inner), hi)))
-    return out, long
+            yield layer.replace(pieces), 0
+    for m in itertools.chain(BASE64.finditer(text), WRAPPED.finditer(text)):
+        lo, hi = layer.origin(m.start(), m.end())
+        for inner, long in _base64(re.sub(r"\s+", "", m[0])):
+            yield _Layer(inner, np.broadcast_to(lo, len(inner)), np.broadcast_to(hi, len(inner))), long
 
 
 def find(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int, int]:
-    """Base spans, all spans, layers opened and runs too long; spans are ``(start, kind, end)``."""
+    """Base spans, all spans, layers opened and runs over UNPACKED; spans are ``(start, kind, end)``."""
     base = scan(text)
     first = _Layer(text)
     # the same text at another place is a layer of its own: what it holds comes from there
-    spans, seen, todo, long = set(base), {first.mark()}, [first], 0
+    spans, seen, todo, long = set(base), {first.mark()}, [unwrap(first)], 0
     while todo:
-        layers, more = unwrap(todo.pop())
+        layer, more = next(todo[-1], (None, 0))
+        if layer is None:
+            todo.pop()
+            continue
         long += more
-        for layer in layers:
-            mark = layer.mark()
-            if mark in seen:
-                continue
-            seen.add(mark)
-            todo.append(layer)
-            for a, kind, b in scan(layer.text):
-                lo, hi = layer.origin(a, b)
-                spans.add((lo, kind, hi))
+        mark = layer.mark()
+        if mark in seen:
+            continue
+        seen.add(mark)
+        todo.append(unwrap(layer))
+        for a, kind, b in scan(layer.text):
+            lo, hi = layer.origin(a, b)
+            spans.add((lo, kind, hi))
     return base, sorted(spans), len(seen), long
 
 
@@ -202,8 +259,8 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     Positions are code points of the original text; a secret of a decoded layer has the span it was
     decoded from.  One row per input row; a null text counts as empty; the id may be null; other columns
-    are not read.  ``n_too_long`` counts compressed runs that unpack to over UNPACKED bytes and
-    were scanned up to there.
+    are not read.  ``n_too_long`` counts compressed runs that unpack to over UNPACKED bytes,
+    which are scanned to their end.
     """
     def run(batches):
         for batch in batches:
