@@ -187,6 +187,17 @@ def test_contamination(spark, documents):
     assert decontam.contamination(documents(rows), bench.limit(0)).count() == 0
 
 
+def test_contamination_of_starts_and_few_literals(spark, documents):
+    items = [(1, "Which planet is the largest in our solar system?"), (2, "James has 3 cats. Anna owns 5 dogs. Peter sold 7 birds."),
+             (3, "Paris Berlin Rome Madrid Lisbon 1998 2003 Vienna Oslo 2011"), (4, "Where does Tom keep 12 of his best old red books?")]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    rows = [(1, "Science quiz\nWhich planet is the largest in our solar system?"), (2, "Sums\n" + items[1][1].replace("James", "Mary").replace("Anna", "Tim").replace("7", "9")),
+            (3, "they were in paris berlin rome madrid lisbon 1998 2003 vienna oslo 2011 and left"), (4, "Oslo Rome Berlin Paris Vienna 1998 2003 Lisbon Madrid 2011"),
+            (5, "he asked where does Ann keep 15 of his best old red books"), (6, "so which planet is the largest in our solar system")]
+    got = {r["doc_id"]: r["item_id"] for r in decontam.contamination(documents(rows), bench).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 5: 4, 6: 1}
+
+
 # toxicity and quality
 
 def _rows(n, seed, mark):

@@ -1,13 +1,15 @@
 """Benchmark decontamination by template canonicalisation.
 
-Words are replaced by typed placeholders: numbers, units after a number, and names (words with a capital
-inside a sentence).  Windows of the resulting template are hashed and joined with the windows of
-the benchmark; where a window has slots, the values must agree in which slots are equal, so a
-question with other numbers and names is still caught but a chance fit is not.
+Words are replaced by typed placeholders: numbers, units after a number, and names (words with a capital).
+A capital at the start of a sentence or line may be a name or not: windows of the benchmark are hashed under
+every reading of theirs, documents once with all as names and once with none.  Windows are joined by the hash;
+where a window has slots, the values must agree in which slots are equal, so a question with other
+numbers and names is still caught but a chance fit is not.  Windows with the same words match whatever their types.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 
 import numpy as np
@@ -18,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 from voxelloom.llm.common import BITMAP_BITS, Work, bitmap, unpacked
 
 WINDOW = 10
-#: A window needs so many words that are no placeholders.
+#: A window needs so many words that are no placeholders, or, with the same words throughout, so many words.
 LITERALS = 6
 _STRIP = " \t\r\n\v\f.,;:!?\"'()[]{}<>*#%&$|/\\-_=+`~^«»„“”’…¿¡"
 _NUMBER = re.compile(r"[+\-]?[$€£]?\d[\d.,:/]*(?:st|nd|rd|th)?%?")
@@ -60,29 +62,42 @@ class Reader:
         got = self.known[raw] = (h if core else 0, kind, ends, low in UNITS)
         return got
 
-    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Types, template hashes and value hashes; words of punctuation alone are left out."""
+    def read(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Types with every capital as NAME, value hashes, which names may be none, and which literals are units;
+        words of punctuation alone are left out."""
         known, look = self.known, self._look
-        got = [known.get(w) or look(w) for w in _split(text)]
+        rows = _split(text)
+        got = [known.get(w) or look(w) for row in rows for w in row]
         if not got:
             none = np.zeros(0, dtype=np.uint64)
-            return none.astype(np.int8), none, none
+            return none.astype(np.int8), none, none.astype(bool), none.astype(bool)
         value = np.array([g[0] for g in got], dtype=np.uint64)
         kind = np.array([g[1] for g in got], dtype=np.int8)
-        ends = np.array([g[2] for g in got], dtype=bool)
-        unit = np.array([g[3] for g in got], dtype=bool)
-        first = np.concatenate([[True], ends[:-1]])
-        kind[(kind == NAME) & first] = LITERAL
-        kind[(kind == LITERAL) & unit & np.concatenate([[False], kind[:-1] == NUMBER])] = UNIT
+        first = np.concatenate([[True], np.array([g[2] for g in got], dtype=bool)[:-1]])
+        starts = np.cumsum([0, *map(len, rows)])
+        first[starts[starts < len(got)]] = True
+        unit = np.array([g[3] for g in got], dtype=bool) & np.concatenate([[False], kind[:-1] == NUMBER])
         real = value != 0
-        value, kind = value[real], kind[real]
-        return kind, np.where(kind == LITERAL, value, kind.astype(np.uint64)), value
+        return kind[real], value[real], ((kind == NAME) & first)[real], unit[real]
+
+    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Types, template hashes and value hashes; capitals at the start of a sentence or line are no names."""
+        kind, value, maybe, unit = self.read(text)
+        return reading(kind, value, maybe, unit)
 
 
-def _split(text: str) -> list[str]:
+def reading(kind, value, literal, unit) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Types, template hashes and value hashes with the words of *literal* as literals."""
+    kind = np.where(literal, LITERAL, kind).astype(np.int8)
+    kind[(kind == LITERAL) & unit] = UNIT
+    return kind, np.where(kind == LITERAL, value, kind.astype(np.uint64)), value
+
+
+def _split(text: str) -> list[list[str]]:
+    """The words of each line."""
     if any(map(text.__contains__, "0123456789")):
         text = _GLUED.sub(r"\1 \2", text)
-    return text.split()
+    return [line.split() for line in text.split("\n")]
 
 
 def hashes(template: np.ndarray, n: int) -> np.ndarray:
@@ -120,10 +135,53 @@ def windows(kind: np.ndarray, template: np.ndarray, value: np.ndarray, width: in
 
 
 _WINDOWS = "id bigint, h bigint, pattern bigint, at int, n int"
+#: Pattern of windows that are compared by their words.
+_WORDS = np.uint64(0xFFFFFFFFFFFFFFFF)
+
+
+def _item_windows(got, n: int, literals: int):
+    """``(hash, pattern, at)`` of the windows of an item: templates under every reading, and the words themselves."""
+    kind, value, maybe, unit = got
+    for at in range(len(kind) - n + 1):
+        part = [x[at:at + n] for x in got]
+        spots = np.flatnonzero(part[2])
+        for chosen in itertools.product((False, True), repeat=len(spots)):
+            as_literal = np.zeros(n, dtype=bool)
+            as_literal[spots] = chosen
+            h, pattern, literal = windows(*reading(part[0], part[1], as_literal, part[3]), n)
+            if literal[0] >= literals:
+                yield h[0], pattern[0], at
+        if n >= literals:
+            yield hashes(part[1], n)[0], _WORDS, at
+
+
+def _item_widths(got, width: int, literals: int) -> list[int]:
+    """The item's own width and, if no window of it has enough literals with all capitals as names, the least that has."""
+    kind, value, maybe, unit = got
+    n = min(width, len(kind))
+    count = np.cumsum([0, *(reading(kind, value, maybe & False, unit)[0] == LITERAL)])
+    wide = next((m for m in range(n, len(kind) + 1) if (count[m:] - count[:len(count) - m]).max() >= literals), n)
+    return sorted({n, wide})
+
+
+def _document_windows(got, n: int, literals: int, bits: np.ndarray):
+    """The same of a document, where the bit of the hash is set; names at starts are all read as names, then none."""
+    kind, value, maybe, unit = got
+    hit = lambda h: np.flatnonzero(bits[(h % np.uint64(BITMAP_BITS)).astype(np.int64)])
+    for as_literal in ([maybe & False, maybe] if maybe.any() else [maybe]):
+        k, template, _ = reading(kind, value, as_literal, unit)
+        for at in hit(hashes(template, n)).tolist():  # literals and patterns are worked out for what passes
+            h, pattern, literal = windows(k[at:at + n], template[at:at + n], value[at:at + n], n)
+            if literal[0] >= literals:
+                yield h[0], pattern[0], at
+    if n >= literals:
+        h = hashes(value, n)
+        for at in hit(h).tolist():
+            yield h[at], _WORDS, at
 
 
 def _windows_of(rows: DataFrame, widths: list[int], literals: int, keep: np.ndarray | None) -> DataFrame:
-    """Windows of ``(id, text)`` with enough literals: the items' own (one width, the item's if shorter)
+    """Windows of ``(id, text)`` with enough literals or words: the items' own (of one width, see _item_widths)
     without *keep*, else those of each width whose hash has its bit set."""
     shared = rows.sparkSession.sparkContext.broadcast(keep)
 
@@ -132,29 +190,18 @@ def _windows_of(rows: DataFrame, widths: list[int], literals: int, keep: np.ndar
         for batch in batches:
             out = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                kind, template, value = reader(text or "")
-                if not len(kind):
-                    continue
-                for n in sorted({min(w, len(kind)) for w in widths}) if bits is None else widths:
-                    if n > len(kind):
-                        continue
-                    if bits is None:
-                        h, pattern, literal = windows(kind, template, value, n)
-                        there = np.arange(len(h))
-                    else:  # literals and patterns are worked out for what passes
-                        there = np.flatnonzero(bits[(hashes(template, n) % np.uint64(BITMAP_BITS)).astype(np.int64)])
-                        if not len(there):
-                            continue
-                        got = [windows(kind[a:a + n], template[a:a + n], value[a:a + n], n) for a in there.tolist()]
-                        h, pattern, literal = (np.concatenate(x) for x in zip(*got))
-                    fine = literal >= literals
-                    k = int(fine.sum())
-                    if k:
-                        out.append((np.full(k, doc), h[fine].view(np.int64), pattern[fine].view(np.int64),
-                                    there[fine].astype(np.int32), np.full(k, n, dtype=np.int32)))
+                got = reader.read(text or "")
+                size = len(got[0])
+                for n in _item_widths(got, widths[0], literals) if bits is None else widths:
+                    if 0 < n <= size:
+                        found = _item_windows(got, n, literals) if bits is None else _document_windows(got, n, literals, bits)
+                        out += [(doc, h, pattern, at, n) for h, pattern, at in found]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)],
-                                                 ["id", "h", "pattern", "at", "n"])
+                ids, h, pattern, at, n = zip(*out)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids, pa.int64()), pa.array(np.array(h, np.uint64).view(np.int64)),
+                     pa.array(np.array(pattern, np.uint64).view(np.int64)), pa.array(at, pa.int32()), pa.array(n, pa.int32())],
+                    ["id", "h", "pattern", "at", "n"])
 
     return rows.mapInArrow(run, _WINDOWS)
 
@@ -167,19 +214,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     One row per contaminated document: the item with most matched windows (ties: the smaller item), where a window
     that several items share counts for the smallest of them, and the word position of the first match.
     Texts are read whole.  Null texts and texts without words match nothing, nor do rows without id.  An item
-    of fewer words than *width* is one window of its own width; one with fewer than *literals* words that
-    are no placeholders cannot be told from chance and takes no part.  Other columns are not read.
+    of fewer words than *width* is one window of its own width, and one whose windows are mostly slots has wider ones.  A window with fewer than *literals* words that
+    are no placeholders matches by the same words only, and one of fewer words cannot be told from chance.  Other columns are not read.
     """
     work = Work(docs.sparkSession, "decontam")
     items = benchmark.select(F.col(item_col).cast("bigint").alias("id"), F.col(item_text).cast("string").alias("text"))
     wanted = (_windows_of(items.where("id IS NOT NULL"), [width], literals, None)
-              .groupBy("h", "pattern").agg(F.min("id").alias("item_id"), F.min("n").alias("n")))
+              .groupBy("h", "pattern", "n").agg(F.min("id").alias("item_id")))
     wanted = work.put(wanted, "wanted")
-    widths = sorted(r["n"] for r in wanted.select("n").distinct().collect())  # at most *width* numbers
+    widths = sorted(r["n"] for r in wanted.select("n").distinct().collect())  # *width*, less for short items, more for items of few literals
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     found = _windows_of(rows.where("id IS NOT NULL"), widths, literals, bitmap(wanted, "h"))
     # h is signed in the tables; the bit of a hash is that of its unsigned value, as pmod gives it for powers of two
-    hits = found.join(wanted.drop("n"), ["h", "pattern"]).groupBy(F.col("id").alias("doc_id"), "item_id").agg(
+    hits = (found.join(wanted, ["h", "pattern", "n"]).groupBy("id", "at", "n").agg(F.min("item_id").alias("item_id")))
+    hits = hits.groupBy(F.col("id").alias("doc_id"), "item_id").agg(
         F.countDistinct("at").alias("n_windows"), F.min("at").alias("first_at"))
     best = F.struct(F.col("n_windows"), (-F.col("item_id")).alias("i"), "first_at")
     return (hits.groupBy("doc_id").agg(F.max(best).alias("b"))
