@@ -27,9 +27,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that repeat earlier ones; one that loses all its words goes."""
+    """Documents without the lines, short ones too, that repeat earlier ones; one that loses all its words goes."""
     docs = _named(docs)
-    cut = linededup.removed(docs.select("doc_id", "text"), Work(spark, "lines"))
+    cut = linededup.removed(docs.select("doc_id", "text"), Work(spark, "lines"), min_words=1)
     cut = cut.groupBy("doc_id").agg(F.collect_set("line").alias("cut")).withColumnRenamed("doc_id", "cut_id")
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("cut"), i)), "\n")
     text = F.when(F.col("cut").isNull(), F.col("text")).otherwise(kept)

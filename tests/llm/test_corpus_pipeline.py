@@ -142,3 +142,11 @@ def test_near_stage_joins_copies_of_jaccard(spark):
     df = spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string, n_chars bigint")
     got = {r["doc_id"] for r in dict(corpus_pipeline.STAGES)["SimHash near-dedup"](spark, df, "").collect()}
     assert got == {i for i in top if top[i] == i} and missed > 20
+
+
+def test_line_stage_takes_short_lines(spark):
+    texts = ["All rights reserved.\nfirst text\nHome", "second\nall rights reserved.\n\nhome", "home", "\n\nthird\nRESERVED. rights all"]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)],
+                               "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = {r["doc_id"]: r["text"] for r in dict(corpus_pipeline.STAGES)["line dedup"](spark, df, "").collect()}
+    assert got == {0: texts[0], 1: "second\n", 3: "\n\nthird"}
