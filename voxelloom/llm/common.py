@@ -57,6 +57,12 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def small(x: np.ndarray) -> np.ndarray:
+    """Numbers from 0 on in the shortest unsigned type of at most 32 bits that holds them."""
+    top = int(x.max(initial=0))
+    return x.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32)
+
+
 BITMAP_BITS = 1 << 24
 
 

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from voxelloom.llm import ann, decontam, linededup, lm, mixing, quality, secrets, simhash, toxicity, urls
+from voxelloom.llm import (align, ann, decontam, linededup, lm, mixing, packing, quality, resample, secrets, simhash,
+                           tokens, toxicity, urls)
 from voxelloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -179,3 +180,23 @@ FROM topical JOIN p USING (source, lang, topic)"""
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "topic", "n_tokens", F.round("probability", 6).alias("probability"), "selected")
+
+
+@query("op11_resample")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query("op12_align")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = align.align(table(spark, sf_dir, "documents"), tokens.default_path("byte_bpe_50k.json"),
+                      tokens.default_path("piece_bpe_32k.model"))
+    digest = F.when(F.col("n_a") > 0, F.sha2(F.col("groups").cast("binary"), 256)).otherwise("")
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
+
+
+@query("op13_pack")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = packing.pack_documents(table(spark, sf_dir, "documents"), tokens.default_path("byte_bpe_50k.json"))
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
