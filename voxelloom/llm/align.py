@@ -4,7 +4,7 @@ Both tokenizers encode a blank and the text.  Tokens get byte ends from the libr
 refined by decoded bytes inside multi-byte characters and byte-fallback runs (``tokens.byte_ends``).  Ends that both
 share cut the tokens into groups; an A and a B token whose bytes overlap are linked.
 
-1. bundles of documents: different pieces of text are encoded once, documents are lists of piece numbers; beside
+1. bundles of documents: different pieces of text are encoded once a task, documents are lists of piece numbers; beside
    each bundle stand its id pairs with the number of its documents that hold them linked;
 2. those numbers are summed over the corpus by pair, and the highest is taken by A id;
 3. each bundle gets its own pairs' sums back, one row a pair, and counts them by document.
@@ -26,7 +26,9 @@ from voxelloom.llm import tokens
 from voxelloom.llm.common import Work, small
 from voxelloom.llm.lm import pack, unpack
 
-BUNDLE_BYTES, SLICE_BYTES = 16 << 20, 4 << 20
+BUNDLE_BYTES, SLICE_BYTES = 8 << 20, 2 << 20
+#: Different pieces of text whose tokens a task keeps for the next bundles.
+KNOWN = 1 << 19
 _BUNDLES = "bundle bigint, kind int, packed binary"
 _OUT = ("doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, "
         "groups string")
@@ -121,39 +123,63 @@ class Bundle:
         return out
 
 
+class Memo:
+    """Pieces of text seen so far in a task with their tokens: ids, byte widths and counts on both sides."""
+
+    def __init__(self, side_a, side_b):
+        self.sides = side_a, side_b
+        self.known: dict[str, int] = {}
+        self.ok = np.zeros(0, dtype=bool)
+        self.kept = [[np.zeros(0, dtype=t) for t in (np.uint32, np.uint8, np.int64)] for _ in self.sides]
+
+    def numbers(self, names: list[str]) -> np.ndarray:
+        new = [n for n in names if n not in self.known]
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
+        found = [tokens.encode_each(new, side.spans, side) for side in self.sides] if new else []
+        ok = found[0][3] & found[1][3] if new else self.ok[:0]
+        self.ok = np.concatenate([self.ok, ok])
+        for kept, (ids, ends, count, _) in zip(self.kept, found):
+            keep = np.repeat(ok, count)
+            for k, x in enumerate((ids[keep], small(_widths(ends, count)[keep]), count * ok)):
+                kept[k] = np.concatenate([kept[k], x])
+        return np.array([self.known[n] for n in names], dtype=np.int64)
+
+    def bundle(self, ids: list, parts: list[np.ndarray]) -> Bundle:
+        """Documents by their pieces, with the tokens of these pieces; one with a piece that is not given back has none."""
+        parts = [p if self.ok[p].all() else p[:0] for p in parts]
+        used, numbers = np.unique(np.concatenate(parts), return_inverse=True)
+        sides = []
+        for ids_of, widths, counts in self.kept:
+            at = tokens.spread(used, np.cumsum(counts) - counts, counts)
+            sides += [ids_of[at], widths[at], counts[used]]
+        return Bundle(np.array(ids, dtype=np.int64), np.cumsum([len(p) for p in parts]).astype(np.int64), numbers, *sides)
+
+
 def bundles(docs: DataFrame, path_a: str, path_b: str, size: int = BUNDLE_BYTES) -> DataFrame:
     """``bundle, kind, packed``: kind 0 is a bundle of documents, kind 1 its pairs and their numbers of documents."""
     def run(batches):
         side_a, side_b = tokens.byte_level(path_a, True), tokens.pieces(path_b)
         cut = side_a.cuts_at_blanks and side_b.cuts_at_blanks
-        part, made = TaskContext.get().partitionId(), 0
-        ids, parts, known, held = [], [], {}, 0
+        part, made, memo = TaskContext.get().partitionId(), 0, Memo(side_a, side_b)
+        ids, parts, held = [], [], 0
 
         def flush():
-            names = list(known)
-            a, end_a, count_a, ok_a = tokens.encode_each(names, side_a.spans, side_a)
-            b, end_b, count_b, ok_b = tokens.encode_each(names, side_b.spans, side_b)
-            ok = ok_a & ok_b
-            keep_a, keep_b = np.repeat(ok, count_a), np.repeat(ok, count_b)
-            kept = [p if ok[p].all() else p[:0] for p in parts]
-            bundle = Bundle(np.array(ids, dtype=np.int64), np.cumsum([len(p) for p in kept]).astype(np.int64),
-                            np.concatenate(kept), a[keep_a], _widths(end_a, count_a)[keep_a], count_a * ok,
-                            b[keep_b], _widths(end_b, count_b)[keep_b], count_b * ok)
-            key = part << 32 | made
+            bundle, key = memo.bundle(ids, parts), part << 32 | made
             return pa.RecordBatch.from_arrays([pa.array([key, key]), pa.array([0, 1], pa.int32()), pa.array([
                 bundle.pack(), pack(bundle.pairs, small(bundle.holders()))], pa.binary())], schema=_arrow(_BUNDLES))
 
         for batch in batches:
             for some, texts in slices(batch, SLICE_BYTES):
                 numbers, ends, names = tokens.split(texts, True, cut)
-                number = np.array([known.setdefault(n, len(known)) for n in names], dtype=np.int64)
                 empty = pc.binary_length(texts).to_numpy(zero_copy_only=False) == 0
                 ids += some
-                parts += [p[:0] if e else p for p, e in zip(np.split(number[numbers], ends[:-1]), empty.tolist())]
+                parts += [p[:0] if e else p for p, e in zip(np.split(memo.numbers(names)[numbers], ends[:-1]), empty.tolist())]
                 held += texts.nbytes
                 if held >= size:
                     yield flush()
-                    ids, parts, known, held, made = [], [], {}, 0, made + 1
+                    ids, parts, held, made = [], [], 0, made + 1
+                    if len(memo.known) > KNOWN:
+                        memo = Memo(side_a, side_b)
         if ids:
             yield flush()
 

@@ -1,13 +1,14 @@
 """Tokenizing with public vocabulary files: exact byte ends of tokens, every different piece of text encoded once.
 
-A text is cut before blanks that both kinds of tokenizer always cut at.  The pieces repeat a lot, so a :class:`Memo`
-numbers them and encodes each new one a single time, many joined in one call; a text is then a list of numbers.
-The pieces of a vocabulary that may join across blanks are whole texts instead.
+A text is cut before blanks that both kinds of tokenizer always cut at.  The pieces repeat a lot, so callers number them and
+encode each new one a single time, many joined in one call; a text is then a list of numbers.  With a vocabulary that may
+join across blanks the pieces are whole texts instead.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 import os
 import re
 
@@ -17,8 +18,8 @@ import pyarrow.compute as pc
 import sentencepiece
 from tokenizers import Tokenizer
 
-#: Pieces joined in one call, in characters.
-BLOCK = 1 << 16
+#: Characters of pieces joined in one call, and other pieces in one call.
+BLOCK, SINGLES = 1 << 16, 256
 #: A text where a cut before every blank could part a run of white space goes by this pattern instead.
 _ODD = re.compile(r"\s \s|\s \Z")
 _PIECE = re.compile(r"\s*\S+(?:[^\S ]\s*\S*)*|\s+")
@@ -79,8 +80,9 @@ class ByteLevel:
             code = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
             width = 1 + (code >= 0x80).astype(np.int64) + (code >= 0x800) + (code >= 0x10000)
             byte_at = np.concatenate([[0], np.cumsum(width)])
-            ids, at = np.array(e.ids, dtype=np.uint32), byte_at[np.array(e.offsets, dtype=np.int64).reshape(-1, 2)]
-            out.append((ids, byte_ends(at[:, 0], at[:, 1], self.size[ids])))
+            ids = np.array(e.ids, dtype=np.uint32)
+            at = byte_at[np.fromiter(itertools.chain.from_iterable(e.offsets), dtype=np.int64, count=2 * len(ids))]
+            out.append((ids, byte_ends(at[::2], at[1::2], self.size[ids])))
         return out
 
 
@@ -99,9 +101,10 @@ class Pieces:
         """Ids and byte ends of texts that start with a blank, by the byte spans of the protos."""
         out = []
         for proto in self.model.encode([t[1:] for t in texts], return_type="proto", num_threads=1):
-            got = np.array([(p.id, p.begin, p.end) for p in proto.pieces], dtype=np.int64).reshape(-1, 3)
-            ids, begin, end = got[:, 0].astype(np.uint32), got[:, 1] + 1, got[:, 2] + 1
-            begin[:1] = 0                                       # the first piece holds the blank that the model adds
+            found = list(proto.pieces)
+            ids = np.array([p.id for p in found], dtype=np.uint32)
+            end = np.array([p.end for p in found], dtype=np.int64) + 1
+            begin = np.concatenate([[0], end[:-1]])            # spans follow each other; the first holds the added blank
             out.append((ids, byte_ends(begin, end, self.size[ids])))
         return out
 
@@ -127,38 +130,57 @@ def encode_each(texts: list[str], call, vocabulary) -> tuple[np.ndarray, np.ndar
     ends go joined; a block whose tokens do not end with its pieces, and all other pieces, go one by one.  A piece
     whose decoded bytes are not its own is not *ok* and has no tokens.
     """
-    raw = [t.encode() for t in texts]
-    found: list = [None] * len(texts)
+    order, counts, flat_ids, flat_ends = [], [], [], []
     single = [i for i, t in enumerate(texts) if not _joinable(t)]
-    blocks, block, length = [], [], 0
+
+    def keep(members, ids, ends, count):
+        order.extend(members)
+        counts.append(count)
+        flat_ids.append(ids)
+        flat_ends.append(ends)
+
+    for members in _blocks(texts):                              # a block at a time: encodings are large while they live
+        ids, ends = call(["".join(texts[i] for i in members)])[0]
+        raw = [texts[i].encode() for i in members]
+        stop = np.cumsum([len(r) for r in raw])
+        cut = np.searchsorted(ends, stop)
+        if not len(ends) or _joined(vocabulary, ids) != b"".join(raw) or (ends[np.minimum(cut, len(ends) - 1)] != stop).any():
+            single += members
+            continue
+        count = np.diff(cut + 1, prepend=0)
+        keep(members, ids, ends - np.repeat(np.concatenate([[0], stop[:-1]]), count), count)
+    ok = np.ones(len(texts), dtype=bool)
+    for lo in range(0, len(single), SINGLES):
+        some = single[lo:lo + SINGLES]
+        for i, (ids, ends) in zip(some, call([texts[i] for i in some])):
+            ok[i] = _joined(vocabulary, ids) == texts[i].encode()
+            n = len(ids) if ok[i] else 0
+            keep([i], ids[:n], ends[:n], np.array([n]))
+    counts = np.concatenate([np.zeros(0, dtype=np.int64), *counts])
+    flat_ids = np.concatenate([np.zeros(0, dtype=np.uint32), *flat_ids])
+    flat_ends = np.concatenate([np.zeros(0, dtype=np.int64), *flat_ends])
+    back = np.empty(len(texts), dtype=np.int64)
+    back[np.array(order, dtype=np.int64)] = np.arange(len(texts))
+    at = spread(back, np.cumsum(counts) - counts, counts)
+    return flat_ids[at], flat_ends[at], counts[back], ok
+
+
+def _joined(vocabulary, ids: np.ndarray) -> bytes:
+    return b"".join([vocabulary.bytes[n] for n in ids.tolist()])
+
+
+def _blocks(texts: list[str]):
+    """Places of joinable texts, about BLOCK characters together."""
+    block, length = [], 0
     for i, t in enumerate(texts):
         if _joinable(t):
             block.append(i)
             length += len(t)
             if length >= BLOCK:
-                blocks.append(block)
+                yield block
                 block, length = [], 0
     if block:
-        blocks.append(block)
-    for members, (ids, ends) in zip(blocks, call(["".join(texts[i] for i in b) for b in blocks]) if blocks else []):
-        stop = np.cumsum([len(raw[i]) for i in members])
-        cut = np.searchsorted(ends, stop)
-        same = b"".join(vocabulary.bytes[n] for n in ids.tolist()) == b"".join(raw[i] for i in members)
-        if not same or len(ends) == 0 or (ends[np.minimum(cut, len(ends) - 1)] != stop).any():
-            single += members
-            continue
-        start = 0
-        for i, a, b, base in zip(members, np.concatenate([[0], cut[:-1] + 1]).tolist(), (cut + 1).tolist(),
-                                 np.concatenate([[0], stop[:-1]]).tolist()):
-            found[i] = (ids[a:b], ends[a:b] - base)
-    for i, (ids, ends) in zip(single, call([texts[i] for i in single]) if single else []):
-        same = b"".join(vocabulary.bytes[n] for n in ids.tolist()) == raw[i]
-        found[i] = (ids, ends) if same else None
-    ok = np.array([f is not None for f in found], dtype=bool)
-    none = (np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64))
-    found = [none if f is None else f for f in found]
-    counts = np.array([len(f[0]) for f in found], dtype=np.int64)
-    return (np.concatenate([none[0], *(f[0] for f in found)]), np.concatenate([none[1], *(f[1] for f in found)]), counts, ok)
+        yield block
 
 
 def split(texts: pa.Array, leading: bool, cut: bool = True) -> tuple[np.ndarray, np.ndarray, list[str]]:
