@@ -49,6 +49,18 @@ def slices(batch: pa.RecordBatch, size: int):
             yield ids[lo:hi], texts.slice(lo, hi - lo)
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Different values in order; sorting beats hashing for long arrays of few repeats."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
+def _both(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Values of two sorted arrays without repeats that are in both."""
+    at = np.minimum(np.searchsorted(b, a), max(len(b) - 1, 0))
+    return a[b[at] == a] if len(b) else a[:0]
+
+
 @dataclass
 class Bundle:
     """Documents as numbers of pieces, and the tokens of the pieces: ids, byte widths and counts on both sides."""
@@ -73,9 +85,9 @@ class Bundle:
 
     def __post_init__(self):
         end_a, end_b = np.cumsum(self.width_a, dtype=np.int64), np.cumsum(self.width_b, dtype=np.int64)
-        every = np.union1d(end_a, end_b)
+        every = distinct(np.concatenate([end_a, end_b]))
         self.link_a, self.link_b = np.searchsorted(end_a, every), np.searchsorted(end_b, every)
-        common = np.intersect1d(end_a, end_b, assume_unique=True)
+        common = _both(end_a, end_b)
         self.group_a, self.group_b = np.searchsorted(common, end_a), np.searchsorted(common, end_b)
         n = len(self.count_a)
         piece = np.repeat(np.arange(n), self.count_a)
@@ -93,12 +105,12 @@ class Bundle:
         """How many documents hold each pair."""
         n = max(len(self.count_a), 1)
         doc = np.repeat(np.arange(len(self.ends)), np.diff(self.ends, prepend=0))
-        once = np.unique(doc * n + self.numbers)
+        once = distinct(doc * n + self.numbers)
         doc, number = once // n, once % n
         start = np.cumsum(self.n_links) - self.n_links
         at = self.link_pair[tokens.spread(number, start, self.n_links)]
         m = max(len(self.pairs), 1)
-        return np.bincount(np.unique(np.repeat(doc, self.n_links[number]) * m + at) % m, minlength=len(self.pairs))
+        return np.bincount(distinct(np.repeat(doc, self.n_links[number]) * m + at) % m, minlength=len(self.pairs))
 
     def groups(self) -> list[str]:
         """``a1,a2|b1;a3|b2,b3`` of each document."""
@@ -133,7 +145,7 @@ class Memo:
         self.kept = [[np.zeros(0, dtype=t) for t in (np.uint32, np.uint8, np.int64)] for _ in self.sides]
 
     def numbers(self, names: list[str]) -> np.ndarray:
-        new = [n for n in names if n not in self.known]
+        new = list(dict.fromkeys(n for n in names if n not in self.known))
         self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
         found = [tokens.encode_each(new, side.spans, side) for side in self.sides] if new else []
         ok = found[0][3] & found[1][3] if new else self.ok[:0]

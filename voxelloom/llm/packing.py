@@ -82,11 +82,13 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
         def learn(names):
             """Ids of pieces not seen yet: joined where a vocabulary cuts at blanks, cut apart by their bytes."""
             got, _, count, ok = tokens.encode_each(names, lambda t: [(x, np.cumsum(side.size[x])) for x in side.ids(t)], side)
-            found = np.split(got, np.cumsum(count)[:-1])
-            for i in np.flatnonzero(~ok).tolist():
-                found[i] = side.ids([names[i]])[0]
-            ids.append(np.concatenate(found).astype(small))
-            size.append(np.array([len(f) for f in found], dtype=np.int64))
+            if not ok.all():                                    # not given back byte by byte, but ids all the same
+                found = np.split(got, np.cumsum(count)[:-1])
+                for i in np.flatnonzero(~ok).tolist():
+                    found[i] = side.ids([names[i]])[0]
+                got, count = np.concatenate(found), np.array([len(f) for f in found], dtype=np.int64)
+            ids.append(got.astype(small))
+            size.append(count)
             flat, n = project[ids[-1]], size[-1]
             run_sum = np.concatenate([np.zeros((1, DIMS)), np.cumsum(flat, axis=0)])
             stop = np.cumsum(n)
@@ -97,7 +99,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
                 if len(known) > KNOWN:
                     known, ids, size, total = {}, [], [], []
                 numbers, ends, names = tokens.split(texts, False, side.cuts_at_blanks)
-                new = [x for x in names if x not in known]
+                new = list(dict.fromkeys(x for x in names if x not in known))
                 if new:
                     known.update(zip(new, range(len(known), len(known) + len(new))))
                     learn(new)

@@ -18,10 +18,10 @@ import pyarrow.compute as pc
 import sentencepiece
 from tokenizers import Tokenizer
 
-#: Characters of pieces joined in one call, and other pieces in one call.
-BLOCK, SINGLES = 1 << 16, 256
+#: Pieces that are not joined in one call.
+SINGLES = 256
 #: A text where a cut before every blank could part a run of white space goes by this pattern instead.
-_ODD = re.compile(r"\s \s|\s \Z")
+_ODD = r"[\s\v\x1c-\x1f\x{85}\p{Z}] [\s\v\x1c-\x1f\x{85}\p{Z}]| \z"
 _PIECE = re.compile(r"\s*\S+(?:[^\S ]\s*\S*)*|\s+")
 
 
@@ -57,6 +57,9 @@ def byte_ends(begin: np.ndarray, end: np.ndarray, size: np.ndarray) -> np.ndarra
 class ByteLevel:
     """A byte-level vocabulary of the tokenizers library."""
 
+    #: Bytes of a block of joined pieces and blocks a call; this library is fastest with short texts, the other with long ones.
+    block, together = 1 << 12, 64
+
     def __init__(self, path: str, special_as_text: bool):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.model = Tokenizer.from_file(path)
@@ -89,6 +92,8 @@ class ByteLevel:
 class Pieces:
     """A sentencepiece model with byte fallback that puts a blank before each text."""
 
+    block, together = 1 << 16, 1
+
     def __init__(self, path: str):
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         names = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
@@ -119,8 +124,13 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
-def _joinable(piece: str) -> bool:
-    return piece[:1] == " " and len(piece) > 1 and piece[1:].strip() == piece[1:] and "▁" not in piece
+def _joinable(texts: list[str]) -> np.ndarray:
+    """Which pieces start with a blank and show other characters at both ends; U+2581 stands for a blank in some models."""
+    a = pa.array(texts, pa.string())
+    rest = pc.utf8_slice_codeunits(a, 1)
+    good = pc.and_(pc.and_(pc.starts_with(a, " "), pc.equal(pc.utf8_trim_whitespace(rest), rest)),
+                   pc.and_(pc.greater(pc.binary_length(rest), 0), pc.invert(pc.match_substring(a, "▁"))))
+    return good.to_numpy(zero_copy_only=False)
 
 
 def encode_each(texts: list[str], call, vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -131,36 +141,39 @@ def encode_each(texts: list[str], call, vocabulary) -> tuple[np.ndarray, np.ndar
     whose decoded bytes are not its own is not *ok* and has no tokens.
     """
     order, counts, flat_ids, flat_ends = [], [], [], []
-    single = [i for i, t in enumerate(texts) if not _joinable(t)]
+    joinable = _joinable(texts)
+    single = np.flatnonzero(~joinable).tolist()
 
     def keep(members, ids, ends, count):
-        order.extend(members)
+        order.append(members)
         counts.append(count)
         flat_ids.append(ids)
         flat_ends.append(ends)
 
-    for members in _blocks(texts):                              # a block at a time: encodings are large while they live
-        ids, ends = call(["".join(texts[i] for i in members)])[0]
-        raw = [texts[i].encode() for i in members]
-        stop = np.cumsum([len(r) for r in raw])
-        cut = np.searchsorted(ends, stop)
-        if not len(ends) or _joined(vocabulary, ids) != b"".join(raw) or (ends[np.minimum(cut, len(ends) - 1)] != stop).any():
-            single += members
-            continue
-        count = np.diff(cut + 1, prepend=0)
-        keep(members, ids, ends - np.repeat(np.concatenate([[0], stop[:-1]]), count), count)
+    length = pc.binary_length(pa.array(texts, pa.string())).to_numpy(zero_copy_only=False).astype(np.int64)
+    blocks = _blocks(np.flatnonzero(joinable), length, vocabulary.block)
+    for lo in range(0, len(blocks), vocabulary.together):       # some blocks at a time: encodings are large while they live
+        some = ["".join([texts[i] for i in m.tolist()]) for m in blocks[lo:lo + vocabulary.together]]
+        for members, text, (ids, ends) in zip(blocks[lo:], some, call(some)):
+            stop = np.cumsum(length[members])
+            cut = np.searchsorted(ends, stop)
+            if not len(ends) or _joined(vocabulary, ids) != text.encode() or (ends[np.minimum(cut, len(ends) - 1)] != stop).any():
+                single += members.tolist()
+                continue
+            count = np.diff(cut + 1, prepend=0)
+            keep(members, ids, ends - np.repeat(np.concatenate([[0], stop[:-1]]), count), count)
     ok = np.ones(len(texts), dtype=bool)
     for lo in range(0, len(single), SINGLES):
         some = single[lo:lo + SINGLES]
         for i, (ids, ends) in zip(some, call([texts[i] for i in some])):
             ok[i] = _joined(vocabulary, ids) == texts[i].encode()
             n = len(ids) if ok[i] else 0
-            keep([i], ids[:n], ends[:n], np.array([n]))
+            keep(np.array([i]), ids[:n], ends[:n], np.array([n]))
     counts = np.concatenate([np.zeros(0, dtype=np.int64), *counts])
     flat_ids = np.concatenate([np.zeros(0, dtype=np.uint32), *flat_ids])
     flat_ends = np.concatenate([np.zeros(0, dtype=np.int64), *flat_ends])
     back = np.empty(len(texts), dtype=np.int64)
-    back[np.array(order, dtype=np.int64)] = np.arange(len(texts))
+    back[np.concatenate([np.zeros(0, dtype=np.int64), *order])] = np.arange(len(texts))
     at = spread(back, np.cumsum(counts) - counts, counts)
     return flat_ids[at], flat_ends[at], counts[back], ok
 
@@ -169,62 +182,48 @@ def _joined(vocabulary, ids: np.ndarray) -> bytes:
     return b"".join([vocabulary.bytes[n] for n in ids.tolist()])
 
 
-def _blocks(texts: list[str]):
-    """Places of joinable texts, about BLOCK characters together."""
-    block, length = [], 0
-    for i, t in enumerate(texts):
-        if _joinable(t):
-            block.append(i)
-            length += len(t)
-            if length >= BLOCK:
-                yield block
-                block, length = [], 0
-    if block:
-        yield block
+def _blocks(at: np.ndarray, length: np.ndarray, size: int) -> list[np.ndarray]:
+    """Places of joinable texts, about *size* bytes together."""
+    part = np.cumsum(length[at]) // size
+    return np.split(at, np.flatnonzero(np.diff(part)) + 1) if len(at) else []
 
 
 def split(texts: pa.Array, leading: bool, cut: bool = True) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Texts as numbers of their different pieces: ``numbers, ends, pieces``, *ends* by text.
+    """Texts as numbers of their pieces: ``numbers, ends, pieces``, *ends* by text; few pieces come twice.
 
     With *leading* a blank is put before each text, so that all pieces start with one; without it, the first
     piece of a text is as it stands.  Without *cut* each text is one piece.
     """
     plain = texts.cast(pa.string())
-    values = plain.to_pylist()
-    odd = [i for i, t in enumerate(values) if not cut or "  " in t or _ODD.search(t) is not None or t[:1] == " " or t[-1:] == " "]
-    if odd:
-        keep = np.ones(len(values), dtype=bool)
-        keep[odd] = False
-        quick = plain.filter(pa.array(keep))
-    else:
-        quick = plain
-    lists = pc.split_pattern(quick, pattern=" ")
-    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    odd = pc.or_(pc.match_substring(plain, "  "), pc.or_(pc.starts_with(plain, " "), pc.match_substring_regex(plain, _ODD)))
+    odd = odd.to_numpy(zero_copy_only=False) if cut else np.ones(len(plain), dtype=bool)
+    count = np.zeros(len(plain), dtype=np.int64)
+    lists = pc.split_pattern(plain.filter(pa.array(~odd)), pattern=" ")
     coded = lists.flatten().dictionary_encode()
     numbers = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    names = coded.dictionary.to_pylist()
-    count = np.zeros(len(values), dtype=np.int64)
-    quick_at = np.flatnonzero(keep) if odd else np.arange(len(values))
+    names = [" " + n for n in coded.dictionary.to_pylist()]
     sizes = np.diff(lists.offsets.to_numpy()).astype(np.int64)
-    count[quick_at] = sizes
-    number_of = {" " + n: i for i, n in enumerate(names)}
-    names = list(number_of)
+    count[~odd] = sizes
     if not leading and len(sizes):
-        starts = np.cumsum(sizes) - sizes
-        for at in starts.tolist():
-            numbers[at] = number_of.setdefault(names[numbers[at]][1:], len(number_of))
-    if odd:
-        parts = np.split(numbers, np.cumsum(sizes)[:-1]) if len(sizes) else []
-        by_text = dict(zip(quick_at.tolist(), parts))
-        for i in odd:
-            whole = " " + values[i] if leading else values[i]
-            own = _PIECE.findall(whole) if cut else [whole]
-            if len(own) > 1 and own[-1] == " ":                 # a lone blank is nothing to a model that adds one itself
-                own[-2:] = [own[-2] + " "]
-            by_text[i] = np.array([number_of.setdefault(p, len(number_of)) for p in own], dtype=np.int64)
-            count[i] = len(own)
-        numbers = np.concatenate([by_text[i] for i in range(len(values))]) if values else numbers
-    return numbers, np.cumsum(count), list(number_of)
+        first = (np.cumsum(sizes) - sizes)[sizes > 0]
+        whole, numbers[first] = [names[n][1:] for n in numbers[first].tolist()], len(names) + np.arange(len(first))
+        names += whole
+    if not odd.any():
+        return numbers, np.cumsum(count), names
+    found = []
+    for text in plain.filter(pa.array(odd)).to_pylist():
+        text = " " + text if leading else text
+        own = _PIECE.findall(text) if cut else [text]
+        if len(own) > 1 and own[-1] == " ":                     # a lone blank is nothing to a model that adds one itself
+            own[-2:] = [own[-2] + " "]
+        found.append(own)
+    count[odd] = [len(own) for own in found]
+    number_of: dict[str, int] = {}
+    slow = np.array([number_of.setdefault(p, len(number_of)) for own in found for p in own], dtype=np.int64) + len(names)
+    out = np.empty(int(count.sum()), dtype=np.int64)
+    of_odd = np.repeat(odd, count)
+    out[of_odd], out[~of_odd] = slow, numbers
+    return out, np.cumsum(count), names + list(number_of)
 
 
 def spread(numbers: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
