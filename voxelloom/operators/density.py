@@ -56,9 +56,14 @@ def extent(positions: DataFrame, frames: DataFrame, by: list[str], gridsize: flo
 
     Edges snap outward, so windows differ by whole voxels only.
     """
-    gs = F.lit(float(gridsize))
     seen = positions.groupBy(*by).agg(
         *[f(a).alias(f"{n}{a}") for a in "xyz" for n, f in (("lo", F.min), ("hi", F.max))])
+    return extent_of(seen, frames, by, gridsize, box_by)
+
+
+def extent_of(seen: DataFrame, frames: DataFrame, by: list[str], gridsize: float, box_by: list[str] = ()) -> DataFrame:
+    """The same from the spans ``lox .. hiz`` of each map."""
+    gs = F.lit(float(gridsize))
     joined = _with_box(seen, frames, list(box_by))
     out = {}
     for a, i in zip("xyz", IJK):

@@ -20,11 +20,11 @@ def zone_kind(zone) -> str:
     return "point" if len(parts) == 3 and all(isinstance(v, float) for v in parts) else "resid"
 
 
-def _cells(df: DataFrame, edge: float) -> DataFrame:
+def cells(df: DataFrame, edge: float) -> DataFrame:
     return df.withColumns({f"g{c}": F.floor(F.col(c) / F.lit(edge)).cast("int") for c in "xyz"})
 
 
-def _reach(df: DataFrame, edge: float, radius: Column) -> DataFrame:
+def reach(df: DataFrame, edge: float, radius: Column) -> DataFrame:
     """Each row once per cell its sphere touches the box of."""
     out = df
     for c in "xyz":
@@ -42,10 +42,10 @@ def occupancy(positions: DataFrame, zones: DataFrame, edge: float = 6.0, keys=()
     Zones are put into the lattice cells they touch and met by cell equality.  An atom only
     meets the zones of its own cell, and Spark broadcasts the zones when they are small.
     """
-    z = _reach(zones, edge, F.col("radius")).select(
+    z = reach(zones, edge, F.col("radius")).select(
         *keys, "zone_id", "radius", "gx", "gy", "gz", *[F.col(c).alias(f"z{c}") for c in "xyz"])
     gap = sum((F.col(c) - F.col(f"z{c}")) * (F.col(c) - F.col(f"z{c}")) for c in "xyz")
-    return (_cells(positions, edge).join(z, [*keys, "gx", "gy", "gz"])
+    return (cells(positions, edge).join(z, [*keys, "gx", "gy", "gz"])
             .filter(gap <= F.col("radius") * F.col("radius"))
             .drop("gx", "gy", "gz", "zx", "zy", "zz", "radius"))
 
@@ -257,9 +257,9 @@ def zone_to_site(zones: DataFrame, rows: DataFrame, max_distance: float, site_ke
 
     A zone only meets hotspots that agree with it in *within*.  Both sides meet by cells of that size, so no zone is paired with far hotspots.
     """
-    z = _reach(zones.select(*within, "zone_id", "x", "y", "z"), max_distance, F.lit(float(max_distance)))
+    z = reach(zones.select(*within, "zone_id", "x", "y", "z"), max_distance, F.lit(float(max_distance)))
     keys = list(dict.fromkeys([*within, *site_keys]))
-    h = _cells(rows.select(*keys, *[F.col(f"centroid_{c}").alias(c) for c in "xyz"]), max_distance)
+    h = cells(rows.select(*keys, *[F.col(f"centroid_{c}").alias(c) for c in "xyz"]), max_distance)
     h = h.select(*keys, "gx", "gy", "gz", *[F.col(c).alias(f"h{c}") for c in "xyz"])
     d = F.sqrt(sum((F.col(c) - F.col(f"h{c}")) * (F.col(c) - F.col(f"h{c}")) for c in "xyz"))
     near = z.join(h, [*within, "gx", "gy", "gz"]).withColumn("distance", d).filter(F.col("distance") <= F.lit(float(max_distance)))

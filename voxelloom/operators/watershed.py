@@ -1,8 +1,8 @@
 """Marker-controlled watershed on sparse voxels, without gathering a component anywhere.
 
 Markers are maxima that stand at least *h* above the passes around them.  Every voxel first
-climbs to a peak; the passes between the peaks' slopes form a small graph, on which the
-height of a peak over its surroundings is the same as on the voxels.
+climbs to a peak; the passes between the peaks' slopes form a small graph, and the merge tree of
+that graph (:mod:`voxelloom.operators.mergetree`) says how far each peak stands out.
 
 Flooding joins each voxel to the marker it meets at the lowest level.  That is the minimum
 spanning forest rooted at the markers, so it is grown the way such forests are grown in
@@ -15,10 +15,12 @@ from __future__ import annotations
 
 import warnings
 
-from pyspark.sql import DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from voxelloom.lattice import IJK, half_offsets, key_shift, neighbour_offsets, voxel_key
-from voxelloom.operators import components, smoothing
+from voxelloom.operators import components, mergetree, smoothing
 from voxelloom.spark import cut, ranked
 
 MODES = ("score", "distance")
@@ -60,22 +62,11 @@ def climb(points: DataFrame, by: list[str], value: str = "f") -> DataFrame:
     return jump(best.select(*by, "node", (-F.col("_b.nv")).alias("parent")), by)
 
 
-def marker_voxels(points: DataFrame, by: list[str], h: float) -> DataFrame:
-    """Voxels on maxima that rise at least *h* above the highest pass to higher ground.
-
-    *points* holds ``vid`` and ``f`` (zero outside the mask).
-    """
+def slopes(points: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The voxels ``(by, i, j, k, vid, f, peak)`` with their peak, and the passes ``(by, a, b, saddle)`` between peaks."""
     peaks_of = climb(points, by)
     placed = cut(points.join(peaks_of.select(*by, F.col("node").alias("vid"), F.col("parent").alias("peak")),
                              [*by, "vid"]))
-    top = placed.groupBy(*by).agg(F.max("f").alias("_top"))
-    heights = placed.filter(F.col("vid") == F.col("peak")).select(*by, "peak", F.col("f").alias("pf"))
-    heights = heights.join(top, by) if by else heights.join(F.broadcast(top), F.lit(True))
-    # The step below a peak is a hair more than h, so that rounding cannot hide a maximum.
-    lowered = F.col("pf") - F.lit(float(h)) - F.abs("pf") * F.lit(2e-15)
-    floor = F.least(F.lit(0.0), F.col("_top") - F.lit(float(h)) - F.abs("_top") * F.lit(2e-15))
-    level = cut(heights.select(*by, "peak", "pf", F.greatest(lowered, floor).alias("rec")))
-
     passes = _edges(placed, by, 26, "f")
     root = placed.select(*by, "vid", "peak")
     passes = (passes.join(root.select(*by, F.col("vid").alias("u"), F.col("peak").alias("pu")), [*by, "u"])
@@ -83,20 +74,34 @@ def marker_voxels(points: DataFrame, by: list[str], h: float) -> DataFrame:
               .filter(F.col("pu") != F.col("pv"))
               .groupBy(*by, F.least("pu", "pv").alias("a"), F.greatest("pu", "pv").alias("b"))
               .agg(F.max(F.least("fu", "fv")).alias("saddle")))
-    passes = passes.select(*by, "a", "b", "saddle").unionByName(
-        passes.select(*by, F.col("b").alias("a"), F.col("a").alias("b"), "saddle"))
-    passes = cut(passes)
-    while True:
-        reached = (passes.join(level.select(*by, F.col("peak").alias("b"), F.col("rec").alias("_r")), [*by, "b"])
-                   .groupBy(*by, F.col("a").alias("peak")).agg(F.max(F.least("_r", "saddle")).alias("_in")))
-        new = (level.join(reached, [*by, "peak"], "left")
-               .withColumn("_new", F.greatest("rec", F.least(F.coalesce("_in", "rec"), "pf"))))
-        new = cut(new.select(*by, "peak", "pf", F.col("_new").alias("rec"),
-                             (F.col("_new") > F.col("rec")).alias("_up")))
-        level = new.drop("_up")
-        if not new.filter("_up").limit(1).count():
-            break
-    kept = level.filter(F.col("pf") - F.col("rec") >= F.lit(float(h))).select(*by, "peak", "pf")
+    return placed, passes
+
+
+def persistence(points: DataFrame, by: list[str], block: int = mergetree.BLOCK) -> tuple[DataFrame, DataFrame]:
+    """The voxels with their peak, and ``by, peak, i, j, k, pf, key, persistence`` of every peak.
+
+    *points* holds ``vid`` and ``f`` (zero outside the mask).  ``key`` is the highest pass to strictly higher ground; a peak
+    without one stands over the background.
+    """
+    placed, passes = slopes(points, by)
+    peaks = placed.filter(F.col("vid") == F.col("peak")).select(*by, "peak", *IJK, F.col("f").alias("pf"))
+    tree = mergetree.higher_ground(mergetree.merge_tree(peaks, passes, by, block), by)
+    out = tree.join(peaks.drop("pf"), [*by, "peak"])
+    return placed, cut(out.select(*by, "peak", *IJK, "pf", "key", (F.col("pf") - F.coalesce("key", F.lit(0.0))).alias("persistence")))
+
+
+def marker_voxels(points: DataFrame, by: list[str], h: float) -> DataFrame:
+    """Voxels on maxima that rise at least *h* above the highest pass to higher ground.
+
+    *points* holds ``vid`` and ``f`` (zero outside the mask).  The highest maximum of a map always counts.
+    """
+    placed, peaks = persistence(points, by)
+    top = placed.groupBy(*by).agg(F.max("f").alias("_top"))
+    heights = peaks.join(top, by) if by else peaks.join(F.broadcast(top), F.lit(True))
+    # The step below the top is a hair more than h, so that rounding cannot hide it.
+    floor = F.least(F.lit(0.0), F.col("_top") - F.lit(float(h)) - F.abs("_top") * F.lit(2e-15))
+    stands = F.col("pf") - F.greatest(F.coalesce("key", floor), floor) >= F.lit(float(h))
+    kept = heights.filter(stands).select(*by, "peak", "pf")
     return (placed.join(kept, [*by, "peak"]).filter(F.col("f") == F.col("pf"))
             .select(*by, *IJK, "vid"))
 
@@ -143,39 +148,90 @@ def flood(points: DataFrame, markers: DataFrame, by: list[str], level: str = "g"
     return part.filter(F.col("part") < 0).select(*by, "vid", (-F.col("part")).cast("int").alias("mark"))
 
 
-def _runs(df: DataFrame, line: list[str], axis: str) -> DataFrame:
-    """First and last index of the unbroken run along *axis* each voxel is in."""
-    w = Window.partitionBy(*line).orderBy(axis)
-    runs = df.withColumn("_r", F.col(axis) - F.row_number().over(w))
-    whole = Window.partitionBy(*line, "_r")
-    return runs.withColumns({"_lo": F.min(axis).over(whole), "_hi": F.max(axis).over(whole)}).drop("_r")
+def _envelope(at: np.ndarray, start: np.ndarray, size: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Lower envelope of the parabolas ``d[q] + (x - q)^2`` inside each run, at all its places.
+
+    The place whose parabola is lowest never moves back along a run, so the middle of every stretch is settled first and halves
+    the candidates of both sides: all runs advance together, a level a time, in about n log n steps.
+    """
+    best = np.empty(len(at))
+    lo, hi = start.astype(np.int64), (start + size).astype(np.int64)          # places still open
+    left, right = lo.copy(), hi - 1                                             # their candidates, both ends in
+    while len(lo):
+        mid = (lo + hi) // 2
+        n = right - left + 1
+        first = np.cumsum(n) - n
+        flat = np.repeat(left - first, n) + np.arange(int(n.sum()))
+        gap = np.repeat(at[mid], n) - at[flat]
+        cost = d[flat] + gap * gap
+        least = np.minimum.reduceat(cost, first)
+        best[mid] = least
+        won = np.minimum.reduceat(np.where(cost == np.repeat(least, n), flat, len(at)), first)
+        lo, hi, left, right = (np.concatenate(x) for x in ((lo, mid + 1), (mid, hi), (left, won), (won, right)))
+        open_ = lo < hi
+        lo, hi, left, right = lo[open_], hi[open_], left[open_], right[open_]
+    return best
+
+
+def _nearest(at: np.ndarray, first: np.ndarray, d: np.ndarray | None) -> np.ndarray:
+    """Squared distances along one axis for unbroken runs; outside a run the distance is 0."""
+    start = np.flatnonzero(first)
+    size = np.diff(np.append(start, len(at)))
+    gap = np.minimum(at - np.repeat(at[start], size), np.repeat(at[start + size - 1], size) - at) + 1.0
+    return gap * gap if d is None else np.minimum(gap * gap, _envelope(at, start, size, d))
 
 
 def distance_map(mask: DataFrame, by: list[str]) -> DataFrame:
     """Exact distance of each mask voxel to the nearest voxel outside it, in voxels.
 
-    One pass per axis over lattice lines: a line holds at most one voxel per index, so the
-    lines stay as short as the lattice is wide.
+    One pass per axis over lattice lines.  A line's unbroken runs are dealt with whole, as Arrow columns; a run is at
+    most as long as the lattice is wide, and a voxel moves as one row.
     """
     out = mask.select(*by, *IJK)
     for n, axis in enumerate(("k", "j", "i")):
-        line = [*by, *[a for a in IJK if a != axis]]
-        out = _runs(out, line, axis)
-        gap = F.least(F.col(axis) - F.col("_lo") + 1, F.col("_hi") - F.col(axis) + 1).cast("double")
-        if n == 0:
-            out = out.withColumn("_d", gap * gap).drop("_lo", "_hi")
-            continue
-        lines = out.groupBy(*line).agg(F.collect_list(F.struct(axis, "_d", "_lo", "_hi")).alias("_l"))
-        cells = lines.withColumn("_c", F.explode("_l")).select(
-            *line, F.col(f"_c.{axis}").alias(axis), F.col("_c._lo").alias("_lo"), F.col("_c._hi").alias("_hi"), "_l")
-        nearest = F.array_min(F.transform("_l", lambda e: e["_d"] + F.pow(
-            (e[axis] - F.col(axis)).cast("double"), F.lit(2.0))))
-        out = cells.withColumn("_d", F.least(nearest, gap * gap)).drop("_l", "_lo", "_hi")
+        line = Window.partitionBy(*by, *[a for a in IJK if a != axis]).orderBy(axis)
+        before = F.lag(axis).over(line)
+        # sorted by line for the window, and mapped in that order
+        marked = out.withColumn("_first", before.isNull() | (F.col(axis) - before > 1))
+        names = [*by, *IJK, "_d"]
+
+        def run(batches, axis=axis, later=n > 0, names=names):
+            held = None
+            for batch in batches:
+                table = pa.Table.from_batches([batch])
+                table = table if held is None else pa.concat_tables([held, table])
+                starts = np.flatnonzero(table.column("_first").to_numpy())
+                cut_at = int(starts[-1]) if len(starts) else 0          # the last run may go on in the next batch
+                held = table.slice(cut_at)
+                yield from solve(table.slice(0, cut_at), axis, later, names)
+            if held is not None:
+                yield from solve(held, axis, later, names)
+
+        def solve(table, axis, later, names):
+            if not table.num_rows:
+                return
+            d = _nearest(table.column(axis).to_numpy().astype(np.int64), table.column("_first").to_numpy(),
+                         table.column("_d").to_numpy() if later else None)
+            done = table.drop_columns(["_first", "_d"] if later else ["_first"]).append_column("_d", pa.array(d))
+            yield from done.select(names).combine_chunks().to_batches()
+
+        types = dict(mask.dtypes)
+        out = marked.mapInArrow(run, ", ".join([f"`{c}` {types[c]}" for c in [*by, *IJK]] + ["_d double"]))
     return out.select(*by, *IJK, F.sqrt("_d").alias("dist"))
 
 
+def spread_key() -> Column:
+    """A number that looks random over neighbouring voxels and is the same every time."""
+    return F.pmod(F.col("i").cast("bigint") * 73856093 + F.col("j").cast("bigint") * 19349663
+                  + F.col("k").cast("bigint") * 83492791, F.lit((1 << 31) - 1))
+
+
 def spaced_peaks(points: DataFrame, by: list[str], reach: int, value: str = "dist") -> DataFrame:
-    """Largest values of their cube of half-edge *reach*; of equal ones too close, the first stays."""
+    """Largest values of their cube of half-edge *reach*; of equal ones too close, the one with the lower key stays.
+
+    The kept ones are a maximal independent set by :func:`spread_key`: each round keeps every candidate whose key is the lowest
+    around it.  Keys are spread, so long rows of equal values are done in a few rounds and not from end to end.
+    """
     steps = F.sequence(F.lit(-reach), F.lit(reach))
     best = points.select(*by, *IJK, F.col(value).alias("_m"))
     for axis in IJK:
@@ -183,20 +239,20 @@ def spaced_peaks(points: DataFrame, by: list[str], reach: int, value: str = "dis
                 .groupBy(*by, *[(F.col(a) + F.col("_s")).cast("int").alias(a) if a == axis else F.col(a)
                                 for a in IJK]).agg(F.max("_m").alias("_m")))
     left = cut(points.join(best, [*by, *IJK]).filter(F.col(value) == F.col("_m"))
-               .select(*by, *IJK, voxel_key().alias("vid")))
+               .select(*by, *IJK, voxel_key().alias("vid"), spread_key().alias("_key")))
     kept = None
     cube = F.array(*[F.lit(key_shift(a, b, c)) for a in range(-reach, reach + 1)
                      for b in range(-reach, reach + 1) for c in range(-reach, reach + 1)])
     while left.limit(1).count():
-        near = (left.select(*by, F.col("vid").alias("_from"), F.explode(cube).alias("_s"))
-                .select(*by, "_from", (F.col("_from") + F.col("_s")).alias("vid")))
+        near = (left.select(*by, F.struct("_key", "vid").alias("_from"), F.explode(cube).alias("_s"))
+                .select(*by, "_from", (F.col("_from.vid") + F.col("_s")).alias("vid")))
         first = near.groupBy(*by, "vid").agg(F.min("_from").alias("_first"))
-        new = cut(left.join(first, [*by, "vid"]).filter(F.col("_first") == F.col("vid")).drop("_first"))
+        new = cut(left.join(first, [*by, "vid"]).filter(F.col("_first.vid") == F.col("vid")).drop("_first"))
         kept = new if kept is None else kept.unionByName(new)
         taken = (new.select(*by, F.col("vid").alias("_from"), F.explode(cube).alias("_s"))
                  .select(*by, (F.col("_from") + F.col("_s")).alias("vid")).distinct())
         left = cut(left.join(taken, [*by, "vid"], "left_anti"))
-    return kept if kept is not None else left
+    return (kept if kept is not None else left).drop("_key")
 
 
 def label(voxels: DataFrame, by: list[str], min_voxels: int = 1, h: float = 0.5,

@@ -1,7 +1,8 @@
 """The whole analysis of a set of runs: maps, merge, hotspots, kinetics, sites, exports.
 
-All runs and probes go through one plan per stage, as grouping columns.  Each stage is
-written out once, as the next ones all start from it.
+All runs and probes go through one plan per stage, as grouping columns.  The positions are read twice:
+once for all that does not depend on hotspots, once for zones and superposition (:mod:`voxelloom.operators.scan`).
+Each stage is written out once, as the next ones all start from it.
 """
 
 from __future__ import annotations
@@ -13,10 +14,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from voxelloom.functions import thermo
 from voxelloom.lattice import IJK
-from voxelloom.operators import (density, energy, field, hotspots, kinetics, merge, qc, regions, scoring, sites,
-                                 stencil)
+from voxelloom.operators import (density, energy, field, hotspots, kinetics, merge, qc, regions, scan, scoring,
+                                 sites, stencil)
 from voxelloom.plans.config import AnalysisConfig
-from voxelloom.sources import files, pdb, scripts
+from voxelloom.sources import dx_source, files, pdb, scripts
 from voxelloom.spark import cut, running_total
 
 log = logging.getLogger(__name__)
@@ -39,46 +40,69 @@ class Analysis:
         return self._made[name]
 
     # Input: one table of positions with their atoms, over all runs.
+    def atoms(self) -> DataFrame:
+        """Atoms of every run with their part in it: ``sim_no, sim, atom_id, name, .., role``."""
+        out, read = None, {}
+        for n, run in enumerate(self.config.simulations):
+            if run.topology not in read:
+                read[run.topology] = self.spark.read.parquet(run.topology)
+            atoms = read[run.topology]
+            if self.config.density_maps.atomtypes_file:        # atom_id, priority, atype: matches of typing rules
+                matches = self.spark.read.parquet(self.config.density_maps.atomtypes_file)
+                typed = files.assign_types(atoms.select("atom_id"), matches)
+                atoms = atoms.drop("atype").join(typed, "atom_id", "left")
+            role = (F.when(F.col("resname").isin(run.cosolvents), "probe").when(F.col("resname").isin(pdb.WATER), "water")
+                    .when(F.col("resname").isin(pdb.AMINO_ACIDS), "protein").otherwise("other"))
+            part = atoms.withColumns({"role": role, "sim": F.lit(run.label or f"sim_{n}"), "sim_no": F.lit(n)})
+            out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+        return out
+
+    def order(self) -> DataFrame:
+        """``sim, sim_no``, a row per run."""
+        return self.spark.createDataFrame([(r.label or f"sim_{n}", n) for n, r in enumerate(self.config.simulations)],
+                                          "sim string, sim_no int")
+
     def positions(self) -> DataFrame:
+        """One reader over the files of all runs; a file's name says which run it belongs to."""
         def load():
-            out = None
-            for n, run in enumerate(self.config.simulations):
-                atoms = self.spark.read.parquet(run.topology)
-                if self.config.density_maps.atomtypes_file:        # atom_id, priority, atype: matches of typing rules
-                    matches = self.spark.read.parquet(self.config.density_maps.atomtypes_file)
-                    typed = files.assign_types(atoms.select("atom_id"), matches)
-                    atoms = atoms.drop("atype").join(typed, "atom_id", "left")
-                part = (self.spark.read.parquet(run.trajectory).join(atoms, "atom_id")
-                        .withColumns({"sim": F.lit(run.label or f"sim_{n}"), "sim_no": F.lit(n)}))
-                wanted = F.col("resname").isin(run.cosolvents)
-                part = part.withColumn("role", F.when(wanted, "probe").when(F.col("resname").isin(pdb.WATER), "water")
-                                       .when(F.col("resname").isin(pdb.AMINO_ACIDS), "protein").otherwise("other"))
-                out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-            return out
+            paths = [run.trajectory for run in self.config.simulations]
+            of = [(f, n) for n, path in enumerate(paths) for f in self.spark.read.parquet(path).inputFiles()]
+            runs = self.spark.createDataFrame(of, "_file string, sim_no int")
+            rows = self.spark.read.option("mergeSchema", "true").parquet(*dict.fromkeys(paths))
+            rows = rows.withColumn("_file", F.col("_metadata.file_path")).join(F.broadcast(runs), "_file").drop("_file")
+            return rows.join(self.atoms(), ["sim_no", "atom_id"])
         return self._once("positions", load)
 
-    def probe_atoms(self) -> DataFrame:
-        return self.positions().filter("role = 'probe'").withColumn("probe", F.col("resname"))
+    def scanned(self) -> DataFrame:
+        """The first pass: all that does not depend on hotspots."""
+        return self._once("scanned", lambda: scan.by_kind(scan.accumulate(self.positions(), self.gridsize, MASK_STRIDE)))
+
+    def followed(self) -> DataFrame:
+        """The second pass: atoms in zones and the superposition of frames."""
+        def build():
+            zones = self.zones() if self.has_kinetics() else None
+            reference = scan.mean_places(self.scanned(), "CA") if self.config.report.rmsf else None
+            return scan.by_kind(scan.follow(self.positions(), zones, reference))
+        return self._once("followed", build)
+
+    def panel(self) -> DataFrame:
+        """``sim, probe`` for every probe seen in a run."""
+        return scan.spans(self.scanned()).select(*RUN)
 
     def frames(self) -> DataFrame:
         """Box per run and frame; where the runs carry no edges, the span of all atoms serves."""
-        pos = self.positions()
-        if {"lx", "ly", "lz"} <= set(pos.columns):
-            edges = [F.first(f"l{c}").alias(f"l{c}") for c in "xyz"]
-        else:
-            edges = [(F.max(c) - F.min(c)).alias(f"l{c}") for c in "xyz"]
-        return pos.groupBy("sim", "frame").agg(*edges, *[F.avg(c).alias(f"c{c}") for c in "xyz"])
+        return scan.frames(self.scanned())
 
     def boxes(self) -> DataFrame:
         return self._once("boxes", lambda: cut(density.mean_box(self.frames(), ["sim"])))
 
     def n_frames(self) -> DataFrame:
-        return self._once("n_frames", lambda: cut(self.positions().groupBy("sim").agg(
-            F.count_distinct("frame").cast("double").alias("n_frames"))))
+        return self._once("n_frames", lambda: cut(self.frames().groupBy("sim").agg(
+            F.count(F.lit(1)).cast("double").alias("n_frames"))))
 
     def extents(self) -> DataFrame:
-        return self._once("extents", lambda: cut(density.extent(
-            self.probe_atoms(), self.frames(), RUN, self.gridsize, ["sim"])))
+        return self._once("extents", lambda: cut(density.extent_of(
+            scan.spans(self.scanned()), self.frames(), RUN, self.gridsize, ["sim"])))
 
     def window(self) -> dict:
         return self._once("window", lambda: density.whole_window(self.extents()))
@@ -86,14 +110,9 @@ class Analysis:
     # Accessible volume.
     def masks(self) -> DataFrame:
         def build():
-            heavy = lambda df: df.filter(~F.col("name").startswith("H"))
-            seen = density.stride(self.positions(), MASK_STRIDE)
-            water = seen.filter("role = 'water' AND name = 'O'")
-            probe = heavy(density.stride(self.probe_atoms(), MASK_STRIDE))
-            with_vox = lambda df, by: density.with_voxel(df, self.gridsize).select(*by, *IJK).distinct()
-            panel = self.probe_atoms().select(*RUN).distinct()
-            solvent = stencil.union(with_vox(water, ["sim"]).join(panel, "sim"), with_vox(probe, RUN), RUN)
-            self._made["protein"] = cut(with_vox(heavy(seen.filter("role = 'protein'")), ["sim"]))
+            of = lambda what: scan.seen(self.scanned(), what)
+            solvent = stencil.union(of("water").drop("probe").join(self.panel(), "sim"), of("probe"), RUN)
+            self._made["protein"] = cut(of("protein").drop("probe"))
             return cut(stencil.accessible(solvent, self._made["protein"], RUN, self.gridsize, self.window(),
                                           PROBE_RADIUS))
         return self._once("masks", build)
@@ -111,15 +130,15 @@ class Analysis:
     def histogram(self) -> DataFrame:
         """Counts per run, probe and type; atoms without a type are left out of typed maps."""
         def count():
-            atoms = self.probe_atoms()
-            by = RUN + self.types()
+            seen = scan.counts(self.scanned())
             if self.types():
-                typed = atoms.filter(F.col("atype").isNotNull())
+                typed = seen.filter(F.col("atype").isNotNull())
                 # A run whose atoms match no type at all keeps its plain map.
                 some = typed.select(*RUN).distinct()
-                plain = atoms.join(some, RUN, "left_anti").withColumn("atype", F.lit("total"))
-                atoms = typed.unionByName(plain)
-            return cut(density.histogram(atoms, by, self.gridsize))
+                plain = seen.join(some, RUN, "left_anti").withColumn("atype", F.lit("total"))
+                seen = typed.unionByName(plain)
+            by = RUN + self.types()
+            return cut(seen.groupBy(*by, *IJK).agg(F.sum("n").alias("n")))
         return self._once("histogram", count)
 
     def sigma(self) -> float:
@@ -199,22 +218,23 @@ class Analysis:
 
         def build():
             rows = hotspots.shape_filter(self.all_hotspots(), cfg.max_solidity, cfg.min_field_sharpness)
-            kw = self.config.hotspots.survival_kwargs
-            return self.with_kinetics(rows) if kw.get("sp_top_n", 5) > 0 or kw.get("zones_csv") else rows
+            return self.with_kinetics(rows) if self.has_kinetics() else rows
         return self._once("hotspots", build)
 
     # Kinetics.
-    def survival(self) -> DataFrame:
-        """Replica-averaged survival curves at the best hotspots of each probe, or at given zones."""
+    def has_kinetics(self) -> bool:
+        kw = self.config.hotspots.survival_kwargs
+        loaded = self.config.checkpoint.load_hotspots and "hotspots" in self._made
+        return not loaded and bool(kw.get("sp_top_n", 5) > 0 or kw.get("zones_csv"))
+
+    def zones(self) -> DataFrame:
+        """``probe, zone_id, x, y, z, radius``: the best hotspots of each probe, or the given zones for all of them."""
         def build():
             kw = self.config.hotspots.survival_kwargs
             rows = hotspots.shape_filter(self.all_hotspots())
-            atoms = self.probe_atoms()
             probes = sorted({c for s in self.config.simulations for c in s.cosolvents})
-            heavy = atoms.filter(~F.col("name").startswith("H"))
-            # a probe is measured in the first frame of the first run that has it; one row per probe
-            first = heavy.groupBy("probe").agg(F.min(F.struct("sim_no", "frame")).alias("first")).select("probe", "first.*")
-            radius = kinetics.resolve_radius(kw.get("radius", 6.0), heavy.join(F.broadcast(first), ["probe", "sim_no", "frame"]),
+            # a probe is measured in the first frame of the first run that has it
+            radius = kinetics.resolve_radius(kw.get("radius", 6.0), scan.first_places(self.scanned(), self.order()),
                                              probes, kw.get("radius_tolerance", 1.7))
             zones = kinetics.candidate_zones(rows, kw.get("sp_top_n", 5), 6.0)
             if kw.get("zones_csv"):
@@ -223,11 +243,17 @@ class Analysis:
                 names = self.spark.createDataFrame([(p,) for p in probes], "probe string")
                 zones = given.join(F.broadcast(names), F.lit(True)).withColumn("radius", F.lit(6.0))
             sizes = self.spark.createDataFrame(list(radius.items()), "probe string, radius double")
-            zones = cut(zones.drop("radius").join(F.broadcast(sizes), "probe").withColumn(
+            return cut(zones.drop("radius").join(F.broadcast(sizes), "probe").withColumn(
                 "zone_id", F.concat_ws("|", "probe", "zone_id")))
-            inside = kinetics.occupancy(atoms.select("sim", "probe", "frame", "atom_id", "x", "y", "z"), zones, keys=("probe",))
+        return self._once("zones", build)
+
+    def survival(self) -> DataFrame:
+        """Replica-averaged survival curves at the best hotspots of each probe, or at given zones."""
+        def build():
+            kw = self.config.hotspots.survival_kwargs
+            inside = scan.kind(self.followed(), "zone").select("sim", "probe", "frame", "atom_id", "zone_id")
             by = ["probe", "zone_id", "sim"]
-            last = self.positions().groupBy("sim").agg(F.max("frame").alias("last_frame"))        # a row per run
+            last = self.frames().groupBy("sim").agg(F.max("frame").alias("last_frame"))        # a row per run
             stays = kinetics.runs(inside, by, "atom_id", intermittency=kw.get("intermittency", 0))
             stays = stays.join(F.broadcast(last), "sim")
             dt, notes = kinetics.frame_step([kw.get("trajectory_dt_ps", 0.0)], kw.get("dt_ps"))
@@ -235,7 +261,6 @@ class Analysis:
                 log.warning(n)
             curves = kinetics.survival(stays, [*by, "last_frame"], kw.get("max_tau", 100), F.col("last_frame"), dt)
             self._made["curves"] = cut(curves.drop("last_frame"))
-            self._made["zones"] = zones
             return cut(kinetics.replica_mean(self._made["curves"], ["probe", "zone_id"]))
         return self._once("survival", build)
 
@@ -281,27 +306,58 @@ class Analysis:
             return scoring.rank(out, cfg.weights)
         return self._once("sites", build)
 
+    # Maps as files.
+    def dx_maps(self, ranked: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """All maps, masks and labels as ``map, i, j, k, value``, and every map's name with the value of voxels not stored.
+
+        ``<run>/map_agfe_[<type>_]<probe>``, ``<run>/map_agfe_raw_..``, ``merged/map_agfe_..``, ``merged/accessible_mask``,
+        ``merged/hotspot_labels_<probe>`` and ``merged/binding_site_labels``.
+        """
+        kinds = self.types()
+        of = lambda head, *where: F.concat(*[c for w in where for c in (F.col(w), F.lit("/"))], F.lit(head),
+                                           *[c for k in kinds for c in (F.col(k), F.lit("_"))], F.col("probe")).alias("map")
+        plain = lambda head: F.concat(F.lit(f"merged/{head}_"), "probe").alias("map")
+        zero = F.lit(0.0).alias("background")
+        panel = self.histogram().select(*RUN, *kinds).distinct()
+        parts = [(self.maps().select(of("map_agfe_", "sim"), *IJK, F.col("agfe").alias("value")), panel.select(of("map_agfe_", "sim"), zero))]
+        if self.config.density_maps.export_raw:
+            totals = energy.totals(self.histogram(), RUN + kinds, self.n_frames(), self.accessible_counts())
+            floor = energy.background(totals, "n_frames", "n_accessible", self.temperature)
+            parts.append((self.raw_maps().select(of("map_agfe_raw_", "sim"), *IJK, F.col("agfe").alias("value")),
+                          floor.select(of("map_agfe_raw_", "sim"), "background")))
+        name = F.concat(F.lit("merged/map_agfe_"), *[c for k in kinds for c in (F.col(k), F.lit("_"))], F.col("probe")).alias("map")
+        parts.append((self.merged_typed().select(name, *IJK, F.col("agfe").alias("value")), panel.select(name, zero).distinct()))
+        probes = panel.select("probe").distinct()
+        labels = hotspots.rank_map(self.labelled(), self.hotspots(), ["probe"])
+        parts.append((labels.select(plain("hotspot_labels"), *IJK, F.col("rank").alias("value")), probes.select(plain("hotspot_labels"), zero)))
+        one = lambda text: F.lit(f"merged/{text}").alias("map")
+        parts.append((self.merged_mask().select(one("accessible_mask"), *IJK, F.lit(1.0).alias("value")), None))
+        if ranked is not None:
+            painted = sites.label_map(self._made["site_voxels"], ranked)
+            parts.append((painted.select(one("binding_site_labels"), *IJK, F.col("rank").alias("value")), None))
+        rows, names = None, None
+        for voxels, maps in parts:
+            voxels = voxels.withColumn("value", F.col("value").cast("double"))
+            rows = voxels if rows is None else rows.unionByName(voxels)
+            names = maps if names is None else names if maps is None else names.unionByName(maps)
+        return rows, names
+
+    def write_dx(self, ranked: DataFrame | None) -> None:
+        rows, names = self.dx_maps(ranked)
+        dx_source.write(rows, os.path.join(self.config.out_path, "dx"), self.window(), self.gridsize, maps=names)
+
     # Structure checks.
     def structure(self) -> dict[str, DataFrame]:
         """Fluctuation per atom and residue, and deviation per frame after superposition."""
-        prot = self.positions().filter("role = 'protein'")
-        by = ["sim", "atom_id"]
-        heavy = prot.filter(~F.col("name").startswith("H"))
-        per_atom = qc.rmsf(heavy, ["sim", "atom_id", "resid"])
-        out = {"rmsf_by_atom": per_atom,
-               "rmsf_by_residue": per_atom.groupBy("sim", "resid").agg(F.avg("rmsf").alias("rmsf"))}
-        calpha = prot.filter("name = 'CA'").withColumn("key", F.concat_ws("|", *by))
-        ref = qc.average_structure(calpha, "key")
-        out["rmsd_by_frame"] = qc.superposition(calpha, ref, ["sim", "frame"], "key").select("sim", "frame", "rmsd_fit")
-        return out
+        per_atom = scan.fluctuation(self.scanned())
+        fit = qc.decompose(scan.kind(self.followed(), "fit"), ["sim", "frame"])
+        return {"rmsf_by_atom": per_atom, "rmsf_by_residue": per_atom.groupBy("sim", "resid").agg(F.avg("rmsf").alias("rmsf")),
+                "rmsd_by_frame": fit.select("sim", "frame", "rmsd_fit")}
 
     def run(self) -> DataFrame:
         """All stages and exports; returns the ranked sites."""
         cfg = self.config
         base = cfg.out_path
-        if cfg.report.rmsf:
-            for name, df in self.structure().items():
-                df.write.mode("overwrite").csv(os.path.join(base, name), header=True)
         self.sampling().drop("n_positions").write.mode("overwrite").csv(os.path.join(base, "sampling"), header=True)
         if cfg.density_maps.export_raw:
             self.raw_maps().write.mode("overwrite").partitionBy(*RUN).parquet(os.path.join(base, "maps_raw"))
@@ -316,16 +372,21 @@ class Analysis:
         elif cfg.checkpoint.save_hotspots:
             files.save_checkpoint(self.hotspots(), self.labelled(), store)
         files.write_hotspots(files.hotspot_table(self.hotspots()), merged)
+        if cfg.report.rmsf:
+            for name, df in self.structure().items():
+                df.write.mode("overwrite").csv(os.path.join(base, name), header=True)
         if "curves" in self._made:
             self._made["curves"].write.mode("overwrite").csv(os.path.join(merged, "survival_per_replica"), header=True)
             self.survival().write.mode("overwrite").csv(os.path.join(merged, "survival"), header=True)
         if not cfg.binding_sites.enabled:
+            self.write_dx(None)
             return self.hotspots()
         ranked = cut(self.sites())
         pharm = self._made.get("pharmacophore")
         if pharm is None:
             pharm = ranked.select("site_id")
         files.write_sites(ranked, pharm, sites.label_map(self._made["site_voxels"], ranked), merged)
+        self.write_dx(ranked)
         if cfg.pymol.enabled:
             self._session(ranked, merged)
         return ranked

@@ -7,13 +7,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from voxelloom.functions import thermo
 from voxelloom.operators import components, density, energy
 from voxelloom.sources import tables as t
+from voxelloom.spark import cut
 
 CUTOFF = thermo.cutoff(1.0)
 MIN_VOXELS = 8
 
 
 def histogram(spark: SparkSession, root: str, by=("probe",)) -> DataFrame:
-    return density.histogram(t.positions(spark, root), list(by), t.GRID)
+    """Written once: totals and voxels both start from the counts, not from the positions."""
+    return cut(density.histogram(t.positions(spark, root), list(by), t.GRID))
 
 
 def raw(spark: SparkSession, root: str, by=("probe",)) -> DataFrame:

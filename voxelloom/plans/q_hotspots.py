@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from voxelloom.functions import thermo
 from voxelloom.functions.export import joined, marker_radius, marker_size, rounded, sphere_radius
+from voxelloom.lattice import voxel_key
 from voxelloom.operators import components, hotspots, regions, watershed
 from voxelloom.plans import fixture_maps as fx
-from voxelloom.plans.registry import KT, query, view
+from voxelloom.plans.registry import KT, query, raw_view, view
 from voxelloom.sources import tables as t
+from voxelloom.spark import cut
 
 KEY = ["probe", "label"]
 
@@ -277,22 +279,99 @@ def clean_mask(spark, root):
     return hotspots.clean_mask(fx.favourable(spark, root), ["probe"], t.WINDOW, min_size=1, hole_size=1)
 
 
-@query("watershed_hotspots")
+view("peak", ["edges26"], """SELECT * FROM fav f WHERE NOT EXISTS (
+  SELECT 1 FROM edges26 e JOIN fav g ON g.probe = e.probe AND g.vid = e.v WHERE e.probe = f.probe AND e.u = f.vid
+    AND (g.agfe < f.agfe OR (g.agfe = f.agfe AND g.vid < f.vid)))""")
+# The best way from each voxel to each other one: the highest that the lowest place on the way can be.
+raw_view("way", ["edges26"], """way(probe, src, v, m) AS (SELECT probe, vid, vid, -agfe FROM fav UNION
+  SELECT w.probe, w.src, e.v, least(w.m, -g.agfe) FROM way w JOIN edges26 e ON e.probe = w.probe AND e.u = w.v
+    JOIN fav g ON g.probe = e.probe AND g.vid = e.v)""")
+view("higher", ["way"], """SELECT w.probe, w.src AS vid, max(w.m) AS key FROM way w JOIN fav s ON s.probe = w.probe AND s.vid = w.src
+  JOIN fav g ON g.probe = w.probe AND g.vid = w.v WHERE g.agfe < s.agfe GROUP BY ALL""")
+view("hmax", ["higher"], """SELECT probe, i, j, k, vid FROM fav LEFT JOIN higher USING (probe, vid) JOIN (
+  SELECT probe, least(0e0, max(-agfe) - 0.5e0 - max(-agfe) * 2e-15) AS floor FROM fav GROUP BY probe) USING (probe)
+WHERE -agfe - greatest(coalesce(key, floor), floor) >= 0.5e0""")
+view("shell", ["fav"], """SELECT DISTINCT f.probe, f.i + di AS i, f.j + dj AS j, f.k + dk AS k FROM fav f, (
+    SELECT unnest([1, -1, 0, 0, 0, 0]) AS di, unnest([0, 0, 1, -1, 0, 0]) AS dj, unnest([0, 0, 0, 0, 1, -1]) AS dk)
+  WHERE NOT EXISTS (SELECT 1 FROM fav g WHERE g.probe = f.probe AND g.i = f.i + di AND g.j = f.j + dj AND g.k = f.k + dk)""")
+view("dmap", ["shell"], """SELECT f.probe, f.i, f.j, f.k, f.vid,
+    sqrt(min((f.i - s.i) * (f.i - s.i) + (f.j - s.j) * (f.j - s.j) + (f.k - s.k) * (f.k - s.k))) AS dist
+  FROM fav f JOIN shell s USING (probe) GROUP BY ALL""")
+view("spot", ["dmap"], """SELECT *, CAST(row_number() OVER (PARTITION BY probe ORDER BY
+    (CAST(i AS BIGINT) * 73856093 + CAST(j AS BIGINT) * 19349663 + CAST(k AS BIGINT) * 83492791) % 2147483647, vid) AS INT) AS o
+  FROM dmap a WHERE NOT EXISTS (SELECT 1 FROM dmap b WHERE b.probe = a.probe AND b.dist > a.dist
+    AND abs(a.i - b.i) <= 3 AND abs(a.j - b.j) <= 3 AND abs(a.k - b.k) <= 3)""")
+view("spots", ["spot"], """SELECT a.probe, a.o, coalesce(list(b.o) FILTER (b.o IS NOT NULL), []) AS near FROM spot a LEFT JOIN spot b
+  ON b.probe = a.probe AND b.o < a.o AND abs(a.i - b.i) <= 3 AND abs(a.j - b.j) <= 3 AND abs(a.k - b.k) <= 3 GROUP BY ALL""")
+raw_view("stay", ["spots"], """stay(probe, o, kept) AS (SELECT DISTINCT probe, 0, CAST([] AS INT[]) FROM spots UNION ALL
+  SELECT x.probe, s.o, CASE WHEN list_has_any(x.kept, s.near) THEN x.kept ELSE list_append(x.kept, s.o) END
+  FROM stay x JOIN spots s ON s.probe = x.probe AND s.o = x.o + 1)""")
+view("apart", ["stay", "spot"], """SELECT s.probe, s.i, s.j, s.k, s.vid FROM spot s JOIN (
+  SELECT probe, unnest(kept) AS o FROM (SELECT * FROM stay QUALIFY row_number() OVER (PARTITION BY probe ORDER BY o DESC) = 1)) USING (probe, o)""")
+
+
+def _flooded(name: str, seeds: str, level: str, needs: list[str]) -> str:
+    """Views of a flood from the 6-connected parts of *seeds* over ``(probe, vid, g)``; the last has the labelled voxels.
+
+    Edges are taken from the lowest on; one joins its ends unless both belong to markers.
+    """
+    raw_view(f"{name}_reach", [seeds, "edges6"], f"""{name}_reach(probe, u, r) AS (SELECT probe, vid, vid FROM {seeds} UNION
+  SELECT x.probe, e.v, x.r FROM {name}_reach x JOIN edges6 e ON e.probe = x.probe AND e.u = x.u
+    JOIN {seeds} s ON s.probe = e.probe AND s.vid = e.v)""")
+    view(f"{name}_mark", [f"{name}_reach"], f"""SELECT probe, vid, dense_rank() OVER (PARTITION BY probe ORDER BY root) AS mark
+  FROM (SELECT probe, u AS vid, min(r) AS root FROM {name}_reach GROUP BY ALL)""")
+    view(f"{name}_node", [f"{name}_mark", *needs], f"""SELECT l.probe, l.vid, l.g, row_number() OVER (PARTITION BY l.probe ORDER BY l.vid) AS x, m.mark
+  FROM ({level}) l LEFT JOIN {name}_mark m USING (probe, vid)""")
+    view(f"{name}_edge", [f"{name}_node", "edges6"], f"""SELECT e.probe, a.x AS a, b.x AS b, row_number() OVER (
+    PARTITION BY e.probe ORDER BY greatest(a.g, b.g), least(a.g, b.g), e.u, e.v) AS r FROM edges6 e
+  JOIN {name}_node a ON a.probe = e.probe AND a.vid = e.u JOIN {name}_node b ON b.probe = e.probe AND b.vid = e.v WHERE e.u < e.v""")
+    raw_view(f"{name}_join", [f"{name}_edge"], f"""{name}_join(probe, r, part) AS (
+  SELECT probe, CAST(0 AS BIGINT), list(coalesce(-CAST(mark AS BIGINT), x) ORDER BY x) FROM {name}_node GROUP BY probe UNION ALL
+  SELECT s.probe, s.r + 1, CASE WHEN s.pa = s.pb OR (s.pa < 0 AND s.pb < 0) THEN s.part
+      ELSE list_transform(s.part, lambda p: CASE WHEN p = s.pa OR p = s.pb THEN least(s.pa, s.pb) ELSE p END) END
+  FROM (SELECT j.probe, j.r, j.part, j.part[e.a] AS pa, j.part[e.b] AS pb FROM {name}_join j
+    JOIN {name}_edge e ON e.probe = j.probe AND e.r = j.r + 1) s)""")
+    view(f"{name}_done", [f"{name}_join"], f"""SELECT probe, unnest(part) AS p, unnest(range(1, len(part) + 1)) AS x FROM (
+  SELECT * FROM {name}_join QUALIFY row_number() OVER (PARTITION BY probe ORDER BY r DESC) = 1)""")
+    return f"""SELECT probe, i, j, k, CAST(-p AS INT) AS label, n_voxels FROM (
+  SELECT d.probe, f.i, f.j, f.k, d.p, count(*) OVER (PARTITION BY d.probe, d.p) AS n_voxels FROM {name}_done d
+  JOIN {name}_node n ON n.probe = d.probe AND n.x = d.x JOIN fav f ON f.probe = n.probe AND f.vid = n.vid WHERE d.p < 0)
+WHERE n_voxels >= 8"""
+
+
+@query("peak_persistence", ["peak", "higher"], """
+SELECT probe, i, j, k, round(-agfe, 6) + 0e0 AS height, round(key, 6) + 0e0 AS saddle, round(-agfe - coalesce(key, 0e0), 6) + 0e0 AS persistence
+FROM peak LEFT JOIN higher USING (probe, vid)""")
+def peak_persistence(spark, root):
+    """How far each local peak of the score stands over the pass to higher ground."""
+    score = fx.favourable(spark, root).select("probe", "i", "j", "k", voxel_key().alias("vid"), (-F.col("agfe")).alias("f"))
+    _, peaks = watershed.persistence(cut(score), ["probe"])
+    return peaks.select("probe", "i", "j", "k", rounded("pf", 6).alias("height"), rounded("key", 6).alias("saddle"),
+                        rounded("persistence", 6).alias("persistence"))
+
+
+@query("h_maxima", ["hmax"], "SELECT probe, i, j, k FROM hmax")
+def h_maxima(spark, root):
+    score = fx.favourable(spark, root).select("probe", "i", "j", "k", voxel_key().alias("vid"), (-F.col("agfe")).alias("f"))
+    return watershed.marker_voxels(cut(score), ["probe"], 0.5).select("probe", "i", "j", "k")
+
+
+_SCORE = _flooded("wscore", "hmax", "SELECT probe, vid, agfe AS g FROM fav", ["hmax"])
+_DISTANCE = _flooded("wdist", "apart", "SELECT probe, vid, -dist AS g FROM dmap", ["dmap", "apart"])
+
+
+@query("watershed_hotspots", ["wscore_done"], _SCORE)
 def watershed_hotspots(spark, root):
     lab = fx.favourable(spark, root).select("probe", "i", "j", "k", "agfe")
     return watershed.label(lab, ["probe"], fx.MIN_VOXELS)
 
 
-@query("watershed_distance")
+@query("watershed_distance", ["wdist_done"], _DISTANCE)
 def watershed_distance(spark, root):
     lab = fx.favourable(spark, root).select("probe", "i", "j", "k", "agfe")
     return watershed.label(lab, ["probe"], fx.MIN_VOXELS, watershed_mode="distance")
 
 
-@query("distance_map", ["fav"], """
-SELECT probe, i, j, k, sqrt(min(di * di + dj * dj + dk * dk)) AS dist FROM (
-  SELECT f.probe, f.i, f.j, f.k, di, dj, dk, n.probe IS NULL AS outside FROM fav f, (SELECT unnest(range(-8, 9)) AS di),
-    (SELECT unnest(range(-8, 9)) AS dj), (SELECT unnest(range(-8, 9)) AS dk)
-  LEFT JOIN fav n ON n.probe = f.probe AND n.i = f.i + di AND n.j = f.j + dj AND n.k = f.k + dk) WHERE outside GROUP BY ALL""")
+@query("distance_map", ["dmap"], "SELECT probe, i, j, k, dist FROM dmap")
 def distance_map(spark, root):
     return watershed.distance_map(fx.favourable(spark, root).select("probe", "i", "j", "k"), ["probe"])

@@ -11,8 +11,8 @@ from voxelloom.operators import energy, hotspots, kinetics
 from voxelloom.plans import fixture_maps as fx
 from voxelloom.plans.q_kinetics import LAST, MAX_TAU, DT
 from voxelloom.plans.registry import KT, query, view
-from voxelloom.sources import dx, files, pdb, scripts, tables as t
-from voxelloom.spark import shared_dir
+from voxelloom.sources import dcd, dx, dx_source, files, pdb, scripts, tables as t
+from voxelloom.spark import cut, ranked, shared_dir
 from voxelloom.streaming import occupancy as stream
 
 KEY = ["probe", "label"]
@@ -26,17 +26,69 @@ def scratch(spark, name: str) -> str:
 @query("dx_roundtrip", ["hist"], """
 SELECT probe, i, j, k, n::DOUBLE AS value FROM hist WHERE i < 20 AND j < 20 AND k < 20""")
 def dx_roundtrip(spark, root):
-    """Each probe's histogram as a DX map, written and read back."""
-    hist = fx.histogram(spark, root).persist()
+    """Each probe's histogram as a DX map, written in one job and read back as lines of text."""
     base = scratch(spark, "dx")
-    names = [r["probe"] for r in hist.select("probe").distinct().collect()]     # one row per map
-    for n in names:
-        dx.write(hist.filter(F.col("probe") == n), f"{base}/map_{n}.dx", t.WINDOW, t.GRID, "n")
-    hist.unpersist()
-    back = dx.read(spark, [f"{base}/map_{n}.dx" for n in names])
+    hist = fx.histogram(spark, root).withColumns({"map": F.concat(F.lit("map_"), "probe"), "value": F.col("n")})
+    dx_source.write(hist, base, t.WINDOW, t.GRID)
+    back = dx.read(spark, base + "/*.dx")
     return back.select(F.regexp_extract("map", r"map_([A-Z]+)\.dx", 1).alias("probe"), "i", "j", "k", "value")
 
 
+@query("dx_typed_maps", ["thist"], """
+SELECT 'HBD/map_' || probe AS map, i, j, k, n::DOUBLE AS value FROM thist WHERE atype = 'HBD' AND i < 20 AND j < 20 AND k < 20""")
+def dx_typed_maps(spark, root):
+    """Maps of all probes and types written in one job; only the files of one type are opened again."""
+    base = scratch(spark, "dx")
+    hist = fx.histogram(spark, root, ("probe", "atype")).select(
+        F.concat("atype", F.lit("/map_"), "probe").alias("map"), "i", "j", "k", F.col("n").alias("value"))
+    dx_source.write(hist, base, t.WINDOW, t.GRID)
+    return dx_source.read(spark, base).filter(F.col("map").startswith("HBD/"))
+
+
+@query("dx_masks", ["fav"], """
+SELECT 'mask_' || probe AS map, i, j, k, 1e0 AS value FROM fav WHERE i < 20 AND j < 20 AND k < 20 UNION ALL
+SELECT 'outside_' || p.probe, a.i::INT, b.j::INT, c.k::INT, 5e-1 FROM (SELECT DISTINCT probe FROM fav WHERE i < 20 AND j < 20 AND k < 20) p,
+  (SELECT unnest(range(20)) AS i) a, (SELECT unnest(range(20)) AS j) b, (SELECT unnest(range(20)) AS k) c
+WHERE NOT EXISTS (SELECT 1 FROM fav f WHERE f.probe = p.probe AND f.i = a.i AND f.j = b.j AND f.k = c.k)""")
+def dx_masks(spark, root):
+    """Masks as maps of ones, and their complements by a background of one half and zeros where the mask is."""
+    base = scratch(spark, "dx")
+    mask = cut(fx.favourable(spark, root).filter("i < 20 AND j < 20 AND k < 20").select("probe", "i", "j", "k"))
+    rows = mask.select(F.concat(F.lit("mask_"), "probe").alias("map"), "i", "j", "k", F.lit(1.0).alias("value")).unionByName(
+        mask.select(F.concat(F.lit("outside_"), "probe").alias("map"), "i", "j", "k", F.lit(0.0).alias("value")))
+    rest = mask.select(F.concat(F.lit("outside_"), "probe").alias("map"), F.lit(0.5).alias("background")).distinct()
+    dx_source.write(rows, base, t.WINDOW, t.GRID, maps=rest)
+    return dx_source.read(spark, base)
+
+
+@query("dx_labels", ["hot", "hrows"], """
+SELECT 'hotspot_labels_' || probe AS map, hot.i, hot.j, hot.k, rank::DOUBLE AS value FROM hot JOIN hrows USING (probe, label)
+WHERE i < 20 AND j < 20 AND k < 20""")
+def dx_labels(spark, root):
+    """Hotspot ranks per voxel as maps."""
+    base = scratch(spark, "dx")
+    lab = fx.labelled(spark, root)
+    painted = hotspots.rank_map(lab, hotspots.summarise(lab, ["probe"], t.GRID), ["probe"])
+    dx_source.write(painted.select(F.concat(F.lit("hotspot_labels_"), "probe").alias("map"), "i", "j", "k", F.col("rank").alias("value")),
+                    base, t.WINDOW, t.GRID)
+    return dx_source.read(spark, base)
+
+
+@query("dcd_window", ["protein"], """
+SELECT CAST(frame AS INT) AS frame, p_atom AS atom_id, round(x + ((p_atom * 3 + frame) % 9 - 4) * 0.125e0, 3) + 0e0 AS x, round(y, 3) + 0e0 AS y, round(z, 3) + 0e0 AS z
+FROM (SELECT row_number() OVER (ORDER BY atom_id) - 1 AS p_atom, x, y, z FROM protein), (SELECT unnest(range(50)) AS frame)
+WHERE frame BETWEEN 10 AND 35 AND frame % 5 = 0 AND p_atom IN (0, 3, 17, 50, 101, 150)""")
+def dcd_window(spark, root):
+    """Protein atoms over frames as binary trajectory files; a window of frames, every fifth, and some atoms are read back."""
+    base = scratch(spark, "dcd")
+    rest = ranked(t.protein(spark, root).select("atom_id", "x", "y", "z"), [], ["atom_id"], "place")
+    moving = rest.select((F.col("place") - 1).cast("bigint").alias("atom_id"), "x", "y", "z",
+                         F.explode(F.sequence(F.lit(0), F.lit(t.FRAMES - 1))).alias("frame"))
+    dcd.write(moving.withColumn("x", F.col("x") + (F.pmod(F.col("atom_id") * 3 + F.col("frame"), F.lit(9)) - 4) * 0.125), base)
+    back = dcd.read(spark, base, step=5).filter("frame BETWEEN 10 AND 35").filter(F.col("atom_id").isin(0, 3, 17, 50, 101, 150))
+    return back.select("frame", "atom_id", *[rounded(c, 3).alias(c) for c in "xyz"])
+
+
 @query("checkpoint_roundtrip", ["hot", "hrows"], """
 SELECT probe, label, rank, n_voxels, round(agfe_min, 6) + 0e0 AS agfe_min, n AS stored_voxels FROM hrows
 JOIN (SELECT probe, label, count(*) AS n FROM hot GROUP BY ALL) USING (probe, label)""")

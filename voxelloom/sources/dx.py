@@ -65,20 +65,30 @@ def read(spark: SparkSession, paths, keep_zero: bool = False) -> DataFrame:
     return out if keep_zero else out.filter(F.col("value") != 0)
 
 
-def text_lines(voxels: DataFrame, window: dict, gridsize: float, value: str, background: float = 0.0) -> DataFrame:
-    """The lines of one map in order, as ``(line, text)``."""
-    spark = voxels.sparkSession
+PER_LINE = 3
+
+
+def frame_lines(window: dict, gridsize: float) -> tuple[list[str], list[str]]:
+    """What stands before and after the values of a map."""
     size = [window[a][1] - window[a][0] for a in IJK]
-    total = size[0] * size[1] * size[2]
     counts = " ".join(map(str, size))
     origin = " ".join(repr((window[a][0] + 0.5) * gridsize) for a in IJK)
     d = repr(float(gridsize))
     head = [f"object 1 class gridpositions counts {counts}", f"origin {origin}", f"delta {d} 0 0", f"delta 0 {d} 0",
             f"delta 0 0 {d}", f"object 2 class gridconnections counts {counts}",
-            f"object 3 class array type double rank 0 items {total} data follows"]
+            f"object 3 class array type double rank 0 items {size[0] * size[1] * size[2]} data follows"]
     foot = ['attribute "dep" string "positions"', 'object "map" class field', 'component "positions" value 1',
             'component "connections" value 2', 'component "data" value 3']
-    per_line = 3
+    return head, foot
+
+
+def text_lines(voxels: DataFrame, window: dict, gridsize: float, value: str, background: float = 0.0) -> DataFrame:
+    """The lines of one map in order, as ``(line, text)``."""
+    spark = voxels.sparkSession
+    size = [window[a][1] - window[a][0] for a in IJK]
+    total = size[0] * size[1] * size[2]
+    head, foot = frame_lines(window, gridsize)
+    per_line = PER_LINE
     last = (total + per_line - 1) // per_line
     frame = ([(n - len(head), t) for n, t in enumerate(head)] + [(last + n, t) for n, t in enumerate(foot)])
     at = sum((F.col(a) - F.lit(window[a][0])).cast("bigint") * F.lit(m)
