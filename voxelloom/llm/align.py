@@ -26,7 +26,7 @@ from voxelloom.llm import tokens
 from voxelloom.llm.common import Work, small
 from voxelloom.llm.lm import pack, unpack
 
-BUNDLE_BYTES, SLICE_BYTES = 8 << 20, 2 << 20
+BUNDLE_BYTES, SLICE_BYTES = 3 << 20, 3 << 20
 #: Different pieces of text whose tokens a task keeps for the next bundles.
 KNOWN = 1 << 19
 _BUNDLES = "bundle bigint, kind int, packed binary"

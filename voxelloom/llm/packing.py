@@ -25,7 +25,7 @@ from voxelloom.spark import running_total
 
 LENGTH, END_ID = 1024, 0
 SLOTS, DIMS, BITS = 4096, 3, 20
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 12 << 20
 #: Different pieces of text whose ids a task keeps for the next documents.
 KNOWN = 1 << 19
 _ROWS = "row bigint, doc_id bigint, n bigint, ids binary, " + ", ".join(f"x{d} double" for d in range(DIMS))
@@ -81,11 +81,10 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
 
         def learn(names):
             """Ids of pieces not seen yet: joined where a vocabulary cuts at blanks, cut apart by their bytes."""
-            got, _, count, ok = tokens.encode_each(names, lambda t: [(x, np.cumsum(side.size[x])) for x in side.ids(t)], side)
+            call = lambda t: [(x, np.cumsum(side.size[x])) for x in side.ids(t)]
+            got, _, count, ok = tokens.encode_each(names, call, side)
             if not ok.all():                                    # not given back byte by byte, but ids all the same
-                found = np.split(got, np.cumsum(count)[:-1])
-                for i in np.flatnonzero(~ok).tolist():
-                    found[i] = side.ids([names[i]])[0]
+                found = [side.ids([n])[0] for n in names]
                 got, count = np.concatenate(found), np.array([len(f) for f in found], dtype=np.int64)
             ids.append(got.astype(small))
             size.append(count)
@@ -113,16 +112,21 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
                 at = np.concatenate([np.zeros((1, DIMS)), np.cumsum(total[0][number], axis=0)])
                 n = stop - start
                 x = (at[ends] - at[np.concatenate([[0], ends[:-1]])] + project[END_ID]) / (n + 1)[:, None]
-                raw = [flat[a:b].tobytes() for a, b in zip(start.tolist(), stop.tolist())]
+                raw = binary(flat, np.concatenate([[0], stop]) * flat.itemsize)
                 rows = (np.int64(part) << 36) + row + np.arange(len(n))
                 row += len(n)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(rows), pa.array(doc_ids, pa.int64()), pa.array(n + 1), pa.array(raw, pa.binary()),
+                    [pa.array(rows), pa.array(doc_ids, pa.int64()), pa.array(n + 1), raw,
                      *(pa.array(x[:, d]) for d in range(DIMS))], ["row", "doc_id", "n", "ids", *(f"x{d}" for d in range(DIMS))])
 
     return docs.mapInArrow(run, _ROWS)
 
 
+def binary(data: np.ndarray, at: np.ndarray) -> pa.Array:
+    """Stretches of the bytes of an array as a binary column, without a copy of each."""
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data)])
+
+
 def with_key(rows: DataFrame) -> DataFrame:
     """Rows with the Hilbert ``key`` of their coordinates, each spread by the corpus's mean and deviation.
 
@@ -172,18 +176,25 @@ def pack_documents(docs: DataFrame, path: str, length: int = LENGTH, id_col: str
 
     def cut(batches):
         for batch in batches:
-            cols = [[] for _ in _PIECES.split(", ")]
+            if not batch.num_rows:
+                continue
             names = batch.schema.names
-            for doc, n, raw, base in zip(*(batch.column(names.index(c)).to_pylist() for c in ("doc_id", "n", "ids", "begin"))):
-                ids = np.append(np.frombuffer(raw, dtype=np.uint16 if len(raw) == 2 * (n - 1) else np.uint32), END_ID).astype("<u4")
-                start = 0
-                while start < n:
-                    offset = (base + start) % length
-                    size = min(n - start, length - offset)
-                    for c, v in zip(cols, (doc, start, size, n, (base + start) // length, offset, ids[start:start + size].tobytes())):
-                        c.append(v)
-                    start += size
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k == 6 else pa.int64()) for k, c in enumerate(cols)],
+            n, base = (batch.column(names.index(c)).to_numpy() for c in ("n", "begin"))
+            raw = b"".join(batch.column(names.index("ids")).to_pylist())
+            held = int((n - 1).sum())
+            stop = np.cumsum(n)
+            ids = np.full(int(stop[-1]), END_ID, dtype="<u4")
+            inside = np.ones(len(ids), dtype=bool)
+            inside[stop - 1] = False
+            ids[inside] = np.frombuffer(raw, dtype=np.uint16 if len(raw) == 2 * held else np.uint32)
+            pieces = (base + n - 1) // length - base // length + 1
+            doc = np.repeat(np.arange(len(n)), pieces)
+            k = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            start = np.maximum((base[doc] // length + k) * length - base[doc], 0)
+            size = np.minimum((base[doc] // length + k + 1) * length - base[doc], n[doc]) - start
+            place = base[doc] + start
+            cols = [batch.column(names.index("doc_id")).take(pa.array(doc)), *map(pa.array, (start, size, n[doc], place // length, place % length))]
+            yield pa.RecordBatch.from_arrays([*cols, binary(ids, np.concatenate([[0], np.cumsum(size)]) * 4)],
                                              [c.split()[0] for c in _PIECES.split(", ")])
 
     return whole.select("row", "doc_id", "n", "ids").join(begin, "row").mapInArrow(cut, _PIECES)
