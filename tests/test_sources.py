@@ -99,7 +99,9 @@ def movie(spark, tmp_path):
                         **{c: xyz[:, :, k].ravel() for k, c in enumerate("xyz")}, "lx": 16.0, "ly": 17.0, "lz": 18.0})
     df = spark.createDataFrame(pdf).selectExpr("cast(frame as int) frame", "atom_id", "x", "y", "z", "lx", "ly", "lz")
     path = f"{tmp_path}/movie"
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")          # several files
     dcd.write(df, path)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     return path, pdf
 
 

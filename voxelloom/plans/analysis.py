@@ -66,7 +66,9 @@ class Analysis:
         """One reader over the files of all runs; a file's name says which run it belongs to."""
         def load():
             paths = [run.trajectory for run in self.config.simulations]
-            of = [(f, n) for n, path in enumerate(paths) for f in self.spark.read.parquet(path).inputFiles()]
+            listed = [(f, n) for n, path in enumerate(paths) for f in self.spark.read.parquet(path).inputFiles()]
+            # the two interfaces spell local files differently
+            of = [(name, n) for f, n in listed for name in dict.fromkeys((f, f.replace("file:///", "file:/", 1)))]
             runs = self.spark.createDataFrame(of, "_file string, sim_no int")
             rows = self.spark.read.option("mergeSchema", "true").parquet(*dict.fromkeys(paths))
             rows = rows.withColumn("_file", F.col("_metadata.file_path")).join(F.broadcast(runs), "_file").drop("_file")
