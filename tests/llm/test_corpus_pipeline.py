@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from test_operators import similar_lines
 from voxelloom.llm import mixing, simhash
+from voxelloom.llm.common import words
 
 BENCH = "which of the seven old bridges over the river was closed first when the great flood came to town in spring"
 
@@ -79,10 +80,13 @@ def test_every_stage_against_brute_force(spark, world):
 
     df, got = after("SimHash near-dedup", df)
     fps = {i: simhash.fingerprint(t.encode()) for i, t in state.items()}
+    split = {i: words(t.encode()) for i, t in state.items()}
+    sets = {i: {tuple(w[n:n + 5]) for n in range(max(1, len(w) - 4))} if w else set() for i, w in split.items()}
     top = {i: i for i in fps}
     for i in sorted(fps):
         for j in sorted(fps):
-            if j < i and bin(fps[i] ^ fps[j]).count("1") <= 3:
+            near = j < i and (bin(fps[i] ^ fps[j]).count("1") <= 3 or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]))
+            if near and sets[i] and sets[j]:
                 a, b = top[i], top[j]
                 top = {k: min(a, b) if v in (a, b) else v for k, v in top.items()}
     state = {i: t for i, t in state.items() if top[i] == i}

@@ -26,9 +26,9 @@ from voxelloom.llm import tokens
 from voxelloom.llm.common import Work, small
 from voxelloom.llm.lm import pack, unpack
 
-BUNDLE_BYTES, SLICE_BYTES = 3 << 20, 3 << 20
+BUNDLE_BYTES, SLICE_BYTES = 2 << 20, 2 << 20
 #: Different pieces of text whose tokens a task keeps for the next bundles.
-KNOWN = 1 << 19
+KNOWN = 1 << 17
 _BUNDLES = "bundle bigint, kind int, packed binary"
 _OUT = ("doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, "
         "groups string")
@@ -41,12 +41,12 @@ def _arrow(ddl: str) -> pa.Schema:
 
 def slices(batch: pa.RecordBatch, size: int):
     """``ids, texts`` of parts of a batch with about *size* bytes of text each; a null text is an empty one."""
-    ids, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.large_string()).fill_null("")
-    length = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+    ids, texts = batch.column(0), batch.column(1)
+    length = pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     part = (np.cumsum(length) - length) // size
     for lo, hi in zip(starts := [0, *(np.flatnonzero(np.diff(part)) + 1).tolist()], [*starts[1:], len(ids)]):
-        if lo < hi:
-            yield ids[lo:hi], texts.slice(lo, hi - lo)
+        if lo < hi:                                              # copied slice by slice, as a batch may be large
+            yield ids.slice(lo, hi - lo).to_pylist(), texts.slice(lo, hi - lo).cast(pa.large_string()).fill_null("")
 
 
 def distinct(x: np.ndarray) -> np.ndarray:
@@ -192,6 +192,7 @@ def bundles(docs: DataFrame, path_a: str, path_b: str, size: int = BUNDLE_BYTES)
                     ids, parts, held, made = [], [], 0, made + 1
                     if len(memo.known) > KNOWN:
                         memo = Memo(side_a, side_b)
+                    pa.default_memory_pool().release_unused()
         if ids:
             yield flush()
 
