@@ -123,10 +123,19 @@ def survival(stays: DataFrame, by: list[str], max_tau: int, last_frame, dt_ps: f
     spelled out, so the lags multiply frames and not molecules.  Start frames too late for a
     lag do not count for it; frames nobody occupies do not count at all.
     """
-    last = last_frame if isinstance(last_frame, Column) else F.lit(int(last_frame))
+    return survival_of(starts_of(stays, by, max_tau), by, max_tau, last_frame, dt_ps)
+
+
+def starts_of(stays: DataFrame, by: list[str], max_tau: int) -> DataFrame:
+    """``by, t, left, c``: how many stays go on for *left* more frames (at most *max_tau*) at frame *t*.  Such counts add up."""
     left = F.least(F.col("end") - F.col("t"), F.lit(int(max_tau)))
-    starts = (stays.select(*by, "end", F.explode(F.sequence("start", "end")).alias("t"))
-              .groupBy(*by, "t", left.alias("left")).agg(F.count(F.lit(1)).alias("c")))
+    return (stays.select(*by, "end", F.explode(F.sequence("start", "end")).alias("t"))
+            .groupBy(*by, "t", left.alias("left")).agg(F.count(F.lit(1)).alias("c")))
+
+
+def survival_of(starts: DataFrame, by: list[str], max_tau: int, last_frame, dt_ps: float = 1.0) -> DataFrame:
+    """The survival curve from :func:`starts_of`, or from sums of such counts."""
+    last = last_frame if isinstance(last_frame, Column) else F.lit(int(last_frame))
     alive = (starts.select(*by, "t", "c", F.explode(F.sequence(F.lit(0), "left")).alias("tau"))
              .groupBy(*by, "t", "tau").agg(F.sum("c").alias("n")))
     occupied = (alive.filter("tau = 0").select(*by, "t", F.col("n").alias("n0"))

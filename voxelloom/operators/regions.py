@@ -100,6 +100,11 @@ def axes(tensor: DataFrame, by: list[str]) -> DataFrame:
 
     A symmetric 3x3 matrix has its eigenvalues in closed form, so this stays an expression.
     """
+    return axes_columns(tensor).select(*by, "eig_1", "eig_2", "eig_3", "axis_major_length", "axis_minor_length")
+
+
+def axes_columns(tensor: DataFrame) -> DataFrame:
+    """The same as further columns of a table with ``inertia_ii .. inertia_jk``."""
     a, b, c = (F.col(f"inertia_{x}{x}") for x in IJK)
     d, e, f = F.col("inertia_ij"), F.col("inertia_ik"), F.col("inertia_jk")
     q = (a + b + c) / F.lit(3.0)
@@ -114,8 +119,7 @@ def axes(tensor: DataFrame, by: list[str]) -> DataFrame:
     top = F.when(tiny, F.col("_q")).otherwise(F.col("_q") + F.lit(2.0) * F.col("_p") * F.cos("_phi"))
     low = F.when(tiny, F.col("_q")).otherwise(
         F.col("_q") + F.lit(2.0) * F.col("_p") * F.cos(F.col("_phi") + F.lit(2.0 * math.pi / 3.0)))
-    out = step.select(*by, top.alias("eig_1"), (F.lit(3.0) * F.col("_q") - top - low).alias("eig_2"),
-                      low.alias("eig_3"))
+    out = step.withColumns({"eig_1": top, "eig_2": F.lit(3.0) * F.col("_q") - top - low, "eig_3": low}).drop("_q", "_p", "_phi")
 
     def length(x):
         return F.sqrt(F.lit(10.0) * F.greatest(F.lit(0.0), x))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from voxelloom.functions import thermo
 from voxelloom.functions.export import joined, marker_radius, marker_size, rounded, sphere_radius
 from voxelloom.lattice import voxel_key
-from voxelloom.operators import components, hotspots, regions, watershed
+from voxelloom.operators import components, hotspots, properties, regions, watershed
 from voxelloom.plans import fixture_maps as fx
 from voxelloom.plans.registry import KT, query, raw_view, view
 from voxelloom.sources import tables as t
@@ -225,15 +225,82 @@ def region_euler(spark, root):
     return regions.euler(fx.labelled(spark, root), KEY)
 
 
-@query("region_filled")
+@query("region_properties_selected", ["hlocal"], f"""
+SELECT probe, label, count(*) AS area, round(count(*) / ((max(i) - min(i) + 1) * (max(j) - min(j) + 1) * (max(k) - min(k) + 1)), 6) AS extent,
+  round(avg(j), 6) AS centroid_j, round(avg(k) - min(k), 6) AS local_k, round(any_value(wi), 6) AS weighted_i,
+  round(({_mu(0, 2, 0)} + {_mu(0, 0, 2)}) / count(*), 6) AS inertia_ii, round(-{_mu(1, 0, 1)} / count(*), 6) + 0e0 AS inertia_ik,
+  round(({_mu(2, 0, 0)} + {_mu(0, 2, 0)} + {_mu(0, 0, 2)}) * 2e0 / count(*), 6) AS trace, round(stddev_pop(-agfe), 6) AS intensity_std
+FROM hlocal GROUP BY ALL""")
+def region_properties_selected(spark, root):
+    """Some properties by name from one grouping; the eigenvalues sum to the trace of the tensor."""
+    out = properties.measure(fx.labelled(spark, root), KEY, ["area", "extent", "centroid", "centroid_local", "centroid_weighted",
+                                                             "inertia_tensor", "inertia_tensor_eigvals", "intensity_std"])
+    g = lambda name, at=None: F.col(f"geom_{name}") if at is None else F.col(f"geom_{name}")[at]
+    return out.select(*KEY, g("area").alias("area"), rounded(g("extent"), 6).alias("extent"), rounded(g("centroid", 1), 6).alias("centroid_j"),
+                      rounded(g("centroid_local", 2), 6).alias("local_k"), rounded(g("centroid_weighted", 0), 6).alias("weighted_i"),
+                      rounded(g("inertia_tensor", 0), 6).alias("inertia_ii"), rounded(g("inertia_tensor", 2), 6).alias("inertia_ik"),
+                      rounded(g("inertia_tensor_eigvals", 0) + g("inertia_tensor_eigvals", 1) + g("inertia_tensor_eigvals", 2), 6).alias("trace"),
+                      rounded(g("intensity_std"), 6).alias("intensity_std"))
+
+
+@query("region_property_custom", ["hot"], """
+SELECT probe, label, count(*) AS geom_area, round(max(agfe) - min(agfe), 6) AS geom_relief, count(*) FILTER (agfe < -1.2e0) AS geom_deep,
+  CAST(max(i) - min(i) + max(j) - min(j) + max(k) - min(k) + 3 AS INT) AS geom_span FROM hot GROUP BY ALL""")
+def region_property_custom(spark, root):
+    """Own aggregates beside a known property."""
+    relief = (F.max("agfe") - F.min("agfe"))
+    span = sum(((F.max(a) - F.min(a)) for a in "ijk"), F.lit(3)).cast("int")
+    out = properties.measure(fx.labelled(spark, root), KEY, ["area"], {
+        "relief": relief, "deep": F.count_if(F.col("agfe") < -1.2), "span": span})
+    return out.withColumn("geom_relief", rounded("geom_relief", 6))
+
+
+@query("property_serialised", ["hot"], """
+SELECT probe, label, '{"geom_area":' || count(*) || ',"geom_bbox":[' || min(i) || ',' || min(j) || ',' || min(k) || ',' || max(i) + 1 || ','
+  || max(j) + 1 || ',' || max(k) + 1 || '],"geom_slice":[[' || min(i) || ',' || max(i) + 1 || ',null],[' || min(j) || ',' || max(j) + 1
+  || ',null],[' || min(k) || ',' || max(k) + 1 || ',null]],"geom_far":null}' AS properties FROM hot GROUP BY ALL""")
+def property_serialised(spark, root):
+    """Numbers, lists and slices as text; an infinite value reads null."""
+    out = properties.measure(fx.labelled(spark, root), KEY, ["area", "bbox", "slice"], {"far": F.max(F.lit(float("inf")))})
+    return properties.serialised(out, KEY)
+
+
+view("padded", ["hot"], """SELECT probe, label, min(i) - 1 AS li, max(i) + 1 AS hi, min(j) - 1 AS lj, max(j) + 1 AS hj, min(k) - 1 AS lk,
+  max(k) + 1 AS hk FROM hot GROUP BY ALL""")
+view("empty", ["padded"], """SELECT c.* FROM (SELECT *, unnest(range(lk, hk + 1)) AS k FROM (SELECT *, unnest(range(lj, hj + 1)) AS j FROM (
+    SELECT *, unnest(range(li, hi + 1)) AS i FROM padded))) c
+  WHERE NOT EXISTS (SELECT 1 FROM hot h WHERE h.probe = c.probe AND h.label = c.label AND h.i = c.i AND h.j = c.j AND h.k = c.k)""")
+raw_view("open_cell", ["empty"], """open_cell(probe, label, i, j, k) AS (SELECT probe, label, i, j, k FROM empty
+    WHERE i IN (li, hi) OR j IN (lj, hj) OR k IN (lk, hk) UNION
+  SELECT e.probe, e.label, e.i, e.j, e.k FROM open_cell o JOIN empty e ON e.probe = o.probe AND e.label = o.label
+    AND abs(e.i - o.i) <= 1 AND abs(e.j - o.j) <= 1 AND abs(e.k - o.k) <= 1)""")
+
+
+@query("region_filled", ["padded", "open_cell"], """
+SELECT probe, label, CAST(any_value((hi - li + 1) * (hj - lj + 1) * (hk - lk + 1)) - count(*) AS BIGINT) AS area_filled
+FROM padded JOIN open_cell USING (probe, label) GROUP BY probe, label""")
 def region_filled(spark, root):
     return regions.filled_area(fx.labelled(spark, root), KEY)
 
 
-@query("region_axes")
+view("tensor", ["hlocal"], f"""SELECT probe, label, ({_mu(0, 2, 0)} + {_mu(0, 0, 2)}) / count(*) AS a, ({_mu(2, 0, 0)} + {_mu(0, 0, 2)}) / count(*) AS b,
+  ({_mu(2, 0, 0)} + {_mu(0, 2, 0)}) / count(*) AS c, -{_mu(1, 1, 0)} / count(*) AS d, -{_mu(1, 0, 1)} / count(*) AS e,
+  -{_mu(0, 1, 1)} / count(*) AS f FROM hlocal GROUP BY ALL""")
+view("eigen", ["tensor"], """SELECT probe, label, e1, 3e0 * q - e1 - e3 AS e2, e3 FROM (
+  SELECT *, q + 2e0 * p * cos(acos(r) / 3e0) AS e1, q + 2e0 * p * cos(acos(r) / 3e0 + 2e0 * pi() / 3e0) AS e3 FROM (
+    SELECT *, greatest(-1e0, least(1e0, ((a - q) * ((b - q) * (c - q) - f * f) - d * (d * (c - q) - f * e) + e * (d * f - (b - q) * e))
+      / (2e0 * p * p * p))) AS r FROM (SELECT *, sqrt(((a - q) ** 2 + (b - q) ** 2 + (c - q) ** 2 + 2e0 * (d * d + e * e + f * f)) / 6e0) AS p
+        FROM (SELECT *, (a + b + c) / 3e0 AS q FROM tensor))))""")
+
+
+@query("region_axes", ["eigen"], """
+SELECT probe, label, round(e1, 5) + 0e0 AS eig_1, round(e2, 5) + 0e0 AS eig_2, round(e3, 5) + 0e0 AS eig_3,
+  round(sqrt(10e0 * greatest(0e0, e1 + e2 - e3)), 5) + 0e0 AS axis_major_length,
+  round(sqrt(10e0 * greatest(0e0, e2 + e3 - e1)), 5) + 0e0 AS axis_minor_length FROM eigen""")
 def region_axes(spark, root):
     central = regions.central_moments(fx.labelled(spark, root), KEY, powers=_LOW)
-    return regions.axes(regions.inertia(central, KEY), KEY)
+    out = regions.axes(regions.inertia(central, KEY), KEY)
+    return out.select(*KEY, *[rounded(c, 5).alias(c) for c in out.columns if c not in KEY])
 
 
 @query("region_hull")

@@ -248,6 +248,37 @@ def stream_sessions(spark, root):
     return stream.settled_stays(log).select("zone", "replica", "mol", "start", "end")
 
 
+view("closed", ["spans"], """SELECT * FROM spans WHERE "end" + 3 + 5 <= (SELECT max(frame) + 1 FROM presence)""")
+view("closed_at", ["closed"], """SELECT zone, replica, mol, "end", unnest(range(start, "end" + 1)) AS t FROM closed""")
+
+
+@query("stream_survival_incremental", ["closed_at"], """
+SELECT zone, replica, CAST(tau AS INT) AS tau, round(avg(n / n0), 8) + 0e0 AS sp FROM (
+  SELECT o.zone, o.replica, o.t, tau, count(*) FILTER (a."end" - a.t >= tau) AS n, count(*)::DOUBLE AS n0
+  FROM (SELECT DISTINCT zone, replica, t, unnest(range(0, 5)) AS tau FROM closed_at) o
+  JOIN closed_at a ON a.zone = o.zone AND a.replica = o.replica AND a.t = o.t WHERE o.t + tau <= 29 GROUP BY ALL) GROUP BY ALL""")
+def stream_survival_incremental(spark, root):
+    """Survival of the stays that are over for sure, five frames behind the stream, from counts that each batch adds to."""
+    out, state = scratch(spark, "starts"), scratch(spark, "state")
+    closed = stream.closed_stays(t.presence_of(_events(spark, root)), late=5)
+    stream.run_counts(closed, ["zone", "replica"], MAX_TAU, out, state)
+    curve = stream.running_survival(spark.read.parquet(out), ["zone", "replica"], MAX_TAU, LAST, DT)
+    return curve.select("zone", "replica", "tau", rounded("sp", 8).alias("sp"))
+
+
+@query("stream_sessions_appended", ["spans"], """
+SELECT zone, replica, mol, start, "end" FROM spans WHERE "end" <= (SELECT max(frame) - 4 FROM presence)""")
+def stream_sessions_appended(spark, root):
+    """Sessions written once each, when the watermark (two days behind) is past the silence that ends them."""
+    days = t.presence_of(_events(spark, root)).withColumn(
+        "day", F.timestamp_seconds(F.lit(1704067200) + F.col("frame") * F.lit(86400)))
+    found = stream.sessions(days, "day", ["zone", "replica", "mol"], "25 hours", "2 days")
+    out, state = scratch(spark, "sessions"), scratch(spark, "state")
+    stream.run_to_table(found, out, state, mode="append")
+    frame = lambda c: ((F.unix_timestamp(c) - F.lit(1704067200)) / F.lit(86400)).cast("int")
+    return spark.read.parquet(out).select("zone", "replica", "mol", frame("first").alias("start"), frame("last").alias("end"))
+
+
 @query("stream_windowed_counts", [], """
 SELECT CAST(epoch(time_bucket(INTERVAL 1 DAY, ts)) AS BIGINT) AS start_s, event_type AS zone, count(*) AS n FROM events
 GROUP BY ALL HAVING time_bucket(INTERVAL 1 DAY, any_value(ts)) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 2 DAY FROM events)""")

@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from voxelloom.lattice import IJK
-from voxelloom.operators import density
+from voxelloom.operators import density, kinetics
 
 
 def read_table(spark: SparkSession, root: str, name: str, schema, files_per_trigger: int | None = None) -> DataFrame:
@@ -126,3 +127,91 @@ def settled_stays(log: DataFrame) -> DataFrame:
               .rowsBetween(Window.unboundedPreceding, -1))
     return (longest.withColumn("_e", F.max("end").over(before))
             .filter(F.col("_e").isNull() | (F.col("end") > F.col("_e"))).drop("_e"))
+
+
+class _Closing(StatefulProcessor):
+    """Open stays of a molecule in a zone; each leaves the state, once, when the watermark has passed all that could touch it."""
+
+    def __init__(self, names: list[str], reach: int):
+        self.names, self.reach = names, reach
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getListState("open", "start int, end int")
+
+    def _settle(self, key, frames: list[int], now_ms: int) -> pd.DataFrame:
+        spans = sorted([*((int(a), int(b)) for a, b in self.open.get()), *((f, f) for f in frames)])
+        merged: list[list[int]] = []
+        for a, b in spans:
+            if merged and a - merged[-1][1] <= self.reach:
+                merged[-1][1] = max(merged[-1][1], b)
+            else:
+                merged.append([a, b])
+        live = [m for m in merged if self._closes(m[1]) > now_ms]
+        if live:
+            self.open.put([tuple(m) for m in live])
+            self.handle.registerTimer(self._closes(live[0][1]))
+        else:
+            self.open.clear()
+        done = [m for m in merged if self._closes(m[1]) <= now_ms]
+        return pd.DataFrame({**{n: pd.Series([k] * len(done), dtype=object) for n, k in zip(self.names, key)},
+                             "start": pd.Series([m[0] for m in done], dtype="int32"), "end": pd.Series([m[1] for m in done], dtype="int32")})
+
+    def _closes(self, end: int) -> int:
+        """When no frame that may still come can reach a stay: frame f has the time f + 1 seconds."""
+        return (end + self.reach + 2) * 1000
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        now = max(0, timerValues.getCurrentWatermarkInMs())
+        frames = sorted({int(f) for pdf in rows for f in pdf["frame"] if (int(f) + 1) * 1000 > now})
+        yield self._settle(key, frames, now)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield self._settle(key, [], timerValues.getCurrentWatermarkInMs())
+
+    def close(self) -> None:
+        pass
+
+
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass",
+               "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def closed_stays(presence: DataFrame, late: int, intermittency: int = 0) -> DataFrame:
+    """Stays ``zone, replica, mol, start, end``, each appended once when it is over.
+
+    A watermark runs *late* frames behind the newest one.  The state of a molecule is its open stays alone; a timer takes out each
+    that no frame ahead of the watermark can touch.  What comes later than the watermark is dropped.  Needs the state store
+    :data:`STATE_STORE`.
+    """
+    kinds = dict(presence.dtypes)
+    keys = ["zone", "replica", "mol"]
+    rows = (presence.select(*keys, "frame").withColumn("at", F.timestamp_seconds(F.col("frame") + 1))
+            .withWatermark("at", f"{int(late)} seconds"))
+    return rows.groupBy(*keys).transformWithStateInPandas(
+        _Closing(keys, int(intermittency) + 1), ", ".join(f"{k} {kinds[k]}" for k in keys) + ", start int, end int", "append", "eventTime")
+
+
+def run_counts(stays: DataFrame, by: list[str], max_tau: int, out: str, checkpoint: str) -> None:
+    """Work off a stream of closed stays into counts of starts, a folder a batch; a stay counts in one batch only.
+
+    The counts of all batches add up (:func:`running_survival`), so no batch looks at an earlier one, and a batch that is
+    tried again replaces its folder.
+    """
+    spark = stays.sparkSession
+    was = spark.conf.get(STATE_STORE[0], None)
+    spark.conf.set(*STATE_STORE)
+    try:
+        def put(df: DataFrame, batch: int) -> None:
+            kinetics.starts_of(df, by, max_tau).write.mode("overwrite").parquet(f"{out}/batch={batch}")
+
+        (stays.writeStream.outputMode("append").foreachBatch(put).option("checkpointLocation", checkpoint)
+         .trigger(availableNow=True).start().awaitTermination())
+    finally:
+        spark.conf.unset(STATE_STORE[0]) if was is None else spark.conf.set(STATE_STORE[0], was)
+
+
+def running_survival(counts: DataFrame, by: list[str], max_tau: int, last_frame, dt_ps: float = 1.0) -> DataFrame:
+    """The survival curve of all stays counted so far; its size is that of frames and lags, not of molecules."""
+    total = counts.groupBy(*by, "t", "left").agg(F.sum("c").alias("c"))
+    return kinetics.survival_of(total, by, max_tau, last_frame, dt_ps)
