@@ -297,6 +297,19 @@ def test_given_zones_stay_with_their_probe(spark, tmp_path):
     assert ids == [0, 1, 2]
 
 
+def test_points_of_the_settings_are_zones_and_none_means_none(spark, tmp_path):
+    a = _analysis(spark, tmp_path, (6, 6), radius=3.0, sp_zones=[[5.0, 5.0, 5.0], [40, 40, 40]], sp_top_n=5)
+    got = sorted((r["probe"], r["rank"], r["sp_mrt"]) for r in a.with_kinetics(a._made["all_hotspots"]).collect())
+    assert got == [("ACT", 1, 5.0), ("BEN", 1, 5.0)] and a.has_kinetics()
+    assert sorted(r["zone_id"] for r in a.zones().collect()) == ["ACT|0", "ACT|1", "BEN|0", "BEN|1"]
+    none = {"out_path": "o", "simulations": [{"trajectory": "t", "topology": "a", "cosolvents": ["BEN"]}]}
+    kept = config.AnalysisConfig.from_dict({**none, "hotspots": {"survival_kwargs": {"sp_zones": []}}})
+    assert not analysis.Analysis(spark, kept).has_kinetics()
+    for bad in ([[1, 2]], 3, [["a", 1, 2]]):
+        with pytest.raises(ValueError, match="sp_zones"):
+            config.AnalysisConfig.from_dict({**none, "hotspots": {"survival_kwargs": {"sp_zones": bad}}})
+
+
 def test_stream_reads_a_folder_and_a_file(spark, tmp_path):
     df = spark.createDataFrame([("z", 0, 1, f) for f in range(40)], "zone string, replica int, mol int, frame int")
     df.repartition(5).write.parquet(f"{tmp_path}/in/folder.parquet")

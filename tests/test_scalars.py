@@ -65,8 +65,12 @@ def test_elements_fall_back_to_type_and_name(spark):
 def test_chemotype_table(spark):
     assert len(chemotypes.PROBE_CLASSES) == 28 and len(chemotypes.CLASSES) == 8
     assert all(c in chemotypes.CLASSES for v in chemotypes.PROBE_CLASSES.values() for c in v)
-    with pytest.raises(ValueError):
-        chemotypes.resolve({"XYZ": ["sticky"]})
+    with pytest.raises(ValueError, match="XYZ.*sticky"):
+        chemotypes.as_table(spark, {"XYZ": ["sticky"]})
+    assert len(chemotypes.problems({"A": 3, "B": ["polar", "odd"], "C": "dull", "D": "polar"})) == 3
+    own = chemotypes.as_table(spark, {" ben ": "polar", "XYZ": ["anionic", "polar"], "ACT": []})
+    got = sorted((r["resname"], r["chemotype"]) for r in own.filter("resname IN ('BEN', 'XYZ', 'ACT')").collect())
+    assert got == [("BEN", "polar"), ("XYZ", "anionic"), ("XYZ", "polar")]
     df = spark.createDataFrame([(1, " ben "), (1, "ACT"), (2, "???")], "s int, probe string")
     got = {r["s"]: r["probe_chemotypes"] for r in chemotypes.of_groups(df, ["s"]).collect()}
     assert got == {1: ["aromatic", "hydrophobic", "hbond_acceptor", "anionic"], 2: []}

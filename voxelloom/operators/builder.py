@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -127,22 +126,20 @@ def atom_names(atoms: DataFrame, by: list[str], symbol: str, order: str) -> Data
     return atoms.withColumn("atom_name", F.concat(F.col(symbol), F.row_number().over(w).cast("string")))
 
 
-def repulsion(left: DataFrame, right: DataFrame, by: str, epsilon: float, sigma: float,
-              r_min: float, r_max: float) -> DataFrame:
-    """Sum of ``4 eps (sigma / r)^12`` over near pairs, per group of the right side."""
-    a = left.select("x", "y", "z").withColumn("_a", F.lit(1))
-    both = pairs.neighbours(pairs.packs(a, [], ["_a"], r_max), pairs.packs(right, [], [by], r_max), [])
-    kind = dict(right.dtypes)[by]
+def near_pairs(left: DataFrame, right: DataFrame, by_left: str, by_right: str, r_max: float) -> DataFrame:
+    """Pairs within *r_max* per group of the left and group of the right side, with the least distance."""
+    both = pairs.neighbours(pairs.packs(left, [], [by_left], r_max), pairs.packs(right, [], [by_right], r_max), [])
+    kinds = {by_left: dict(left.dtypes)[by_left], by_right: dict(right.dtypes)[by_right]}
 
     def add(batches):
         for pdf in batches:
-            names = pairs.flat(pdf, f"r_{by}")
-            for _, _, j, sq in pairs.near(pdf):
-                d = np.sqrt(sq)
-                ok = (sq <= r_max * r_max) & (sq >= r_min * r_min)
-                part = pd.DataFrame({by: names[j[ok]], "e": 4 * epsilon * (sigma / d[ok]) ** 12, "n": np.int64(1)})
-                yield part.groupby(by, as_index=False).sum()
+            names = pairs.flat(pdf, f"l_{by_left}"), pairs.flat(pdf, f"r_{by_right}")
+            for _, i, j, sq in pairs.near(pdf):
+                ok = sq <= r_max * r_max
+                part = pd.DataFrame({by_left: names[0][i[ok]], by_right: names[1][j[ok]], "sq": sq[ok]})
+                yield part.groupby([by_left, by_right], as_index=False).agg(n=("sq", "size"), sq=("sq", "min"))
 
     keep = [c for c in both.columns if c[:2] in ("l_", "r_")]
-    return (both.select(*keep).mapInPandas(add, f"`{by}` {kind}, e double, n bigint").groupBy(by)
-            .agg(F.sum("n").alias("n_pairs"), F.round(F.sum("e"), 4).alias("energy")))
+    schema = ", ".join(f"`{c}` {k}" for c, k in kinds.items()) + ", n bigint, sq double"
+    return (both.select(*keep).mapInPandas(add, schema).groupBy(by_left, by_right)
+            .agg(F.sum("n").alias("n_pairs"), F.sqrt(F.min("sq")).alias("least")))

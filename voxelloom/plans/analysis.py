@@ -227,8 +227,21 @@ class Analysis:
     def has_kinetics(self) -> bool:
         kw = self.config.hotspots.survival_kwargs
         loaded = self.config.checkpoint.load_hotspots and "hotspots" in self._made
+        if kw.get("sp_zones") is not None:                     # given points count alone; an empty list asks for none
+            return not loaded and len(kw["sp_zones"]) > 0
         return not loaded and bool(kw.get("sp_top_n", 5) > 0 or kw.get("zones_csv"))
 
+    def given_zones(self) -> DataFrame | None:
+        """``zone_id, x, y, z`` of the points in the settings or in their file, numbered as they stand there."""
+        kw = self.config.hotspots.survival_kwargs
+        if kw.get("sp_zones") is not None:
+            return self.spark.createDataFrame([(n, *map(float, z)) for n, z in enumerate(kw["sp_zones"])],
+                                              "zone_id long, x double, y double, z double")
+        if not kw.get("zones_csv"):
+            return None
+        given = files.read_zones(self.spark, kw["zones_csv"]).withColumn("_line", F.monotonically_increasing_id())
+        return running_total(given, [], ["_line"], name="zone_id").drop("_line")
+
     def zones(self) -> DataFrame:
         """``probe, zone_id, x, y, z, radius``: the best hotspots of each probe, or the given zones for all of them."""
         def build():
@@ -239,9 +252,8 @@ class Analysis:
             radius = kinetics.resolve_radius(kw.get("radius", 6.0), scan.first_places(self.scanned(), self.order()),
                                              probes, kw.get("radius_tolerance", 1.7))
             zones = kinetics.candidate_zones(rows, kw.get("sp_top_n", 5), 6.0)
-            if kw.get("zones_csv"):
-                given = files.read_zones(self.spark, kw["zones_csv"]).withColumn("_line", F.monotonically_increasing_id())
-                given = running_total(given, [], ["_line"], name="zone_id").drop("_line")
+            given = self.given_zones()
+            if given is not None:
                 names = self.spark.createDataFrame([(p,) for p in probes], "probe string")
                 zones = given.join(F.broadcast(names), F.lit(True)).withColumn("radius", F.lit(6.0))
             sizes = self.spark.createDataFrame(list(radius.items()), "probe string, radius double")
@@ -272,7 +284,7 @@ class Analysis:
         by = ["probe", "zone_id"]
         curves = self.survival()
         found = kinetics.metrics(curves, by, "sp_mean").join(kinetics.fits(curves, by, "sp_mean"), by, "left")
-        if kw.get("zones_csv"):
+        if kw.get("sp_zones") is not None or kw.get("zones_csv"):
             at = kinetics.zone_to_site(self._made["zones"].join(curves.select(*by).distinct(), by), rows,
                                        kw.get("zone_match_ang", 4.0), ("probe", "rank"), within=("probe",))
             # of several zones at one hotspot the last of the file speaks for it

@@ -314,9 +314,10 @@ def in_box(spark, root):
     return builder.in_box(t.positions(spark, root), ["probe", "frame"], (0.0,) * 3, (49.0,) * 3)
 
 
-@query("pair_repulsion", ["water", "protein"], """
-SELECT p.resid, count(*) AS n_pairs, round(sum(4 * 0.1e0 * (2e0 / sqrt((p.x - w.x) ** 2 + (p.y - w.y) ** 2 + (p.z - w.z) ** 2)) ** 12), 4) AS energy
-FROM water w JOIN protein p ON (p.x - w.x) ** 2 + (p.y - w.y) ** 2 + (p.z - w.z) ** 2 <= 9e0
- AND (p.x - w.x) ** 2 + (p.y - w.y) ** 2 + (p.z - w.z) ** 2 >= 2.25e0 WHERE w.frame = 0 GROUP BY p.resid""")
-def pair_repulsion(spark, root):
-    return builder.repulsion(t.water(spark, root).filter("frame = 0"), t.protein(spark, root), "resid", 0.1, 2.0, 1.5, 3.0)
+@query("near_pairs", ["water", "protein"], """
+SELECT w.frame, p.resid, count(*) AS n_pairs, round(sqrt(min((p.x - w.x) ** 2 + (p.y - w.y) ** 2 + (p.z - w.z) ** 2)), 6) + 0e0 AS least
+FROM water w JOIN protein p ON (p.x - w.x) ** 2 + (p.y - w.y) ** 2 + (p.z - w.z) ** 2 <= 9e0 GROUP BY w.frame, p.resid""")
+def near_pairs(spark, root):
+    """Water within three of each residue, in every frame."""
+    out = builder.near_pairs(t.water(spark, root), t.protein(spark, root), "frame", "resid", 3.0)
+    return out.withColumn("least", rounded("least", 6))
