@@ -103,7 +103,7 @@ _OP3 = r"""
 WITH line AS (SELECT doc_id, CAST(i - 1 AS INT) AS line, list_distinct(list_filter(regexp_split_to_array(
     translate(string_split(text, chr(10))[i], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t-\r]+'), lambda w: w <> '')) AS words
   FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents WHERE doc_id IS NOT NULL)),
-big AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY doc_id, line) AS k, len(words) AS n FROM line WHERE len(words) >= 5),
+big AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY doc_id, line) AS k, len(words) AS n FROM line WHERE len(words) >= 1),
 word AS (SELECT k, n, unnest(words) AS w FROM big),
 freq AS (SELECT w, count(*) AS f FROM word GROUP BY w),
 placed AS (SELECT k, n, w, row_number() OVER (PARTITION BY k ORDER BY f, w) AS place FROM word JOIN freq USING (w)),
