@@ -182,7 +182,26 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "topic", "n_tokens", F.round("probability", 6).alias("probability"), "selected")
 
 
-@query("op11_resample")
+_OP11 = r"""WITH texts AS (SELECT 'd' AS side, doc_id, text FROM documents WHERE doc_id IS NOT NULL UNION ALL SELECT 't', 0, text FROM benchmark),
+word AS MATERIALIZED (SELECT side, row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM texts),
+feature AS MATERIALIZED (SELECT side, r, array_to_string(w[i:i + n - 1], ' ') AS f, count(*) AS c FROM (
+    SELECT side, r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM word, (SELECT unnest([1, 2, 3]) AS n)) GROUP BY ALL),
+coded AS MATERIALIZED (SELECT f, CAST(xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, length(h) + 1, 2),
+    lambda p: CAST(('0x' || h[p:p + 1]) AS BIGINT))), lambda c, b: xor(c >> 8, TABLE[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS INT) AS b
+  FROM (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM feature))),
+total AS (SELECT sum(c) FILTER (side = 'd') AS s, coalesce(sum(c) FILTER (side = 't'), 0) AS t FROM feature),
+gain AS (SELECT b, floor(1000 * ln((coalesce(sum(c) FILTER (side = 't'), 0) + 1) * ((SELECT s FROM total) + 10000)::DOUBLE
+    / ((coalesce(sum(c) FILTER (side = 'd'), 0) + 1) * ((SELECT t FROM total) + 10000)::DOUBLE))) AS g FROM feature JOIN coded USING (f) GROUP BY b),
+weighed AS (SELECT w.r, w.doc_id, len(w.w) AS n, coalesce(x.c, 0) AS n_features, coalesce(x.g, 0) AS weight FROM word w LEFT JOIN (
+    SELECT r, sum(c) AS c, sum(c * g) AS g FROM feature JOIN coded USING (f) JOIN gain USING (b) WHERE side = 'd' GROUP BY r) x USING (r) WHERE side = 'd'),
+scored AS (SELECT *, weight + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('42:' || doc_id), 1, 8) AS BIGINT) + 0.5e0) / 4294967296e0))) AS score FROM weighed),
+placed AS (SELECT *, row_number() OVER (PARTITION BY n >= 20 ORDER BY score DESC, doc_id, n_features, n) AS place FROM scored)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, CAST(weight AS BIGINT) AS weight, CAST(score AS BIGINT) AS score,
+  CASE WHEN n >= 20 AND place <= (SELECT count(*) FILTER (n >= 20) FROM scored) * 5 // 100 THEN place END AS rank FROM placed""".replace("TABLE", str(resample.crc_table().tolist()))
+
+
+@query("op11_resample", _OP11)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_features", "weight", "score", "rank")

@@ -32,7 +32,7 @@ LONG = 1 << 10
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
-def _crc_table() -> np.ndarray:
+def crc_table() -> np.ndarray:
     """The byte table of the reflected CRC-32 polynomial."""
     c = np.arange(256, dtype=np.uint32)
     for _ in range(8):
@@ -40,7 +40,7 @@ def _crc_table() -> np.ndarray:
     return c
 
 
-_CRC = _crc_table()
+_CRC = crc_table()
 
 
 def crc_rows(matrix: np.ndarray) -> np.ndarray:
