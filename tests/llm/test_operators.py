@@ -198,6 +198,90 @@ def test_contamination_of_starts_and_few_literals(spark, documents):
     assert got == {1: 1, 2: 2, 3: 3, 5: 4, 6: 1}
 
 
+def test_short_items_match_whole_lines_and_sentences(spark, documents):
+    bench = spark.createDataFrame([(1, "Who wrote the Iliad?"), (2, "Stop. Think again. Go!"), (3, "Yes")], "item_id bigint, text string")
+    rows = [(1, "Here is one. who wrote the iliad? Nobody knows."), (2, "He asked who wrote the Iliad and left."), (3, "a\nWho wrote the Iliad\nb"),
+            (4, "First stop. Think again. Go!\nyes"), (5, "Well. Stop. Think again. Go! Yes"), (6, "- Who wrote the Iliad?"), (7, "who wrote"), (8, "Who wrote the Iliad")]
+    got = {r["doc_id"]: r["item_id"] for r in decontam.contamination(documents(rows), bench).collect()}
+    assert got == {1: 1, 3: 1, 5: 2, 6: 1, 8: 1}
+
+
+def matched(docs, items, width=10, literals=6, whole=3):
+    """Item, windows and first place of each document by plain tuples in place of hashes, blocks and bits."""
+    reader = decontam.Reader()
+
+    def words_of(text):
+        kind, value, maybe, unit, _, sentence = (x.tolist() for x in reader.read_all([text or ""]))
+        return list(zip(kind, value, maybe, unit)), sentence
+
+    def shape(part, chosen):
+        kinds = [decontam.LITERAL if k == decontam.NAME and m and c else k for (k, _, m, _), c in zip(part, chosen)]
+        kinds = [decontam.UNIT if k == decontam.LITERAL and u else k for k, (*_, u) in zip(kinds, part)]
+        slots = [v for k, (_, v, *_) in zip(kinds, part) if k != decontam.LITERAL]
+        return (tuple(v if k == decontam.LITERAL else -k for k, (_, v, *_) in zip(kinds, part)), tuple(slots.index(x) for x in slots)), \
+            kinds.count(decontam.LITERAL)
+
+    wanted, widths = {}, set()
+    for item, text in items:
+        row, _ = words_of(text)
+        plain = [shape([w], [False])[1] if not w[3] else 0 for w in row]
+        wide = [n for n in range(min(width, len(row)), len(row) + 1) if any(sum(plain[a:a + n]) >= literals for a in range(len(row) - n + 1))]
+        for n in {min(width, len(row)), *wide[:1]} - {0}:
+            keys = [("whole", tuple(w[1] for w in row))] if whole <= len(row) < literals else []
+            for a in range(len(row) - n + 1):
+                part = row[a:a + n]
+                for bits in range(1 << n):
+                    chosen = [bits >> i & 1 for i in range(n)]
+                    if all(not c or w[2] for c, w in zip(chosen, part)):
+                        key, count = shape(part, chosen)
+                        keys += [key] * (count >= literals)
+                keys += [("words", tuple(w[1] for w in part))] * (n >= literals)
+            for key in keys:
+                wanted[key] = min(item, wanted.get(key, item))
+                widths.add(n)
+    out = {}
+    for doc, text in docs:
+        row, sentence = words_of(text)
+        hits = set()
+        for n in widths:
+            for a in range(len(row) - n + 1):
+                part, keys = row[a:a + n], []
+                for as_literal in (False, True):
+                    key, count = shape(part, [as_literal] * n)
+                    keys += [key] * (count >= literals)
+                keys += [("words", tuple(w[1] for w in part))] * (n >= literals)
+                edges = (a == 0 or sentence[a] != sentence[a - 1]) and (a + n == len(row) or sentence[a + n] != sentence[a + n - 1])
+                keys += [("whole", tuple(w[1] for w in part))] * (n < literals and edges)
+                found = [wanted[k] for k in keys if k in wanted]
+                hits |= {(min(found), a)} if found else set()
+        best = defaultdict(set)
+        for item, a in hits:
+            best[item].add(a)
+        if best:
+            item = min(best, key=lambda i: (-len(best[i]), i))
+            out[doc] = (item, len(best[item]), min(best[item]))
+    return out
+
+
+def test_contamination_against_brute_force(spark, documents, monkeypatch):
+    rng = random.Random(8)
+    vocab = ["the", "of", "red", "Anna", "Tom", "Oslo", "5", "7", "12", "km", "kg", "runs.", "sits", "how", "far", "Why", "--", "old?", "to"]
+    text = lambda n: "".join(rng.choice(vocab) + rng.choice([" "] * 9 + ["\n"]) for _ in range(n))
+    items = [(i, text(rng.choice([2, 4, 5, 7, 9, 11, 14]))) for i in range(30)]
+    docs = []
+    for d in range(150):
+        body = rng.choice(items)[1]
+        swaps = dict(zip(["5", "7", "12", "Anna", "Tom"], rng.sample(["8", "9", "7"], 3) + rng.sample(["Eva", "Tom"], 2)))
+        if d % 3:
+            body = " ".join(swaps.get(w, w) for w in body.split(" "))
+        docs.append((d, text(rng.randint(0, 30)) + rng.choice(["\n", " "]) + body + rng.choice(["\n", " "]) + text(rng.randint(0, 30))))
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    monkeypatch.setattr(decontam, "BLOCK_CHARS", 900)
+    got = {r["doc_id"]: (r["item_id"], r["n_windows"], r["first_at"]) for r in decontam.contamination(documents(docs), bench).collect()}
+    want = matched(docs, items)
+    assert got == want and 40 < len(got)
+
+
 # toxicity and quality
 
 def _rows(n, seed, mark):

@@ -22,6 +22,8 @@ from voxelloom.llm.common import BITMAP_BITS, Work, bitmap, unpacked
 WINDOW = 10
 #: A window needs so many words that are no placeholders, or, with the same words throughout, so many words.
 LITERALS = 6
+#: Shorter items match as a whole line or sentence, from so many words on.
+WHOLE = 3
 _STRIP = " \t\r\n\v\f.,;:!?\"'()[]{}<>*#%&$|/\\-_=+`~^«»„“”’…¿¡"
 _NUMBER = re.compile(r"[+\-]?[$€£]?\d[\d.,:/]*(?:st|nd|rd|th)?%?")
 _GLUED = re.compile(r"([+\-]?\d[\d.,]*)(%|[a-zµ°]{1,4}\d?)")
@@ -39,16 +41,27 @@ _M = np.uint64(0x9E3779B97F4A7C15)
 class Reader:
     """Texts to templates: type, template hash and value hash of each word.
 
-    Words that occurred before are looked up, up to a fixed number of words.
+    Different words are numbered and looked at once, up to a fixed number of them.
     """
 
+    class _Words(dict):
+        def __init__(self, look):
+            super().__init__()
+            self.look = look
+
+        def __missing__(self, raw: str) -> int:
+            at = self[raw] = len(self)
+            self.look(raw, at)
+            return at
+
     def __init__(self):
-        self.known: dict[str, tuple[int, int, bool, bool]] = {}
+        self.known = Reader._Words(self._look)
+        self.facts = np.zeros(1 << 12, dtype=[("value", np.uint64), ("kind", np.int8), ("ends", bool), ("unit", bool)])
 
-    def _look(self, raw: str) -> tuple[int, int, bool, bool]:
+    def _look(self, raw: str, at: int) -> None:
         """Value hash, type without context (NAME: a capital), whether the word ends a sentence, whether it may be a unit."""
-        if len(self.known) > _CACHE_WORDS:
-            self.known.clear()
+        if at >= len(self.facts):
+            self.facts = np.concatenate([self.facts, np.zeros_like(self.facts)])
         core = raw.strip(_STRIP)
         low = core.lower()
         h = xxhash.xxh64_intdigest(low.encode("utf-8", "replace")) | 1
@@ -59,31 +72,34 @@ class Reader:
             kind = NAME
         else:
             kind = LITERAL
-        got = self.known[raw] = (h if core else 0, kind, ends, low in UNITS)
-        return got
-
-    def read(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Types with every capital as NAME, value hashes, which names may be none, and which literals are units;
-        words of punctuation alone are left out."""
-        known, look = self.known, self._look
-        rows = _split(text)
-        got = [known.get(w) or look(w) for row in rows for w in row]
-        if not got:
-            none = np.zeros(0, dtype=np.uint64)
-            return none.astype(np.int8), none, none.astype(bool), none.astype(bool)
-        value = np.array([g[0] for g in got], dtype=np.uint64)
-        kind = np.array([g[1] for g in got], dtype=np.int8)
-        first = np.concatenate([[True], np.array([g[2] for g in got], dtype=bool)[:-1]])
-        starts = np.cumsum([0, *map(len, rows)])
-        first[starts[starts < len(got)]] = True
-        unit = np.array([g[3] for g in got], dtype=bool) & np.concatenate([[False], kind[:-1] == NUMBER])
+        self.facts[at] = (h if core else 0, kind, ends, low in UNITS)
+
+    def read_all(self, texts: list[str]):
+        """The words of all texts in a row, those of punctuation alone left out: types with every capital as NAME, value
+        hashes, which names may be none, which literals are units, the index of the text, and the index of the sentence."""
+        if len(self.known) > _CACHE_WORDS:
+            self.known.clear()
+        rows = [_split(t) for t in texts]
+        lines = [line for text in rows for line in text]
+        sizes = np.fromiter(map(len, lines), np.int64, len(lines))
+        total = int(sizes.sum())
+        number = np.fromiter(map(self.known.__getitem__, itertools.chain.from_iterable(lines)), np.int64, total)
+        facts = self.facts[number]
+        value, kind = facts["value"], facts["kind"]
+        text = np.repeat(np.repeat(np.arange(len(rows)), [len(r) for r in rows]), sizes)
+        first = np.ones(total, dtype=bool)
+        first[1:] = facts["ends"][:-1]
+        starts = np.cumsum(sizes) - sizes
+        first[starts[starts < total]] = True
+        unit = facts["unit"].copy()
+        unit[:1] = False
+        unit[1:] &= (kind[:-1] == NUMBER) & (text[1:] == text[:-1])
         real = value != 0
-        return kind[real], value[real], ((kind == NAME) & first)[real], unit[real]
+        return kind[real], value[real], ((kind == NAME) & first)[real], unit[real], text[real], np.cumsum(first)[real]
 
     def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Types, template hashes and value hashes; capitals at the start of a sentence or line are no names."""
-        kind, value, maybe, unit = self.read(text)
-        return reading(kind, value, maybe, unit)
+        return reading(*self.read_all([text])[:4])
 
 
 def reading(kind, value, literal, unit) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -100,12 +116,13 @@ def _split(text: str) -> list[list[str]]:
     return [line.split() for line in text.split("\n")]
 
 
-def hashes(template: np.ndarray, n: int) -> np.ndarray:
-    """Template hash of every window of *n* words."""
+def hashes(template: np.ndarray, n: int, places: np.ndarray | None = None) -> np.ndarray:
+    """Template hash of every window of *n* words, or of those at *places*."""
     m = len(template) - n + 1
-    h = np.full(m, np.uint64(n * int(_M) % (1 << 64)))
+    h = np.full(m if places is None else len(places), np.uint64(n * int(_M) % (1 << 64)))
     for i in range(n):
-        h = (h ^ template[i:i + m]) * _M
+        h ^= template[i:i + m] if places is None else template[places + i]
+        h *= _M
         h ^= h >> np.uint64(29)
     return h
 
@@ -137,11 +154,17 @@ def windows(kind: np.ndarray, template: np.ndarray, value: np.ndarray, width: in
 _WINDOWS = "id bigint, h bigint, pattern bigint, at int, n int"
 #: Pattern of windows that are compared by their words.
 _WORDS = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Pattern of items that are compared with whole lines or sentences, by their words.
+_WHOLE = np.uint64(0xFFFFFFFFFFFFFFFE)
+#: Texts are read in blocks of so many characters, so arrays stay in the cache.
+BLOCK_CHARS = 500_000
 
 
-def _item_windows(got, n: int, literals: int):
+def _item_windows(got, n: int, literals: int, whole: int):
     """``(hash, pattern, at)`` of the windows of an item: templates under every reading, and the words themselves."""
     kind, value, maybe, unit = got
+    if whole <= len(kind) < literals:
+        yield hashes(value, n)[0], _WHOLE, 0
     for at in range(len(kind) - n + 1):
         part = [x[at:at + n] for x in got]
         spots = np.flatnonzero(part[2])
@@ -164,23 +187,58 @@ def _item_widths(got, width: int, literals: int) -> list[int]:
     return sorted({n, wide})
 
 
-def _document_windows(got, n: int, literals: int, bits: np.ndarray):
-    """The same of a document, where the bit of the hash is set; names at starts are all read as names, then none."""
-    kind, value, maybe, unit = got
-    hit = lambda h: np.flatnonzero(bits[(h % np.uint64(BITMAP_BITS)).astype(np.int64)])
-    for as_literal in ([maybe & False, maybe] if maybe.any() else [maybe]):
-        k, template, _ = reading(kind, value, as_literal, unit)
-        for at in hit(hashes(template, n)).tolist():  # literals and patterns are worked out for what passes
+def _block_windows(got, n: int, literals: int, bits: np.ndarray):
+    """``(text, hash, pattern, at)`` of a block of documents, where the bit of the hash is set.
+
+    Windows are hashed over all texts in a row and those across two texts left out.  Names at starts are all read as
+    names, then, in the windows that hold one, as none.
+    """
+    kind, value, maybe, unit, text, sentence = got
+    m = len(kind) - n + 1
+    if m <= 0:
+        return
+    inside = text[:m] == text[n - 1:]
+    begins = np.searchsorted(text, np.arange(int(text[-1]) + 1))
+    place = lambda at: at - int(begins[text[at]])
+    hit = lambda h: bits[(h & np.uint64(BITMAP_BITS - 1)).astype(np.int64)]
+    by_words = hashes(value, n)
+    if n < literals:  # an item that short counts as a whole line or sentence only
+        begin = np.ones(m, dtype=bool)
+        begin[1:] = sentence[1:m] != sentence[:m - 1]
+        end = np.ones(m, dtype=bool)
+        end[:-1] = sentence[n:] != sentence[n - 1:-1]
+        for at in np.flatnonzero(inside & begin & end & hit(by_words)).tolist():
+            yield text[at], by_words[at], _WHOLE, place(at)
+        return
+    for at in np.flatnonzero(inside & hit(by_words)).tolist():
+        yield text[at], by_words[at], _WORDS, place(at)
+    k, template, _ = reading(kind, value, maybe & False, unit)
+    found = [(k, template, np.flatnonzero(inside & hit(hashes(template, n))))]
+    doubts = np.cumsum(np.concatenate([[0], maybe]))
+    doubtful = np.flatnonzero(inside & (doubts[n:] > doubts[:m]))
+    if len(doubtful):
+        k, template, _ = reading(kind, value, maybe, unit)
+        found.append((k, template, doubtful[hit(hashes(template, n, doubtful))]))
+    for k, template, places in found:
+        for at in places.tolist():  # literals and patterns are worked out for what passes
             h, pattern, literal = windows(k[at:at + n], template[at:at + n], value[at:at + n], n)
             if literal[0] >= literals:
-                yield h[0], pattern[0], at
-    if n >= literals:
-        h = hashes(value, n)
-        for at in hit(h).tolist():
-            yield h[at], _WORDS, at
+                yield text[at], h[0], pattern[0], place(at)
+
+
+def _blocks(ids: list, texts: list):
+    """Rows in blocks of about BLOCK_CHARS characters; a longer text is a block by itself."""
+    begin = size = 0
+    for i, text in enumerate(texts):
+        if size and size + len(text or "") > BLOCK_CHARS:
+            yield ids[begin:i], [t or "" for t in texts[begin:i]]
+            begin, size = i, 0
+        size += len(text or "")
+    if begin < len(ids):
+        yield ids[begin:], [t or "" for t in texts[begin:]]
 
 
-def _windows_of(rows: DataFrame, widths: list[int], literals: int, keep: np.ndarray | None) -> DataFrame:
+def _windows_of(rows: DataFrame, widths: list[int], literals: int, whole: int, keep: np.ndarray | None) -> DataFrame:
     """Windows of ``(id, text)`` with enough literals or words: the items' own (of one width, see _item_widths)
     without *keep*, else those of each width whose hash has its bit set."""
     shared = rows.sparkSession.sparkContext.broadcast(keep)
@@ -188,43 +246,49 @@ def _windows_of(rows: DataFrame, widths: list[int], literals: int, keep: np.ndar
     def run(batches):
         reader, bits = Reader(), None if shared.value is None else unpacked(shared.value)
         for batch in batches:
-            out = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                got = reader.read(text or "")
-                size = len(got[0])
-                for n in _item_widths(got, widths[0], literals) if bits is None else widths:
-                    if 0 < n <= size:
-                        found = _item_windows(got, n, literals) if bits is None else _document_windows(got, n, literals, bits)
-                        out += [(doc, h, pattern, at, n) for h, pattern, at in found]
-            if out:
-                ids, h, pattern, at, n = zip(*out)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(np.array(h, np.uint64).view(np.int64)),
-                     pa.array(np.array(pattern, np.uint64).view(np.int64)), pa.array(at, pa.int32()), pa.array(n, pa.int32())],
-                    ["id", "h", "pattern", "at", "n"])
+            for ids, texts in _blocks(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                out = []
+                if bits is None:
+                    for doc, text in zip(ids, texts):
+                        got = reader.read_all([text])[:4]
+                        for n in _item_widths(got, widths[0], literals):
+                            if n:
+                                out += [(doc, h, pattern, at, n) for h, pattern, at in _item_windows(got, n, literals, whole)]
+                else:
+                    got = reader.read_all(texts)
+                    for n in widths:
+                        out += [(ids[i], h, pattern, at, n) for i, h, pattern, at in _block_windows(got, n, literals, bits)]
+                if out:
+                    doc, h, pattern, at, n = zip(*out)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(doc, pa.int64()), pa.array(np.array(h, np.uint64).view(np.int64)),
+                         pa.array(np.array(pattern, np.uint64).view(np.int64)), pa.array(np.array(at, np.int32)),
+                         pa.array(n, pa.int32())], ["id", "h", "pattern", "at", "n"])
 
     return rows.mapInArrow(run, _WINDOWS)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   item_col: str = "item_id", item_text: str = "text", width: int = WINDOW,
-                  literals: int = LITERALS) -> DataFrame:
+                  literals: int = LITERALS, whole: int = WHOLE) -> DataFrame:
     """``doc_id, item_id, n_windows, first_at``: documents that hold a window of a benchmark item's template.
 
     One row per contaminated document: the item with most matched windows (ties: the smaller item), where a window
     that several items share counts for the smallest of them, and the word position of the first match.
     Texts are read whole.  Null texts and texts without words match nothing, nor do rows without id.  An item
     of fewer words than *width* is one window of its own width, and one whose windows are mostly slots has wider ones.  A window with fewer than *literals* words that
-    are no placeholders matches by the same words only, and one of fewer words cannot be told from chance.  Other columns are not read.
+    are no placeholders matches by the same words only.  An item of fewer than *literals* words matches where the same words are a
+    whole line or sentence, or several; one of fewer than *whole* words cannot be told from chance.  Empty tables give an
+    empty result; rows that repeat count as one document or item.  Other columns are not read.
     """
     work = Work(docs.sparkSession, "decontam")
     items = benchmark.select(F.col(item_col).cast("bigint").alias("id"), F.col(item_text).cast("string").alias("text"))
-    wanted = (_windows_of(items.where("id IS NOT NULL"), [width], literals, None)
+    wanted = (_windows_of(items.where("id IS NOT NULL"), [width], literals, whole, None)
               .groupBy("h", "pattern", "n").agg(F.min("id").alias("item_id")))
     wanted = work.put(wanted, "wanted")
     widths = sorted(r["n"] for r in wanted.select("n").distinct().collect())  # *width*, less for short items, more for items of few literals
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    found = _windows_of(rows.where("id IS NOT NULL"), widths, literals, bitmap(wanted, "h"))
+    found = _windows_of(rows.where("id IS NOT NULL"), widths, literals, whole, bitmap(wanted, "h"))
     # h is signed in the tables; the bit of a hash is that of its unsigned value, as pmod gives it for powers of two
     hits = (found.join(wanted, ["h", "pattern", "n"]).groupBy("id", "at", "n").agg(F.min("item_id").alias("item_id")))
     hits = hits.groupBy(F.col("id").alias("doc_id"), "item_id").agg(
