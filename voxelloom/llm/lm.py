@@ -33,8 +33,10 @@ from voxelloom.llm.eliasfano import Trie, quantise, restore
 FOLDS, HELD_OUT = 7, 2
 DISCOUNT = 0.75
 CHUNK_TOKENS = 1_000_000
-#: The successors of a context are dealt over so many shards, so a very common word is no hot one.
-SPREAD = 16
+#: Chunks whose pairs come to about the work of one shard.
+CHUNKS_A_SHARD = 2
+#: A context with more training tokens than this, and than a shard's share of all, is dealt over several shards.
+HOT = 1 << 16
 END = xxhash.xxh64_intdigest(b"")  # no word is empty
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -139,9 +141,13 @@ def _rows(out: list[tuple]) -> pa.RecordBatch:
 
 
 class _Chunk:
-    """A chunk with the numbers and counts of its words: its pairs, dealt to shards in a fixed order."""
+    """A chunk with the numbers and counts of its words: its pairs, dealt to shards in a fixed order.
 
-    def __init__(self, raw: bytes, told: pd.DataFrame, starts: np.ndarray, shards: int):
+    All pairs of a context go to one shard, which knows the different successors.  Of a hot context every shard that holds
+    a part is asked for its successors, whatever pairs the chunk has.  Contexts without training tokens ask nothing.
+    """
+
+    def __init__(self, raw: bytes, told: pd.DataFrame, starts: np.ndarray, shards: int, hot: int):
         self.ids, self.held, self.ends, self.tokens, self.hashes = unpack(raw)
         told = told[told["kind"] == 0].sort_values("shard")
         got = [(int(s), *unpack(x)) for s, x in zip(told["shard"], told["packed"])]
@@ -156,75 +162,90 @@ class _Chunk:
         self.first = (self.pairs // np.uint64(len(self.hashes))).astype(np.int64)
         self.second = (self.pairs % np.uint64(len(self.hashes))).astype(np.int64)
         a, b = self.number[self.first], self.number[self.second]
-        spread = ((b * _MIX) >> np.uint64(33)) % np.uint64(SPREAD)
-        self.shard = ((((a * _MIX) >> np.uint64(20)) + spread) % np.uint64(shards)).astype(np.int64)
-        self.order = np.argsort(self.shard, kind="stable")
-        self.cut = np.searchsorted(self.shard[self.order], np.arange(shards + 1))
+        parts = np.minimum(shards, 1 + self.count // hot)
+        home = (((self.number * _MIX) >> np.uint64(20)) % np.uint64(shards)).astype(np.int64)
+        spread = (((b * _MIX) >> np.uint64(33)) % parts[self.first].astype(np.uint64)).astype(np.int64)
+        shard = np.where(self.count[self.first] > 0, (home[self.first] + spread) % shards, shards)
+        self.order = np.argsort(shard, kind="stable")
+        self.cut = np.searchsorted(shard[self.order], np.arange(shards + 1))
         self.keys = (a << np.uint64(32)) | b
+        self.split = parts > 1
+        many = np.flatnonzero(self.split)
+        size = parts[many]
+        at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        where = (np.repeat(home[many], size) + at) % shards
+        order = np.argsort(where, kind="stable")
+        self.asks = np.split(np.repeat(many, size)[order], np.searchsorted(where[order], np.arange(1, shards)))
 
     def slices(self):
+        """Shard, its pairs by context, and the hot contexts it is asked about."""
         for s, (lo, hi) in enumerate(zip(self.cut[:-1], self.cut[1:])):
-            if lo < hi:
-                yield s, self.order[lo:hi]
+            if lo < hi or len(self.asks[s]):
+                at = self.order[lo:hi]
+                yield s, at[np.argsort(self.keys[at] >> np.uint64(32), kind="stable")], self.asks[s]
 
 
 def _contexts(keys: np.ndarray) -> np.ndarray:
     """Index of the first pair of each context; pairs of a context stand together."""
-    return np.flatnonzero(np.concatenate([[True], (keys[1:] >> np.uint64(32)) != (keys[:-1] >> np.uint64(32))]))
+    return np.flatnonzero(np.concatenate([[True], (keys[1:] >> np.uint64(32)) != (keys[:-1] >> np.uint64(32))])[:len(keys)])
 
 
-def pairs_of(parts: DataFrame, told: DataFrame, starts: np.ndarray, shards: int) -> DataFrame:
-    """Per chunk and trie shard: pairs, their training counts, and the count of each context."""
+def pairs_of(parts: DataFrame, told: DataFrame, starts: np.ndarray, shards: int, hot: int) -> DataFrame:
+    """Per chunk and trie shard: pairs, their training counts, the count of each context, and hot contexts."""
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         for chunk, raw in zip(left["chunk"], left["packed"]):
-            c = _Chunk(raw, right, starts, shards)
+            c = _Chunk(raw, right, starts, shards, hot)
             n = np.bincount(c.place[_train_tokens(c.ends, c.held)], minlength=len(c.pairs)).astype(np.int64)
-            for s, at in c.slices():
+            for s, at, asks in c.slices():
                 keys = c.keys[at]
                 first = _contexts(keys)
                 out.append((chunk, 1, s, pack((keys[first] >> np.uint64(32)).astype(np.uint32),
                                               np.diff(np.append(first, len(keys))).astype(np.int32),
                                               (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32),
                                               n[at] if n[at].max(initial=0) > 65535 else n[at].astype(np.uint16),
-                                              c.count[c.first[at[first]]])))
+                                              c.count[c.first[at[first]]], c.number[asks].astype(np.uint32))))
         return pd.DataFrame(out, columns=["chunk", "kind", "shard", "packed"])
 
     return parts.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(run, _PART)
 
 
 def answer(pairs: DataFrame, discount: float = DISCOUNT) -> DataFrame:
-    """Per chunk and trie shard: a code for each pair and the different successors of each context in this shard."""
+    """Per chunk and trie shard: a code for each pair, and the different successors in this shard of each context and
+    of each hot context."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        asked, seen, n = [], [], []
-        total: list[np.ndarray] = []
+        keys, n, whole, sizes, asked = [], [], [], [], []
         for raw in pdf["packed"]:
-            ctx, size, word, count, whole = unpack(raw)
-            keys = (np.repeat(ctx.astype(np.uint64), size) << np.uint64(32)) | word.astype(np.uint64)
-            asked.append((ctx.astype(np.uint64), size, word.astype(np.uint64)))
-            there = count > 0
-            seen.append(keys[there])
-            n.append(count[there].astype(np.int64))
-            total.append(np.repeat(whole, size)[there])
-        keys, first, place = np.unique(np.concatenate(seen), return_index=True, return_inverse=True)
-        count = np.zeros(len(keys), dtype=np.int64)
-        np.add.at(count, place, np.concatenate(n))
-        codes = quantise((count - discount) / np.concatenate(total)[first])
+            ctx, size, word, count, total, asks = unpack(raw)
+            keys.append((np.repeat(ctx.astype(np.uint64), size) << np.uint64(32)) | word)
+            n.append(count)
+            whole.append(np.repeat(total, size))
+            sizes.append(size)
+            asked.append(asks.astype(np.uint64))
+        ends = np.cumsum([len(k) for k in keys])[:-1]
+        keys, first, place = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+        count = np.bincount(place, np.concatenate(n), len(keys))
+        there = count > 0
+        codes = quantise((count[there] - discount) / np.concatenate(whole)[first[there]])
         handle, path = tempfile.mkstemp(prefix="trie-")
         os.close(handle)
         try:
-            Trie.write(path, keys, codes)
+            Trie.write(path, keys[there], codes)
             trie = Trie(path)
-            out = []
-            for ctx, size, word in asked:
-                lo, hi, base = trie.context(ctx)
-                code = trie.find(word, *(np.repeat(x, size) for x in (lo, hi, base)))
-                out.append(pack(code, (hi - lo).astype(np.int32)))
+            # each different pair is searched once, whatever the chunks that ask for it
+            start = _contexts(keys)
+            length = np.diff(np.append(start, len(keys)))
+            lo, hi, base = trie.context(keys[start] >> np.uint64(32))
+            code = trie.find(keys & np.uint64(0xFFFFFFFF), *(np.repeat(x, length) for x in (lo, hi, base)))
+            follow = np.repeat((hi - lo).astype(np.int32), length)
+            lo, hi, _ = trie.context(np.concatenate(asked))
+            more = np.split((hi - lo).astype(np.int32), np.cumsum([len(x) for x in asked])[:-1])
             del trie
         finally:
             os.unlink(path)
         pdf = pdf[["chunk", "kind", "shard"]].copy()
-        pdf["packed"] = out
+        pdf["packed"] = [pack(code[p], follow[p[np.cumsum(size) - size]], m)
+                         for p, size, m in zip(np.split(place, ends), sizes, more)]
         return pdf
 
     return pairs.groupBy("shard").applyInPandas(run, _PART)
@@ -234,20 +255,22 @@ _SCORES = ("doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, tr
            "score double")
 
 
-def scores(parts: DataFrame, told: DataFrame, starts: np.ndarray, shards: int, n_all: int, n_words: int,
+def scores(parts: DataFrame, told: DataFrame, starts: np.ndarray, shards: int, hot: int, n_all: int, n_words: int,
            discount: float = DISCOUNT) -> DataFrame:
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         for raw in left["packed"]:
-            c = _Chunk(raw, right, starts, shards)
+            c = _Chunk(raw, right, starts, shards, hot)
             code = np.zeros(len(c.pairs), dtype=np.uint16)
             follow = np.zeros(len(c.hashes), dtype=np.int64)
             got = right[right["kind"] == 1]
             answers = dict(zip(got["shard"], got["packed"]))
-            for s, at in c.slices():
-                codes, n = unpack(answers[s])
+            for s, at, asks in c.slices():
+                codes, n, more = unpack(answers[s])
                 code[at] = codes
-                np.add.at(follow, c.first[at[_contexts(c.keys[at])]], n)
+                first = c.first[at[_contexts(c.keys[at])]]
+                follow[first] = np.where(c.split[first], follow[first], n)
+                follow[asks] += more
             one = (c.count + 1.0) / (n_all + 1 * (n_words + 1))
             back = np.where(c.count > 0, discount * follow / np.maximum(c.count, 1), 1.0)
             p = np.log10(restore(code) + back[c.first] * one[c.second])
@@ -271,7 +294,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk
     work = Work(docs.sparkSession, "lm")
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     parts = work.put(chunks(rows.where("doc_id IS NOT NULL"), chunk_tokens), "chunks")
-    shards = max(16, parts.count())
+    shards = max(16, parts.count() // CHUNKS_A_SHARD)
     told = work.put(vocabulary(parts, shards), "words")
 
     def head(batches):
@@ -290,5 +313,6 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk
     if int(starts[-1]) >= 1 << 32:
         raise ValueError("more than 2^32 different words: numbers of 32 bits do not hold them")
     n_all, n_words = sum(r["n"] for r in sizes), sum(r["known"] for r in sizes)
-    codes = work.put(answer(pairs_of(parts, told, starts, shards)), "codes")
-    return scores(parts, told.unionByName(codes), starts, shards, n_all, n_words)
+    hot = max(HOT, n_all // shards)
+    codes = work.put(answer(pairs_of(parts, told, starts, shards, hot)), "codes")
+    return scores(parts, told.unionByName(codes), starts, shards, hot, n_all, n_words)
