@@ -10,7 +10,8 @@ from tests.conftest import rows
 from voxelloom import lattice
 from voxelloom.operators import components, density, energy, hotspots, merge, regions, smoothing, stencil, watershed
 from voxelloom.functions import thermo
-from voxelloom.spark import quantile, ranked, running_total
+import voxelloom.spark
+from voxelloom.spark import kth, quantile, ranked, running_total
 
 BY = ["probe"]
 
@@ -386,6 +387,40 @@ def test_ranks_and_quantiles_of_hot_groups(spark):
             assert have[g] == pytest.approx(np.quantile(part["v"], q))
 
 
+@pytest.mark.parametrize("few", [4096, 20])
+def test_places_are_found_without_sorting(spark, monkeypatch, few):
+    monkeypatch.setattr(voxelloom.spark, "SELECT_ROWS", few)
+    monkeypatch.setattr(voxelloom.spark, "SELECT_BINS", 64)
+    rng = np.random.default_rng(9)
+    parts = {"ties": rng.integers(0, 5, 400).astype(float), "wide": 10.0 ** rng.uniform(-300, 300, 300) * rng.choice([-1, 1], 300),
+             "ends": np.array([-np.inf, -1e308, 0.0, 2.0, 3.0, 1e308, np.inf, np.inf]), "one": np.array([7.0]), "same": np.full(50, -2.5)}
+    data = [(g, float(v), int(w)) for g, p in parts.items() for v, w in zip(p, rng.integers(0, 4, len(p)) + (g == "one"))]
+    df = spark.createDataFrame(data + [("ties", None, 2), ("ties", float("nan"), 2), ("none", None, 1)], "g string, v double, w bigint").repartition(5)
+    places = [0, 1, 7, 60, 199, 5000]
+    want = spark.createDataFrame([(g, k) for g in [*parts, "none"] for k in places], "g string, k bigint")
+    for weight in (None, "w"):
+        expected = {}
+        for g in parts:
+            line = sorted(v for name, v, w in data if name == g for _ in range(w if weight else 1))
+            expected |= {(g, k): (line[k], sum(v < line[k] for v in line)) for k in places if k < len(line)}
+        out = kth(df, ["g"], "v", want, weight)
+        assert "rangepartitioning" not in out._jdf.queryExecution().toString()
+        assert {(r["g"], r["k"]): (r["value"], r["less"]) for r in out.collect()} == expected
+    alone = kth(df.where("g = 'wide'"), [], "v", spark.createDataFrame([(10,)], "k bigint")).collect()
+    assert [r["value"] for r in alone] == [sorted(parts["wide"])[10]]
+    assert kth(df.limit(0), ["g"], "v", want).count() == 0 and quantile(df.where("g = 'none'"), ["g"], "v", 0.5).count() == 0
+
+
+def test_top_percent_with_ties(spark, monkeypatch):
+    monkeypatch.setattr(voxelloom.spark, "SELECT_ROWS", 5)
+    rng = np.random.default_rng(4)
+    pdf = pd.DataFrame({"probe": "BEN", "label": rng.integers(1, 4, 500).astype("int32"), "agfe": -rng.integers(1, 9, 500) / 4.0})
+    pdf["n_voxels"] = pdf.groupby("label")["agfe"].transform("size")
+    got = {r["label"]: r["agfe_mean_top_pct"] for r in hotspots.top_percent(spark.createDataFrame(pdf), ["probe"], 30.0).collect()}
+    want = {g: np.sort(p["agfe"])[:max(1, int(len(p) * 0.3))].mean() for g, p in pdf.groupby("label")}
+    assert got == pytest.approx(want)
+
+
 def test_combine_types_takes_the_lowest(spark):
     df = spark.createDataFrame([("A", "x", 0, 0, 0, -1.0), ("A", "y", 0, 0, 0, -2.0)],
                                "probe string, atype string, i int, j int, k int, agfe double")

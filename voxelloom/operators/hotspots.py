@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from voxelloom.functions import thermo
 from voxelloom.lattice import IJK, centre, voxel_key
 from voxelloom.operators import components, stencil
-from voxelloom.spark import cut, ranked
+from voxelloom.spark import cut, kth, per_map, ranked
 
 
 def cluster(voxels: DataFrame, by: list[str], strategy, **params) -> DataFrame:
@@ -56,10 +56,16 @@ def clean_mask(mask: DataFrame, by: list[str], window: dict, min_size: int | Non
 
 def top_percent(labelled: DataFrame, by: list[str], percent: float) -> DataFrame:
     """Mean of the most negative *percent* of each hotspot's voxels, at least one voxel."""
-    placed = ranked(labelled.withColumn("_vid", voxel_key()), [*by, "label"], ["agfe", "_vid"], name="_r")
+    key = [*by, "label"]
     keep = F.greatest(F.lit(1), F.floor(F.col("n_voxels") * F.lit(float(percent)) / F.lit(100.0)).cast("int"))
-    return (placed.filter(F.col("_r") <= keep).groupBy(*by, "label")
-            .agg(F.avg("agfe").alias("agfe_mean_top_pct")))
+    want = cut(labelled.groupBy(*key).agg(F.max(keep).alias("_keep")))
+    last = kth(labelled, key, "agfe", want.select(*key, (F.col("_keep") - 1).alias("k"))).withColumn("_keep", F.col("k") + 1)
+    low = per_map(labelled.select(*key, "agfe"), last, key)
+    below = F.coalesce(F.sum(F.when(F.col("agfe") < F.col("value"), F.col("agfe"))), F.lit(0.0))
+    # equal values at the threshold count as often as places are left
+    return (low.groupBy(*key, "_keep", "value", "less").agg(below.alias("_sum"))
+            .select(*key, ((F.col("_sum") + F.col("value") * (F.col("_keep") - F.col("less"))) / F.col("_keep"))
+                    .alias("agfe_mean_top_pct")))
 
 
 def summarise(labelled: DataFrame, by: list[str], gridsize: float, top_pct: float = 10.0) -> DataFrame:
