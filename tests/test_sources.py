@@ -145,3 +145,18 @@ def test_broken_trajectories_are_errors(spark, tmp_path, movie):
     with pytest.raises(Exception, match="follow each other"):
         gap.select("frame", "atom_id", "x", "y", "z", *[F.lit(None).cast("double").alias(c) for c in ("lx", "ly", "lz")]).coalesce(
             1).write.format("dcd").mode("overwrite").save(f"{tmp_path}/gap")
+
+
+def test_pdb_numbers_wider_than_their_fields(spark):
+    """Atoms from 100,000 and residues from 10,000 on stay in their columns, and all numbers come back."""
+    from voxelloom.sources import pdb
+    ids = [(1, 1), (-999, -99), (99_999, 9_999), (100_000, 10_000), (43_770_015, 1_223_055), (43_770_016, 1_223_056),
+           (87_440_031, 2_436_111), (87_440_032, 7), (5, 2_436_112), (9_000_000_000, -123_456), (-10_000, 3)]
+    df = spark.createDataFrame([(a, r, "CA", "ALA", "B", 1.5, -2.25, 30.125) for a, r in ids],
+                               "atom_id bigint, resid bigint, name string, resname string, chain string, x double, y double, z double")
+    lines = [r["value"] for r in pdb.to_lines(df).collect()]
+    assert [(v[6:11], v[22:26]) for v in lines[3:7]] == [("A0000", "A000"), ("ZZZZZ", "ZZZZ"), ("a0000", "a000"), ("zzzzz", "zzzz")]
+    assert all(v[17:20] == "ALA" and v[76:78] == " C" for v in lines)
+    back = pdb.atoms(pdb.to_lines(df).select("value"))
+    assert rows(back, "atom_id", "resid") == sorted(ids)
+    assert rows(back, "chain", "x", "y", "z", "element") == [("B", 1.5, -2.25, 30.125, "C")] * len(ids)
