@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from voxelloom.lattice import explode_ball
@@ -128,18 +128,17 @@ def atom_names(atoms: DataFrame, by: list[str], symbol: str, order: str) -> Data
 
 def near_pairs(left: DataFrame, right: DataFrame, by_left: str, by_right: str, r_max: float) -> DataFrame:
     """Pairs within *r_max* per group of the left and group of the right side, with the least distance."""
-    both = pairs.neighbours(pairs.packs(left, [], [by_left], r_max), pairs.packs(right, [], [by_right], r_max), [])
+    both = pairs.neighbours(pairs.packs(left, [], [by_left], r_max), pairs.packs(right, [], [by_right], r_max), [], r_max)
     kinds = {by_left: dict(left.dtypes)[by_left], by_right: dict(right.dtypes)[by_right]}
 
     def add(batches):
-        for pdf in batches:
-            names = pairs.flat(pdf, f"l_{by_left}"), pairs.flat(pdf, f"r_{by_right}")
-            for _, i, j, sq in pairs.near(pdf):
-                ok = sq <= r_max * r_max
-                part = pd.DataFrame({by_left: names[0][i[ok]], by_right: names[1][j[ok]], "sq": sq[ok]})
-                yield part.groupby([by_left, by_right], as_index=False).agg(n=("sq", "size"), sq=("sq", "min"))
-
-    keep = [c for c in both.columns if c[:2] in ("l_", "r_")]
+        for batch in batches:
+            names = pairs.flat(batch, f"l_{by_left}")[0], pairs.flat(batch, f"r_{by_right}")[0]
+            for _, i, j, n, sq in pairs.tallies(batch, by_left, by_right, r_max):
+                yield pa.RecordBatch.from_arrays([names[0].take(pa.array(i)), names[1].take(pa.array(j)), pa.array(n), pa.array(sq)],
+                                                 [by_left, by_right, "n", "sq"])
+
+    keep = [f"l_{c}" for c in ("x", "y", "z", by_left)] + [f"r_{c}" for c in ("x", "y", "z", by_right)]
     schema = ", ".join(f"`{c}` {k}" for c, k in kinds.items()) + ", n bigint, sq double"
-    return (both.select(*keep).mapInPandas(add, schema).groupBy(by_left, by_right)
+    return (both.select(*keep).mapInArrow(add, schema).groupBy(by_left, by_right)
             .agg(F.sum("n").alias("n_pairs"), F.sqrt(F.min("sq")).alias("least")))
