@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import rows
-from voxelloom.operators import builder, kinetics, pairs
+from voxelloom.operators import builder, kinetics, pairs, qc
 
 
 def _points(n, seed, box=20.0, crowd=0.0):
@@ -39,6 +39,13 @@ def test_pair_counts_of_points_with_themselves_in_a_periodic_box(spark, monkeypa
     assert rows(pairs.distance_counts(df, other, ["f"], "id", 6.0, 12, (20.0,) * 3), "bin", "n") == rows(got, "bin", "n")
 
 
+def test_points_without_a_name_are_counted_only_between_two_kinds(spark):
+    df = spark.createDataFrame([(0, n, float(n), 0.0, 0.0) for n in (1, 2)] + [(0, None, 3.0, 0.0, 0.0)], "f int, id bigint, x double, y double, z double")
+    ids = df.withColumn("id", F.col("id") + 10)
+    assert sum(r["n"] for r in qc.rdf(df, df, ["f"], "id", 2.0, 4, box=20.0).collect()) == 2
+    assert sum(r["n"] for r in qc.rdf(df, ids, ["f"], "id", 2.0, 4, box=20.0, same=False).collect()) == 9
+
+
 def test_packs_that_are_far_apart_do_not_meet(spark):
     xyz = _points(6000, 5, box=2.0)
     df = spark.createDataFrame(pd.DataFrame({"id": np.arange(len(xyz)), **{c: xyz[:, n] for n, c in enumerate("xyz")}}))
