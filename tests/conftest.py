@@ -10,6 +10,7 @@ from pyspark.sql import SparkSession
 def spark():
     s = (SparkSession.builder.master("local[4]").appName("tests")
          .config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false")
+         .config("spark.sql.ui.retainedExecutions", "20000")          # a test reads plans by their place among all of the session
          .config("spark.driver.memory", "6g").config("spark.sql.session.timeZone", "UTC").getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
     yield s
