@@ -143,6 +143,25 @@ def test_scores_match_brute_force(spark, documents, monkeypatch):
 
 # nearest vectors
 
+def test_nearest_first_block_bounds_the_others(spark, monkeypatch):
+    x = np.random.default_rng(3).standard_normal((1500, 12))
+    ids = np.arange(1500)
+    truth = np.sort(np.sqrt(((x[:50, None] - x[None]) ** 2).sum(-1)) + np.where(np.eye(50, 1500), np.inf, 0), axis=1)[:, :10]
+    rounds = []
+    looked = np.searchsorted
+    monkeypatch.setattr(np, "searchsorted", lambda *a, **k: (rounds.append(1), looked(*a, **k))[1])
+    q, _, d = ann.search_block(ids, x, ids[:50], x[:50], 10, truth[:, -1])
+    assert len(rounds) <= 3 * ann.PROJECTIONS                    # one look, however many queries
+    monkeypatch.undo()
+    assert sum(np.isin(truth[j], d[q == j]).sum() for j in range(50)) >= 490
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 200)
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got = ann.nearest(df, df.where("vec_id < 50")).toPandas()
+    assert (got.groupby("query_id").size() == 10).all() and got["query_id"].nunique() == 50
+    near = {(r.query_id, round(r.score, 9)) for r in got.itertuples()}
+    assert sum((j, round(s, 9)) in near for j in range(50) for s in truth[j]) >= 490
+
+
 def test_nearest_recall_and_cases(spark):
     rng = np.random.default_rng(4)
     x = rng.standard_normal((3000, 32)).astype(np.float32)
