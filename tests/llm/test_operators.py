@@ -81,6 +81,47 @@ def test_prefix_holds_a_common_word():
                 assert linededup.prefix_size(n) + need > n and linededup.prefix_size(m) + need > m
 
 
+def test_long_lines_meet_only_what_may_be_similar(spark, documents):
+    rng = random.Random(8)
+    rows = []
+    for d in range(40):
+        line = [f"d{d // 2}w{i}" for i in range(150 + 4 * (d // 2))] + ["shared"]
+        for i in range(d % 2 * 12):
+            line[i] = f"x{d}y{i}"
+        rng.shuffle(line)
+        rows.append((d, " ".join(line)))
+    docs = documents(rows).select("doc_id", "text")
+    found = linededup.lines(docs, linededup.rarity(docs)).withColumn("at", F.lit(0))
+    a, b = found.alias("a"), found.alias("b")
+    met = a.join(b, (F.col("b.doc_id") < F.col("a.doc_id")) & linededup._may_match(lambda c: F.col(f"a.{c}"), lambda c: F.col(f"b.{c}")))
+    assert sorted(map(tuple, met.select("b.doc_id", "a.doc_id").collect())) == [(d, d + 1) for d in range(0, 40, 2)]
+    got = {(r["doc_id"], r["line"]) for r in linededup.removed(docs, Work(spark, "t")).collect()}
+    assert got == similar_lines(rows) == {(d, 0) for d in range(1, 40, 2)}
+
+
+@pytest.mark.parametrize("few", [0, 100])
+def test_line_dedup_in_slices_and_mixed_lengths(spark, documents, monkeypatch, few):
+    monkeypatch.setattr(linededup, "FEW", few)
+    monkeypatch.setattr(linededup, "PASSES", 3)
+    rng = random.Random(few)
+    base = [[f"v{rng.randrange(900)}" for _ in range(n)] for n in (1, 4, 5, 9, 30, 60, 64, 66, 70, 130, 300, 700)]
+    rows = [(7, None), (8, ""), (9, "\n\n \t\n")]
+    for d in range(10, 90):
+        lines = []
+        for _ in range(3):
+            line = list(rng.choice(base))
+            for _ in range(rng.randint(0, max(1, len(line) // 9))):
+                if rng.random() < 0.5 or len(line) < 2:
+                    line.append(f"n{rng.randrange(3000)}")
+                else:
+                    line.pop(rng.randrange(len(line)))
+            lines.append("\u00c9\u2003a \x0b" + rng.choice([" ", "\t", "  \r"]).join(line).upper() + " \u00e9")
+        rows.append((d, "\n".join(lines)))
+    docs = documents(rows).select("doc_id", "text").repartition(3)
+    got = {(r["doc_id"], r["line"]) for r in linededup.removed(docs, Work(spark, "t")).collect()}
+    assert got == similar_lines([(d, t or "") for d, t in rows]) and got
+
+
 # language model
 
 def test_elias_fano_round_trip():
