@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,6 +123,44 @@ def test_line_dedup_in_slices_and_mixed_lengths(spark, documents, monkeypatch, f
     assert got == similar_lines([(d, t or "") for d, t in rows]) and got
 
 
+def test_line_dedup_splits_and_hashes_words():
+    texts = ["", "a b", "B\n\n a\x0b\u00e9\u2003x\x0c", "\n", " \t", "ab", "q" * 300_000 + " a\n" + "yz " * 100_000, "a"]
+    for cut in (texts, texts[1:]):
+        array = pa.array([None, *texts]).slice(1 + len(texts) - len(cut))
+        h, line, first_line = linededup._coded(array)
+        want = [(w, at + i) for at, t in zip(first_line.tolist(), cut) for i, x in enumerate(t.split("\n")) for w in words(x.encode())]
+        assert line.tolist() == [n for _, n in want]
+        assert len(set(h.tolist())) == len({w for w, _ in want}) == len(set(zip(h.tolist(), (w for w, _ in want))))
+
+
+@pytest.mark.parametrize("often", [0, 20, 255])
+def test_line_dedup_frequent_words_and_dense_groups(spark, documents, monkeypatch, often):
+    for name, value in {"OFTEN": often, "DENSE": 8, "NAMED": 1, "BUCKET_WORDS": 500}.items():
+        monkeypatch.setattr(linededup, name, value)
+    rng = random.Random(often)
+    base = [[f"b{rng.randrange(60)}" for _ in range(n)] for n in (1, 2, 5, 30, 40, 90)]
+    rows = []
+    for d in range(120):
+        lines = [list(rng.choice(base)) for _ in range(2)]
+        for line in lines:
+            for _ in range(rng.randint(0, 1 + len(line) // 6)):
+                line[rng.randrange(len(line))] = f"x{rng.randrange(40)}"
+        rows.append((d // 2 * 2 if d < 20 else d, "\n".join(map(" ".join, lines))))
+    rows += rows[30:40]
+    got = {(r["doc_id"], r["line"]) for r in linededup.removed(documents(rows[20:]).select("doc_id", "text"), Work(spark, "t")).collect()}
+    assert got == similar_lines(dict(rows[20:]).items()) and got
+
+
+def test_line_dedup_names_few_candidates_of_a_dense_group(spark, documents):
+    def met(size):
+        rng, base = random.Random(6), [f"b{i}" for i in range(40)]
+        rows = [(d, " ".join([*base[:-4], *(f"x{rng.randrange(60)}" for _ in range(4))])) for d in range(size)]
+        docs = documents(rows).select("doc_id", "text")
+        found = linededup.lines(docs, linededup.rarity(docs)).withColumn("seek", F.lit(True))
+        return linededup._candidates(found, 1, linededup.NAMED).count()
+    assert met(1600) < 6 * met(400)
+
+
 # language model
 
 def test_elias_fano_round_trip():
