@@ -500,3 +500,19 @@ def test_query_matches_sql(spark, name):
 
 def test_no_reserved_regex_surprises():
     assert re.compile(mixing.WORD).findall("a\tb\x0bc  d") == list("abcd")
+
+
+def test_a_sweep_of_the_raking_joins_each_sum_once(spark):
+    joins = {}
+
+    class Seen(Work):
+        def put(self, df, name):
+            joins[name] = df._jdf.queryExecution().analyzed().toString().count("Join ")
+            return super().put(df, name)
+    counted = spark.createDataFrame([("a", "x", "s", 2, 30), ("b", "x", "l", 1, 10), ("b", "y", "s", 1, 60)],
+                                    "source string, lang string, topic string, n_docs bigint, tokens bigint")
+    target = lambda **share: spark.createDataFrame(list(share.items()), "value string, share double")
+    targets = {"source": target(a=0.5, b=0.5), "lang": target(x=0.5, y=0.5), "topic": target(s=1.0)}
+    got = {r["source"] + r["lang"]: r["weight"] for r in mixing.rake(counted, targets, Seen(spark, "t"), 3).collect()}
+    assert got == pytest.approx({"ax": 50, "bx": 0, "by": 50}, abs=20) and got["bx"] == 0
+    assert joins["sweep2"] <= 7   # three steps, each read by the sums of the later ones too
