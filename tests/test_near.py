@@ -123,3 +123,65 @@ def test_zones_without_a_row_for_each_atom_inside(spark, monkeypatch, again):
                 assert len(a) == len(b) > 500 and a == pytest.approx(b, abs=1e-12)
             if again:
                 return
+
+
+def _lattice(spark, n, box, step, seed, names):
+    """Points on a lattice, so that many distances lie on the edges of bins."""
+    xyz = np.random.default_rng(seed).integers(0, int(box / step), (n, 3)) * step
+    return xyz, spark.createDataFrame(pd.DataFrame({"g": np.arange(n) % names, "id": np.arange(n), **{c: xyz[:, k] for k, c in enumerate("xyz")}}))
+
+
+def test_copies_of_packs_are_not_broadcast(spark):
+    """A small file of packs says nothing about its copies in the cells around: they stay out of the driver."""
+    _, df = _lattice(spark, 900, 12.0, 0.25, 11, 5)
+    packed, other = (pairs.packs(df, [], ["id"], 2.0) for _ in range(2))
+    for right in (packed, other):
+        met = pairs.neighbours(packed, right, [], 2.0)
+        assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
+    half, whole = (pairs.neighbours(packed, right, [], 2.0).count() for right in (packed, other))
+    assert 2 * half == whole + packed.count()               # each pair of packs once
+
+
+@pytest.mark.parametrize("box", [None, 12.0])
+def test_distances_on_the_edges_of_bins_and_names_that_come_twice(spark, box):
+    xyz, df = _lattice(spark, 3000, 12.0, 0.25, 12, 5)
+    df = df.withColumn("id", F.col("id") % 2800)
+    got = {r["bin"]: r["n"] for r in pairs.distance_counts(df, df, [], "id", 4.0, 16, (box,) * 3 if box else None).collect()}
+    want = np.zeros(16, np.int64)
+    ids = np.arange(3000) % 2800
+    for k in range(0, 3000, 500):
+        gap = xyz[k:k + 500, None] - xyz[None]
+        if box:
+            gap -= box * np.rint(gap / box)
+        d = np.sqrt((gap ** 2).sum(-1))
+        d[ids[k:k + 500, None] == ids[None]] = 99
+        want += np.histogram(d[d <= 4], bins=16, range=(0, 4))[0]
+    assert [got[b] for b in range(16)] == list(want)
+
+
+def test_float32_squares_are_as_near_as_they_say():
+    x, y = (np.random.default_rng(n).random((3, 300)) * 6 + 1000 + 7 * n for n in (1, 2))
+    sq, err, top = pairs.squares(x, y, np.empty(300 * 300, np.float32), 0.5)
+    want = ((x[:, :, None] - y[:, None]) ** 2).sum(0) / 0.25
+    assert np.abs(sq - want).max() < err < 1e-2 and want.max() <= top * top
+
+
+def test_near_pairs_leave_a_task_once_by_name(spark):
+    """Not a row for each pair of packs and names: sums over all that a task meets, in parts if there are many names."""
+    a, left = _lattice(spark, 3000, 6.0, 0.25, 13, 7)
+    b, right = _lattice(spark, 2500, 6.0, 0.25, 14, 5)
+    both = pairs.neighbours(pairs.packs(left, [], ["g"], 2.0), pairs.packs(right, [], ["g"], 2.0), [], 2.0)
+    table = both.withColumn("same", F.struct("l_pack.*")).toArrow().combine_chunks()
+    assert table.num_rows > 35
+    sq = ((a[:, None] - b[None]) ** 2).sum(-1)
+    want = {(i, j): (int((sq[i::7, j::5] <= 4).sum()), float(sq[i::7, j::5].min())) for i in range(7) for j in range(5)}
+    for places in (1 << 20, 1):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(pairs, "_TABLE", places)
+            parts = [r for out in pairs.totals(table.to_batches(), "g", "g", 2.0) for r in zip(*(np.asarray(v).tolist() for v in out))]
+        assert len(parts) == 35 or places == 1
+        got = {}
+        for i, j, n, s in parts:
+            n0, s0 = got.get((i, j), (0, np.inf))
+            got[i, j] = n0 + n, min(s0, s)
+        assert got == want

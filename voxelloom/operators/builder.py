@@ -132,13 +132,10 @@ def near_pairs(left: DataFrame, right: DataFrame, by_left: str, by_right: str, r
     kinds = {by_left: dict(left.dtypes)[by_left], by_right: dict(right.dtypes)[by_right]}
 
     def add(batches):
-        for batch in batches:
-            names = pairs.flat(batch, f"l_{by_left}")[0], pairs.flat(batch, f"r_{by_right}")[0]
-            for _, i, j, n, sq in pairs.tallies(batch, by_left, by_right, r_max):
-                yield pa.RecordBatch.from_arrays([names[0].take(pa.array(i)), names[1].take(pa.array(j)), pa.array(n), pa.array(sq)],
-                                                 [by_left, by_right, "n", "sq"])
+        for i, j, n, sq in pairs.totals(batches, by_left, by_right, r_max):
+            yield pa.RecordBatch.from_arrays([i, j, pa.array(n), pa.array(sq)], [by_left, by_right, "n", "sq"])
 
     keep = [f"l_{c}" for c in ("x", "y", "z", by_left)] + [f"r_{c}" for c in ("x", "y", "z", by_right)]
     schema = ", ".join(f"`{c}` {k}" for c, k in kinds.items()) + ", n bigint, sq double"
-    return (both.select(*keep).mapInArrow(add, schema).groupBy(by_left, by_right)
+    return (both.select(*keep, F.struct("l_pack.*").alias("same")).mapInArrow(add, schema).groupBy(by_left, by_right)
             .agg(F.sum("n").alias("n_pairs"), F.sqrt(F.min("sq")).alias("least")))
