@@ -185,3 +185,28 @@ def test_near_pairs_leave_a_task_once_by_name(spark):
             n0, s0 = got.get((i, j), (0, np.inf))
             got[i, j] = n0 + n, min(s0, s)
         assert got == want
+
+
+def test_sums_of_a_zone_are_ended_where_its_visits_are(spark, monkeypatch):
+    """Many points, but tables of visits that stay small: one bucket, and no rows by start frame, frame or molecule to add up."""
+    xyz = _points(3000, 16, crowd=0.3).round(1)
+    atoms = spark.createDataFrame([("p", n % 3, None if n % 41 == 0 else n % 23, n % 11, *map(float, p)) for n, p in enumerate(xyz)],
+                                  "probe string, replica int, mol int, frame int, x double, y double, z double")
+    zones = spark.createDataFrame([(n, *map(float, p), 2.0 + n % 3) for n, p in enumerate(_points(40, 9).round(1))],
+                                  "zone_id int, x double, y double, z double, radius double")
+    inside, by = kinetics.occupancy(atoms, zones), ["probe", "replica"]
+    curve = rows(kinetics.survival(kinetics.runs(inside, ["zone_id", *by]), ["zone_id", *by], 3, 10, 2.0), "zone_id", "replica", "tau", "time_ps", "sp")
+    want = inside.groupBy("zone_id", "replica").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("frame").alias("n_frames"),
+                                                    F.count_distinct("mol").alias("n_mols"))
+    cols = "zone_id", "replica", "n_rows", "n_frames", "n_mols"
+    want = rows(want, *cols)
+    monkeypatch.setattr(kinetics, "BUCKET_POINTS", 100)
+    monkeypatch.setattr(kinetics, "ENOUGH_PACKS", 1)
+    monkeypatch.setattr(kinetics, "survival_of", lambda *a, **k: pytest.fail("a row for each start frame"))
+    got = rows(kinetics.zone_survival(atoms, zones, by, 3, 10, 2.0), "zone_id", "replica", "tau", "time_ps", "sp")
+    assert len(got) > 300 and [r[:4] for r in got] == [r[:4] for r in curve]
+    assert [r[4] for r in got] == pytest.approx([r[4] for r in curve], abs=1e-12)
+    got = kinetics.zone_counts(atoms, zones, ["replica"])
+    assert rows(got, *cols) == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 0
